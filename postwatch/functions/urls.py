@@ -18,14 +18,18 @@ UNSAFE_IN_PATH = r'[<>:"/\\|?*]'
 NOT_ALPHANUMERIC = "[^a-zA-Z0-9]"
 
 
-def canonical(link: Column) -> Column:
-    """Canonical text of an http(s) link, NULL when it is not one.
+_SEPARATOR = "\u001f"
 
-    Scheme and host in lower case, default port dropped, "/" for an empty path, blanks as %20.
-    This text is the ledger key.
-    """
-    raw = text.strip(link)
-    scheme, user, host, port, path, query, fragment = (F.regexp_extract(raw, _PARTS, i) for i in range(1, 8))
+
+def parts(link: Column) -> Column:
+    """The seven parts of a stripped link, found in one match; anything but seven items is not a link."""
+    marked = F.regexp_replace(link, _PARTS, _SEPARATOR.join(f"${i}" for i in range(1, 8)))
+    return F.when(F.char_length(link) <= MAX_LENGTH, F.split(marked, _SEPARATOR))
+
+
+def from_parts(found: Column) -> Column:
+    """Canonical text built from :func:`parts`."""
+    scheme, user, host, port, path, query, fragment = (F.get(found, F.lit(i)) for i in range(7))
     scheme = F.lower(scheme)
     number = F.nullif(port, F.lit("")).cast("int")
     default = F.when(scheme == "http", 80).otherwise(443)
@@ -39,8 +43,17 @@ def canonical(link: Column) -> Column:
         query,
         fragment,
     )
-    fits = (F.char_length(raw) <= MAX_LENGTH) & F.coalesce(number <= 65535, F.lit(True))
-    return F.when((scheme != "") & fits, F.replace(built, F.lit(" "), F.lit("%20")))
+    fits = (F.size(found) == 7) & F.coalesce(number <= 65535, F.lit(True))
+    return F.when(fits, F.replace(built, F.lit(" "), F.lit("%20")))
+
+
+def canonical(link: Column) -> Column:
+    """Canonical text of an http(s) link, NULL when it is not one.
+
+    Scheme and host in lower case, default port dropped, "/" for an empty path, blanks as %20.
+    This text is the ledger key.
+    """
+    return from_parts(parts(text.strip(link)))
 
 
 def path_key(url: Column, directory: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postwatch.operators import skew, subscriptions
+from postwatch.operators import once, skew, subscriptions
 from postwatch.schemas import CHANGE_BODY, USER_KEY
 
 # Fields that must not be null, by kind of request. Empty text passes.
@@ -25,10 +25,10 @@ def parse(feed: DataFrame) -> DataFrame:
             missing = (F.col("kind") == kind) & F.col(f"_b.{name}").isNull()
             reason = reason.when(missing, F.lit(f"missing_{name}"))
     reason = reason.when(~F.coalesce(F.col("kind").isin(*REQUIRED), F.lit(False)), "unknown_kind")
-    return parsed.select(
-        "seq", "kind", "_b.email", "_b.position", "_b.location", F.col("_b.jobType").alias("job_type"), "_b.token",
-        "_b.skills", "_b.experience", "_b.education", reason.alias("reject_reason"),
-    )
+    fields = {name: F.col(f"_b.{name}") for name in ("email", "position", "location")}
+    fields["job_type"] = F.col("_b.jobType")
+    fields |= {name: F.col(f"_b.{name}") for name in ("token", "skills", "experience", "education")}
+    return once.computed(parsed, ["seq", "kind"], **fields, reject_reason=reason)
 
 
 def valid(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postwatch.functions import html, urls
+from postwatch.operators import once
 
 
 def titles(pages: DataFrame) -> DataFrame:
@@ -27,7 +28,9 @@ def triage(pages: DataFrame, directory: str, keywords: list[str] | None = None,
     )
     wanted: Column = html.has_element(F.col("html"), *required) if required else F.col("keyword").isNull()
     kept = F.coalesce(wanted, F.lit(False)) & ~F.col("is_challenge")
-    return looked.withColumn("html_file_path", F.when(kept, urls.path_key(F.col("url"), directory)).otherwise(""))
+    path = F.when(kept, urls.path_key(F.col("url"), directory)).otherwise("")
+    judged = {name: F.col(name) for name in ("title", "is_challenge", "keyword")}
+    return once.computed(looked, pages.columns, **judged, html_file_path=path)
 
 
 def store_rows(triaged: DataFrame) -> DataFrame:

@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postwatch.functions import payload, text, urls
+from postwatch.operators import once
 
 
-def _posting(doc: Column) -> Column:
-    date_posted = payload.either(doc, "datePosted", "date_posted")
-    employment = payload.either(doc, "employmentType", "employment_type")
-    return F.struct(
-        text.strip(payload.text_of(payload.member(doc, "title"))).alias("title"),
-        text.strip(payload.text_of(payload.member(doc, "company"))).alias("company"),
-        text.strip(payload.text_of(payload.member(doc, "location"))).alias("job_location"),
-        urls.canonical(payload.text_of(payload.member(doc, "link"))).alias("link"),
-        payload.text_of(date_posted).alias("date_posted"),
-        payload.text_of(employment).alias("employment_type"),
-        text.strip(payload.text_of(payload.member(doc, "description"))).alias("description"),
-        (payload.absent_or_null(date_posted) | payload.is_text(date_posted)).alias("date_ok"),
-        (payload.absent_or_null(employment) | payload.is_text(employment)).alias("employment_ok"),
-    )
+TEXTS = {"title": "title", "company": "company", "job_location": "location", "description": "description"}
+
+
+def _postings(documents: Column) -> Column:
+    """Array of posting documents to array of typed postings with ``ok``.
+
+    Done in steps, each a ``transform`` over the step before: a lambda is interpreted as written, so a value used
+    twice has to be a field of the step before.
+    """
+
+    def values(doc: Column) -> Column:
+        return F.struct(
+            *[payload.member(doc, field).alias(name) for name, field in TEXTS.items()],
+            payload.member(doc, "link").alias("link"),
+            payload.either(doc, "datePosted", "date_posted").alias("date_posted"),
+            payload.either(doc, "employmentType", "employment_type").alias("employment_type"),
+        )
+
+    def texts(p: Column) -> Column:
+        optional = (payload.absent_or_null(p[name]) | payload.is_text(p[name]) for name in ("date_posted", "employment_type"))
+        return F.struct(
+            *[text.strip(payload.text_of(p[name])).alias(name) for name in TEXTS],
+            urls.parts(text.strip(payload.text_of(p.link))).alias("link"),
+            payload.text_of(p.date_posted).alias("date_posted"),
+            payload.text_of(p.employment_type).alias("employment_type"),
+            functools.reduce(operator.and_, optional).alias("ok"),
+        )
+
+    def postings(p: Column) -> Column:
+        long = functools.reduce(operator.and_, (text.long_enough(p[name]) for name in TEXTS), p.ok)
+        return F.struct(
+            p.title.alias("title"), p.company.alias("company"), p.job_location.alias("job_location"),
+            urls.from_parts(p.link).alias("link"), p.date_posted.alias("date_posted"),
+            p.employment_type.alias("employment_type"), p.description.alias("description"), long.alias("ok"),
+        )
+
+    return F.transform(F.transform(F.transform(documents, values), texts), postings)
 
 
 def _posting_ok(posting: Column) -> Column:
-    ok = posting.link.isNotNull() & posting.date_ok & posting.employment_ok
-    for name in ("title", "company", "job_location", "description"):
-        ok = ok & text.long_enough(posting[name])
-    return F.coalesce(ok, F.lit(False))
+    return posting.ok & posting.link.isNotNull()
 
 
 def parse_responses(landed: DataFrame, body: str = "body") -> DataFrame:
@@ -49,7 +73,7 @@ def parse_responses(landed: DataFrame, body: str = "body") -> DataFrame:
         .withColumn("_jobs", payload.member(doc, "jobs"))
         .withColumn("_envelope_ok", envelope_ok)
         .withColumn("query", F.coalesce(payload.text_of(query), F.lit("")))
-        .withColumn("_read", F.transform(payload.items(F.col("_jobs")), _posting))
+        .withColumn("_read", _postings(payload.items(F.col("_jobs"))))
     )
     reason = (
         F.when(doc.isNull(), "bad_json")
@@ -58,10 +82,9 @@ def parse_responses(landed: DataFrame, body: str = "body") -> DataFrame:
     )
     kept = [c for c in landed.columns if c != body]
     judged = read.withColumn("reject_reason", reason)
-    jobs = F.transform("_read", lambda p: p.dropFields("date_ok", "employment_ok"))
-    return judged.select(
-        *kept, "query", "reject_reason", F.when(F.col("reject_reason").isNull(), jobs).alias("jobs")
-    ).withColumn("n_jobs", F.coalesce(F.size("jobs"), F.lit(0)))
+    jobs = F.when(F.col("reject_reason").isNull(), F.transform("_read", lambda p: p.dropFields("ok")))
+    n_jobs = F.when(F.col("reject_reason").isNull(), F.size("_read")).otherwise(0)
+    return once.computed(judged, kept, query=F.col("query"), reject_reason=F.col("reject_reason"), jobs=jobs, n_jobs=n_jobs)
 
 
 def responses_valid(parsed: DataFrame) -> DataFrame:
@@ -79,25 +102,25 @@ def explode_postings(parsed: DataFrame) -> DataFrame:
 def parse_scores(landed: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``score`` and ``reject_reason``; a response that breaks the rules has no score."""
     doc = F.col("_doc")
-    value = payload.member(payload.member(doc, "similarityScore"), "score")
+    value = payload.member(doc, "similarityScore.score")
     kind = payload.json_type(value)
     number = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(
         F.try_variant_get(value, "$", "double")
     )
     lists_ok = F.lit(True)
     for part in ("jobRequirements", "userProfile"):
-        inner = payload.member(doc, part)
-        lists_ok = lists_ok & F.coalesce(F.startswith(payload.json_type(inner), F.lit("OBJECT<")), F.lit(False))
+        lists_ok = lists_ok & payload.is_object(payload.member(doc, part))
         for name in ("skills", "experiences", "qualifications"):
-            lists_ok = lists_ok & payload.text_list_ok(payload.member(inner, name))
+            lists_ok = lists_ok & payload.text_list_ok(payload.member(doc, f"{part}.{name}"), F.contains(F.col(body), F.lit("null")))
     reason = F.when(doc.isNull(), "bad_json").when(~lists_ok | F.col("_number").isNull(), "invalid_score")
     kept = [c for c in landed.columns if c != body]
-    return (
+    judged = (
         landed.withColumn("_doc", F.try_parse_json(F.col(body)))
         .withColumn("_number", number)
         .withColumn("reject_reason", reason)
-        .select(*kept, F.when(F.col("reject_reason").isNull(), F.col("_number")).alias("score"), "reject_reason")
     )
+    score = F.when(F.col("reject_reason").isNull(), F.col("_number"))
+    return once.computed(judged, kept, score=score, reject_reason=F.col("reject_reason"))
 
 
 def scored_requirements(landed: DataFrame, body: str = "body") -> DataFrame:
@@ -110,9 +133,5 @@ def scored_requirements(landed: DataFrame, body: str = "body") -> DataFrame:
 
 def check_fields(rows: DataFrame) -> DataFrame:
     """The posting rules on typed rows: texts stripped, link made canonical, and ``valid``."""
-    fields = ("title", "company", "job_location", "description")
-    cleaned = rows.withColumns({name: text.strip(F.col(name)) for name in fields} | {"link": urls.canonical(F.col("link"))})
-    ok = F.col("link").isNotNull()
-    for name in fields:
-        ok = ok & text.long_enough(F.col(name))
-    return cleaned.withColumn("valid", ok)
+    cleaned = rows.withColumns({name: text.strip(F.col(name)) for name in TEXTS} | {"link": urls.canonical(F.col("link"))})
+    return cleaned.withColumn("valid", functools.reduce(operator.and_, (text.long_enough(F.col(n)) for n in TEXTS), F.col("link").isNotNull()))
