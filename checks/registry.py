@@ -94,7 +94,7 @@ def users_delete(t: Inputs) -> DataFrame:
 
 @query
 def children_cascade(t: Inputs) -> DataFrame:
-    return subscriptions.cascade(t.skills(), t.users(), changes.of_kind(t.requests(), "delete")).select("user_id", "id", "skill")
+    return subscriptions.cascade(t.skills(), t.users(), changes.of_kind(t.requests(), "delete"))
 
 
 @query

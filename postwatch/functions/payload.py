@@ -24,7 +24,7 @@ def is_text(value: Column) -> Column:
 
 
 def absent_or_null(value: Column) -> Column:
-    return F.coalesce(json_type(value) == "VOID", F.lit(True))
+    return value.isNull() | F.is_variant_null(value)
 
 
 def text_of(value: Column) -> Column:

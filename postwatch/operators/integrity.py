@@ -12,7 +12,7 @@ def key_violations(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def orphans(children: DataFrame, users: DataFrame) -> DataFrame:
     """Children whose user is not there."""
-    return children.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
+    return children.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(*children.columns)
 
 
 def null_keys(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def _ledger_rows(ledger: DataFrame) -> DataFrame:
 
 def unsent(cands: DataFrame, ledger: DataFrame) -> DataFrame:
     """Candidates not in the ledger. The four-part key is unique on both sides, so it spreads evenly."""
-    return cands.join(_ledger_rows(ledger), ["email", "link", "position", "location"], "left_anti")
+    return cands.join(_ledger_rows(ledger), ["email", "link", "position", "location"], "left_anti").select(*cands.columns)
 
 
 def with_scores(cands: DataFrame, scores: DataFrame) -> DataFrame:

@@ -58,4 +58,5 @@ def salted_join(
     repeated = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
-    return spread_left.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    joined = spread_left.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return joined.select(*left.columns) if how in ("left_semi", "left_anti") else joined

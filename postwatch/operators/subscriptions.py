@@ -28,7 +28,7 @@ def lookup(users: DataFrame, email: str, position: str, location: str) -> DataFr
 
 def lookup_many(users: DataFrame, keys: DataFrame) -> DataFrame:
     """The subscriptions whose key is in ``keys``."""
-    return users.join(keys.select(*USER_KEY), USER_KEY, "left_semi")
+    return users.join(keys.select(*USER_KEY), USER_KEY, "left_semi").select(*users.columns)
 
 
 def by_token(users: DataFrame, token: str) -> DataFrame:
@@ -63,7 +63,7 @@ def accepted_adds(users: DataFrame, adds: DataFrame) -> DataFrame:
     ``adds``: seq, email, position, location, job_type and the three lists.
     """
     first = skew.first_row(adds, USER_KEY, [F.col("seq")])
-    return first.join(users.select(*USER_KEY), USER_KEY, "left_anti")
+    return first.join(users.select(*USER_KEY), USER_KEY, "left_anti").select(*adds.columns)
 
 
 def users_of_adds(accepted: DataFrame, token: Column, user_id: Column | None = None) -> DataFrame:
@@ -92,13 +92,13 @@ def upsert(users: DataFrame, adds: DataFrame, token: Column) -> DataFrame:
 
 
 def delete(users: DataFrame, deletes: DataFrame) -> DataFrame:
-    return users.join(deletes.select(*USER_KEY), USER_KEY, "left_anti")
+    return users.join(deletes.select(*USER_KEY), USER_KEY, "left_anti").select(*users.columns)
 
 
 def cascade(children: DataFrame, users: DataFrame, deletes: DataFrame) -> DataFrame:
     """Children left after ``deletes``. The joined side is the deleted ids, small beside the users kept."""
     gone = users.join(deletes.select(*USER_KEY), USER_KEY, "left_semi").select(F.col("id").alias("user_id"))
-    return children.join(gone, "user_id", "left_anti")
+    return children.join(gone, "user_id", "left_anti").select(*children.columns)
 
 
 def confirm(users: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from postwatch import schemas
 
 def landed_documents(spark: SparkSession, path: str) -> DataFrame:
     """Files holding one document each, with the file as ``source``."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("body")
     )
 
