@@ -36,9 +36,11 @@ def title(html: Column) -> Column:
 
 
 def has_element(html: Column, tag: str, element_id: str | None = None) -> Column:
+    """Whether a start tag (with that id) is there. The plain search ahead of the pattern settles most pages."""
     if element_id is None:
         return F.regexp_like(html, F.lit(rf"(?i)<{tag}[\s/>]"))
-    return F.regexp_like(html, F.lit(rf"""(?i)<{tag}\s(?:[^>]*\s)?id\s*=\s*["']?(?-i:{element_id})["'\s/>]"""))
+    pattern = rf"""(?i)<{tag}\s(?:[^>]*\s)?id\s*=\s*["']?(?-i:{element_id})["'\s/>]"""
+    return F.contains(html, F.lit(element_id)) & F.regexp_like(html, F.lit(pattern))
 
 
 def is_challenge(html: Column, page_title: Column) -> Column:
@@ -46,7 +48,7 @@ def is_challenge(html: Column, page_title: Column) -> Column:
         F.lower(text.or_empty(page_title)), F.lit(CHALLENGE_TITLE_WORD)
     )
     frame = rf"""(?i)<iframe\s[^>]*src\s*=\s*["']?[^"'>]*(?-i:{CHALLENGE_FRAME.replace(".", "[.]")})"""
-    by_element = F.regexp_like(html, F.lit(frame))
+    by_element = F.contains(html, F.lit(CHALLENGE_FRAME)) & F.regexp_like(html, F.lit(frame))
     for div in CHALLENGE_DIVS:
         by_element = by_element | has_element(html, "div", div)
     return F.coalesce(by_title | by_element, F.lit(False))
@@ -55,6 +57,8 @@ def is_challenge(html: Column, page_title: Column) -> Column:
 def first_keyword(html: Column, page_title: Column, keywords: list[str]) -> Column:
     """First keyword of the list found in title or text, letter case ignored; NULL when none is."""
     low_html, low_title = F.lower(html), F.lower(page_title)
-    words = F.array(*[F.lit(word) for word in keywords])
-    found = F.filter(words, lambda word: F.contains(low_title, word) | F.contains(low_html, word))
-    return F.get(found, F.lit(0))
+    found = F.lit(None).cast("string")
+    for keyword in reversed(keywords):
+        word = F.lit(keyword)
+        found = F.when(F.contains(low_title, word) | F.contains(low_html, word), word).otherwise(found)
+    return found

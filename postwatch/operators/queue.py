@@ -66,10 +66,11 @@ def remaining(queue: DataFrame, newly_processed: DataFrame, hot_rows: int = skew
 def results(batch: DataFrame, triaged: DataFrame, queue: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """One result per batch row: the **first** queue row with its URL, all columns, plus ``html_file_path``.
 
-    A batch row whose page is not in ``triaged`` was not fetched and gives no result.
+    A batch row whose page is not in ``triaged`` was not fetched and gives no result. Of several copies of a page one
+    that was kept counts.
     """
     first = skew.first_row(queue, ["job_url"], [F.col("pos")])
-    paths = triaged.select(F.col("url").alias("job_url"), "html_file_path")
+    paths = triaged.groupBy(F.col("url").alias("job_url")).agg(F.max("html_file_path").alias("html_file_path"))
     found = first.join(paths, "job_url")
     asked = batch.select("job_url", F.col("pos").alias("_asked"))
     return skew.salted_join(asked, found, ["job_url"], "inner", ["_asked"], hot_rows).select(*queue.columns, "html_file_path")

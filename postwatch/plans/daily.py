@@ -70,20 +70,36 @@ def daily_digest(users: DataFrame, folded: DataFrame, postings: DataFrame, ledge
     return deliverable(subscriptions.confirmed(users), folded, postings, ledger, scoring, **options)
 
 
-def write_delivery(ranked: DataFrame, root: str, run_id: str, unsubscribe_base: str, day: str) -> None:
+def read_ledger(spark: SparkSession, root: str, run_id: str, ledger_table: str | None = None) -> DataFrame:
+    """What runs other than this one delivered, from the directory under ``root`` or from a bucketed table."""
+    if ledger_table:
+        return ledger_sink.read_bucketed(spark, ledger_table, without=run_id)
+    return ledger_sink.read(spark, f"{root}/sent_email", without=run_id)
+
+
+def write_delivery(ranked: DataFrame, root: str, run_id: str, unsubscribe_base: str, day: str,
+                   ledger_table: str | None = None) -> None:
     """Outbox and ledger of one run, both from rows written once, so a score is paid once and both agree."""
     spark = ranked.sparkSession
     staged = f"{root}/delivered/run_id={run_id}"
     ranked.write.mode("overwrite").parquet(staged)
     rows = spark.read.schema(ranked.schema).parquet(staged)
     runs.write_run(digest.outbox(rows, unsubscribe_base, day), f"{root}/outbox", run_id)
-    ledger_sink.append(digest.ledger_rows(rows), f"{root}/sent_email", run_id)
+    if ledger_table:
+        ledger_sink.append_bucketed(digest.ledger_rows(rows), ledger_table, run_id)
+    else:
+        ledger_sink.append(digest.ledger_rows(rows), f"{root}/sent_email", run_id)
 
 
 def run_daily(spark: SparkSession, users: DataFrame, folded: DataFrame, postings: DataFrame, scoring: Scoring, root: str,
-              run_id: str, unsubscribe_base: str, day: str, **options: int) -> DataFrame:
-    """One run against the ledger under ``root``. Done twice with one ``run_id`` it leaves the same tables."""
-    sent = ledger_sink.read(spark, f"{root}/sent_email", without=run_id)
+              run_id: str, unsubscribe_base: str, day: str, ledger_table: str | None = None,
+              **options: int) -> DataFrame:
+    """One run against the ledger. Done twice with one ``run_id`` it leaves the same tables.
+
+    The ledger only grows; once shuffling it in every run hurts, keep it in ``ledger_table`` (see
+    ``sinks.ledger.create_bucketed``).
+    """
+    sent = read_ledger(spark, root, run_id, ledger_table)
     ranked = daily_digest(users, folded, postings, sent, scoring, **options)
-    write_delivery(ranked, root, run_id, unsubscribe_base, day)
+    write_delivery(ranked, root, run_id, unsubscribe_base, day, ledger_table)
     return runs.read_runs(spark, f"{root}/outbox", schemas.OUTBOX).where(F.col("run_id") == run_id)

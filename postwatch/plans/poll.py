@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postwatch import schemas
-from postwatch.operators import changes, profiles, subscriptions
+from postwatch.operators import changes, matching, profiles, subscriptions
 from postwatch.plans import daily
-from postwatch.schemas import USER_KEY
-from postwatch.sinks import ledger as ledger_sink, runs, users as user_store
+from postwatch.schemas import SEARCH_KEY, USER_KEY
+from postwatch.sinks import runs, users as user_store
 
 # list column of an add request, child table, value column
 _CHILD_LISTS = [("skills", "skills", "skill"), ("experience", "experiences", "experience"), ("education", "educations", "education")]
@@ -27,6 +27,7 @@ class PollSettings:
     unsubscribe_base: str
     postings: Callable[[], DataFrame]
     scoring: Callable[[], daily.Scoring] = daily.Scoring
+    ledger_table: str | None = None
 
 
 def _stage(rows: DataFrame, path: str) -> DataFrame:
@@ -60,9 +61,10 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
     now = subscriptions.notify_now(after)
     ids = now.select(F.col("id").alias("user_id"))
     own = [user_store.children(spark, root, table).join(ids, "user_id", "left_semi") for _, table, _ in _CHILD_LISTS]
-    sent = ledger_sink.read(spark, f"{root}/sent_email", without=run_id)
-    ranked = daily.deliverable(now, profiles.fold(*own), settings.postings(), sent, settings.scoring())
-    daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day)
+    sent = daily.read_ledger(spark, root, run_id, settings.ledger_table)
+    searched = settings.postings().join(matching.search_keys(now), SEARCH_KEY, "left_semi")
+    ranked = daily.deliverable(now, profiles.fold(*own), searched, sent, settings.scoring())
+    daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day, settings.ledger_table)
 
     gone = before.join(after.select(*USER_KEY), USER_KEY, "left_anti")
     user_store.write(subscriptions.mark_seen(after, after), gone, root, run_id)

@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 _own_dirs: dict[str, str] = {}
@@ -34,6 +35,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **extra: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # small test tables: let adaptive execution keep more than one task per stage
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -27,8 +27,9 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, multi
 def with_row_index(rows: DataFrame) -> DataFrame:
     """Number the rows of every file from 0 in file order, as ``pos`` beside ``source_file``.
 
-    Each split counts its own rows (map side); the running totals run over split counts, one row per split,
-    so no data row is shuffled.
+    Each split counts its own rows (map side) and the running totals run over split counts. These are one short row
+    per split and are joined back by split: a broadcast while they are small, otherwise a join whose keys hold no more
+    rows than one split does.
     """
     tagged = rows.select(
         "*",
