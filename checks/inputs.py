@@ -7,6 +7,7 @@ so that the SQL twins in ``checks.oracles`` can state the same rules.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -268,11 +269,19 @@ class Inputs:
         return self.pages().where("page_id % 3 = 0").select(F.col("url").alias("job_url"))
 
 
-def overlap_in_pandas(batch: pd.DataFrame) -> pd.Series:
-    """The overlap score as a caller-supplied function; missing where an order has no requirements."""
+def overlap_function() -> Callable[[pd.DataFrame], pd.Series]:
+    """The overlap score as a caller-supplied function; missing where an order has no requirements.
+
+    Made here rather than defined at module level, so that it is shipped by value: workers need not have this module.
+    """
+    series = pd.Series
 
     def one(needed, own) -> float | None:
         wanted = set(needed) if needed is not None else set()
         return len(wanted & set(own)) / len(wanted) if wanted else None
 
-    return pd.Series([one(n, o) for n, o in zip(batch["requirements"], batch["skills"])], index=batch.index, dtype="float64")
+    def score(batch):
+        found = [one(needed, own) for needed, own in zip(batch["requirements"], batch["skills"])]
+        return series(found, index=batch.index, dtype="float64")
+
+    return score

@@ -276,7 +276,7 @@ _BODIES: dict[str, str] = {
     "digest_ranked": """
         SELECT user_id, link, date_posted,
                row_number() OVER (PARTITION BY user_id ORDER BY coalesce(date_posted, '') DESC, pos)::INTEGER AS card_no FROM candidates""",
-    "digest_sizes": "SELECT user_id, count(*) AS n_jobs FROM unsent GROUP BY user_id",
+    "digest_sizes": "SELECT user_id, count(*) AS n_jobs FROM kept GROUP BY user_id",
     "digest_outbox": f"""
         SELECT user_id, email, position, location, '{render.DIGEST_SUBJECT}' AS subject,
                '<h1>Roles for ' || {_escaped("position")} || ' · ' || {_escaped("location")} || '</h1><p>' || {_GREETING}

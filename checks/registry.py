@@ -258,7 +258,7 @@ def scores_by_function(t: Inputs) -> DataFrame:
     fresh = matching.unsent(t.scored().drop("score"), t.ledger()).select(
         "user_id", "link", "has_profile", "description", "requirements", "skills"
     )
-    scored = matching.scores_by_function(fresh, given.overlap_in_pandas, ["requirements", "skills"])
+    scored = matching.scores_by_function(fresh, given.overlap_function(), ["requirements", "skills"])
     return scored.select("user_id", "link", "score")
 
 
@@ -291,7 +291,7 @@ def digest_ranked(t: Inputs) -> DataFrame:
 
 @query
 def digest_sizes(t: Inputs) -> DataFrame:
-    return digest.sizes(matching.unsent(t.candidates().select(*CANDIDATE), t.ledger()))
+    return digest.sizes(daily.daily_digest(t.users(), t.profiles(), t.postings(), t.ledger(), t.scoring()))
 
 
 @query
