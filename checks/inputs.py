@@ -179,7 +179,7 @@ class Inputs:
     # --- candidates ----------------------------------------------------------------------------------------------
 
     def top(self) -> DataFrame:
-        return matching.one_per_link(matching.top_per_search(self.postings()))
+        return matching.one_per_link(matching.top_per_search(matching.with_text_flag(self.postings())))
 
     def candidates(self) -> DataFrame:
         users = self.users()

@@ -256,7 +256,7 @@ def overlap_scores(t: Inputs) -> DataFrame:
 @query
 def scores_by_function(t: Inputs) -> DataFrame:
     fresh = matching.unsent(t.scored().drop("score"), t.ledger()).select(
-        "user_id", "link", "has_profile", "description", "requirements", "skills"
+        "user_id", "link", "has_profile", "has_text", "requirements", "skills"
     )
     scored = matching.scores_by_function(fresh, given.overlap_function(), ["requirements", "skills"])
     return scored.select("user_id", "link", "score")
@@ -267,7 +267,7 @@ def score_filter(t: Inputs) -> DataFrame:
     table = posting_ops.parse_scores(t.landed_scores()).where("score IS NOT NULL")
     users = profiles.attach(subscriptions.confirmed(t.users()), t.profiles())
     cands = matching.candidates(users, t.top(), counted=subscriptions.confirmed(t.users()))
-    fresh = matching.unsent(cands.select(*CANDIDATE, "has_profile", "description"), t.ledger())
+    fresh = matching.unsent(cands.select(*CANDIDATE, "has_profile", "has_text"), t.ledger())
     kept = matching.score_filter(matching.with_scores(fresh, table))
     return kept.select("user_id", "link", "score")
 
@@ -364,7 +364,7 @@ def queue_remaining(t: Inputs) -> DataFrame:
 
 @query
 def processed_urls(t: Inputs) -> DataFrame:
-    newly = _pass(t).triaged.select(F.col("url").alias("job_url"))
+    newly = _pass(t).newly
     return queue_ops.processed_urls(t.processed(), newly)
 
 
@@ -375,8 +375,7 @@ def crawl_results(t: Inputs) -> DataFrame:
 
 @query
 def crawl_counts(t: Inputs) -> DataFrame:
-    newly = _pass(t).triaged.select(F.col("url").alias("job_url"))
-    return queue_ops.counts(t.queue(), t.processed(), newly)
+    return queue_ops.counts(t.queue(), t.processed(), _pass(t).newly)
 
 
 @query

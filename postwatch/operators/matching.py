@@ -25,6 +25,11 @@ def search_keys(users: DataFrame) -> DataFrame:
     return keys.withColumn("query", text.search_text(F.col("position"), F.col("location")))
 
 
+def with_text_flag(postings: DataFrame) -> DataFrame:
+    """Adds ``has_text``: whether there is a description to score. It lets the long text itself stay behind."""
+    return postings.withColumn("has_text", text.or_empty(F.col("description")) != "")
+
+
 def top_per_search(postings: DataFrame, k: int = PER_SEARCH, fanout: int = skew.FANOUT) -> DataFrame:
     """The first k postings of each search in response order."""
     return skew.first_k(postings, SEARCH_KEY, [F.col("pos"), F.col("link")], k, "search_rank", fanout)
@@ -88,14 +93,14 @@ def scores_by_function(
     """Adds ``score`` from a caller's function over Arrow batches.
 
     ``mapInPandas`` stays where it is put: a plain pandas UDF would be moved below the anti join and paid for
-    postings already sent. Only rows with a profile and a description are scored. Rows whose score is missing
+    postings already sent. Only rows with ``has_profile`` and ``has_text`` are scored. Rows whose score is missing
     keep NULL; an error the scorer wants tolerated per row must come back as a missing value.
     """
     schema = StructType([*cands.schema.fields, StructField("score", DoubleType())])
 
     def run(batches):
         for batch in batches:
-            asked = batch["has_profile"].astype(bool) & batch["description"].fillna("").ne("")
+            asked = (batch["has_profile"] & batch["has_text"]).astype(bool)
             score = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
             if asked.any():
                 score[asked] = scorer(batch.loc[asked, inputs]).astype("float64")
@@ -105,7 +110,7 @@ def scores_by_function(
 
 
 def consults_score() -> Column:
-    return F.col("has_profile") & (text.or_empty(F.col("description")) != "")
+    return F.col("has_profile") & F.col("has_text")
 
 
 def matches(threshold: float = THRESHOLD) -> Column:

@@ -36,8 +36,12 @@ class Scoring:
 
 def scored_candidates(users: DataFrame, folded: DataFrame, postings: DataFrame, scoring: Scoring,
                       k: int = matching.PER_SEARCH, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Candidates with profile lists, posting fields and, unless a function scores, ``score``."""
-    top = matching.one_per_link(matching.top_per_search(postings, k))
+    """Candidates with profile lists, posting fields and, unless a function scores, ``score``.
+
+    Only a function reads descriptions; without one they are dropped before anything is sorted or moved.
+    """
+    flagged = matching.with_text_flag(postings)
+    top = matching.one_per_link(matching.top_per_search(flagged if scoring.function else flagged.drop("description"), k))
     if scoring.requirements is not None:
         top = matching.with_requirements(top, scoring.requirements)
     cands = matching.candidates(profiles.attach(users, folded), top, hot_rows, counted=users)

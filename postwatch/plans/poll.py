@@ -61,7 +61,8 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
     now = subscriptions.notify_now(after)
     ids = now.select(F.col("id").alias("user_id"))
     own = [user_store.children(spark, root, table).join(ids, "user_id", "left_semi") for _, table, _ in _CHILD_LISTS]
-    sent = daily.read_ledger(spark, root, run_id, settings.ledger_table)
+    # few subscriptions beside a long ledger and all postings: cut both down before they are moved
+    sent = daily.read_ledger(spark, root, run_id, settings.ledger_table).join(now.select(*USER_KEY), USER_KEY, "left_semi")
     searched = settings.postings().join(matching.search_keys(now), SEARCH_KEY, "left_semi")
     ranked = daily.deliverable(now, profiles.fold(*own), searched, sent, settings.scoring())
     daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day, settings.ledger_table)

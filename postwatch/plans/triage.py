@@ -1,29 +1,47 @@
-"""One pass over a URL queue: choose a batch, judge its pages, write results, pages and the remaining queue."""
+"""One pass over a URL queue: choose a batch, judge its pages, and what to write of results, pages and queue."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from postwatch.operators import pages as page_ops, queue as queue_ops
 
+# A batch of at most this many rows is broadcast; ``size`` proves its bound.
+BROADCAST_ROWS = 10_000
+
 
 @dataclass(frozen=True)
 class Triage:
+    """``triaged`` has the verdicts without page texts, ``store`` the texts of the pages to keep."""
+
     batch: DataFrame
     triaged: DataFrame
+    newly: DataFrame
     results: DataFrame
+    store: DataFrame
     remaining: DataFrame
 
 
 def triage_pass(queue: DataFrame, processed: DataFrame, pages: DataFrame, directory: str, size: int | None = queue_ops.BATCH,
                 marker: str | None = None, keywords: list[str] | None = None,
                 required: tuple[str, str | None] | None = None) -> Triage:
-    """``size=None`` takes all of the queue. Rejected pages count as processed; rows without a page stay queued."""
+    """``size=None`` takes all of the queue. Rejected pages count as processed; rows without a page stay queued.
+
+    Pages are long. Beside a small batch they are cut down first, without moving; otherwise they are judged where they
+    lie and only the verdicts are joined. (An inner join with distinct URLs; a semi join would be pushed below the
+    verdicts and move the texts.)
+    """
     batch = queue_ops.next_batch(queue, processed, size, marker)
-    wanted = pages.join(batch.selectExpr("job_url AS url").distinct(), "url", "left_semi")
-    triaged = page_ops.triage(wanted, directory, keywords, required)
+    asked = batch.select(F.col("job_url").alias("url")).distinct()
+    if size is not None and size <= BROADCAST_ROWS:
+        judged = page_ops.triage(pages.join(F.broadcast(asked), "url", "left_semi"), directory, keywords, required)
+        triaged, store = judged.drop("html"), page_ops.store_rows(judged)
+    else:
+        judged = page_ops.triage(pages, directory, keywords, required)
+        triaged = judged.drop("html").join(asked, "url")
+        store = page_ops.store_rows(judged).join(asked, "url")
+    newly = triaged.select(F.col("url").alias("job_url")).distinct()
     results = queue_ops.results(batch, triaged, queue)
-    newly = triaged.selectExpr("url AS job_url")
-    return Triage(batch, triaged, results, queue_ops.remaining(queue, newly))
+    return Triage(batch, triaged, newly, results, store, queue_ops.remaining(queue, newly))

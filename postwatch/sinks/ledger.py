@@ -22,6 +22,11 @@ def after_run(ledger: DataFrame, delivered: DataFrame) -> DataFrame:
     return ledger.unionByName(delivered)
 
 
+def compact(spark: SparkSession, path: str, target: str, run_id: str) -> None:
+    """All runs as one run under another path, each key once."""
+    append(read(spark, path).distinct(), target, run_id)
+
+
 def create_bucketed(spark: SparkSession, table: str, buckets: int) -> None:
     """A catalog table bucketed by the whole key.
 

@@ -23,13 +23,13 @@ def cand(pos, link=None, date=None, user="u1", position="dev"):
     [(0.35, True, True), (0.3499, True, False), (None, True, True), (float("nan"), True, True), (0.0, False, True)],
 )
 def test_threshold(spark, score, has_profile, kept):
-    one = spark.createDataFrame([(score, has_profile, "text")], "score double, has_profile boolean, description string")
+    one = spark.createDataFrame([(score, has_profile, True)], "score double, has_profile boolean, has_text boolean")
     assert (matching.score_filter(one).count() == 1) is kept
 
 
 def test_no_description_is_not_scored(spark):
-    one = spark.createDataFrame([(0.0, True, ""), (0.0, True, None)], "score double, has_profile boolean, description string")
-    assert matching.score_filter(one).count() == 2
+    rows = spark.createDataFrame([(0.0, True, ""), (0.0, True, None), (0.0, True, "x")], "score double, has_profile boolean, description string")
+    assert matching.score_filter(matching.with_text_flag(rows)).count() == 2
 
 
 @pytest.mark.parametrize(
@@ -75,7 +75,7 @@ def test_deleted_and_added_again_is_not_sent_again(spark):
 def test_outcomes(spark):
     scores = [0.9, 0.1, None, 0.1]
     frame = spark.createDataFrame(
-        [(*cand(i), s, True) for i, s in enumerate(scores)], CAND + ", score double, has_profile boolean"
+        [(*cand(i), s, True, True) for i, s in enumerate(scores)], CAND + ", score double, has_profile boolean, has_text boolean"
     )
     ledger = spark.createDataFrame(
         [("u1@x.org", "https://x.org/3", "dev", "here")], "email string, job_url string, position string, location string"
@@ -119,6 +119,7 @@ def test_function_scores_only_rows_with_profile_and_description(spark):
         assert set(batch.columns) == {"description"}
         return batch["description"].str.len().where(batch["description"] != "x") / 10
 
+    frame = matching.with_text_flag(frame)
     got = {r.user_id: r.score for r in matching.scores_by_function(frame, scorer, ["description"]).collect()}
     assert got == {"a": 0.3, "b": None, "c": None, "d": None, "e": None}
 

@@ -19,18 +19,40 @@ def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_python_runs_in_one_query_only_and_once(spark):
-    for name, build in registry.all_queries().items():
-        found = PYTHON.findall(plan_of(build(spark, SF_DIR)))
-        assert len(found) == (1 if name == "scores_by_function" else 0), name
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: plan_of(build(spark, SF_DIR)) for name, build in registry.all_queries().items()}
 
 
-def test_no_cross_or_nested_loop_joins(spark):
-    for name, build in registry.all_queries().items():
-        plan = plan_of(build(spark, SF_DIR))
+def test_python_runs_in_one_query_only_and_once(plans):
+    for name, plan in plans.items():
+        assert len(PYTHON.findall(plan)) == (1 if name == "scores_by_function" else 0), name
+
+
+def test_no_cross_or_nested_loop_joins(plans):
+    for name, plan in plans.items():
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
+def test_page_texts_are_not_moved(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = registry.all_queries()["crawl_results"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin" in plan
+    moved = [line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line]
+    assert moved and not any("html#" in line for line in moved)
+    # what an exchange moves is the output of its child
+    for above, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+        if "Exchange" in above and "Project" in below:
+            assert "html#" not in below
+
+
 def test_function_stays_above_the_anti_join(spark):
     t = given.Inputs(session.configure(spark), SF_DIR)
 
@@ -98,9 +120,9 @@ def test_bucketed_ledger_is_not_shuffled(spark):
 
 
 @pytest.mark.parametrize("name", ["digest_ranked", "daily_digest"])
-def test_top_k_is_cut_ahead_of_the_shuffle(spark, name):
-    assert "WindowGroupLimit" in plan_of(registry.all_queries()[name](spark, SF_DIR))
+def test_top_k_is_cut_ahead_of_the_shuffle(plans, name):
+    assert "WindowGroupLimit" in plans[name]
 
 
-def test_first_rows_of_a_queue_need_no_global_sort(spark):
-    assert "TakeOrderedAndProject" in plan_of(registry.all_queries()["queue_next_batch"](spark, SF_DIR))
+def test_first_rows_of_a_queue_need_no_global_sort(plans):
+    assert "TakeOrderedAndProject" in plans["queue_next_batch"]

@@ -82,19 +82,21 @@ def page(title="ok", body="text"):
     return f"<html><head><title>{title}</title></head><body>{body}</body></html>"
 
 
-def test_triage_pass(spark):
+@pytest.mark.parametrize("size", [None, 100])
+def test_triage_pass(spark, size):
     rows = spark.createDataFrame(QUEUE, "pos long, job_url string, note string")
     done = spark.createDataFrame([("c",)], "job_url string")
     stored = spark.createDataFrame(
         [("a", page()), ("b", page("Job Not Found")), ("c", page()), ("unasked", page())], "url string, html string"
     )
-    out = triage.triage_pass(rows, done, stored, "dir", size=None)
+    out = triage.triage_pass(rows, done, stored, "dir", size=size)
     judged = {r.url: (r.keyword, r.html_file_path) for r in out.triaged.collect()}
     assert judged == {"a": (None, "dir/a.html"), "b": ("not found", "")}
     results = sorted(tuple(r) for r in out.results.select("pos", "job_url", "note", "html_file_path").collect())
     assert results == [(0, "a", "x", "dir/a.html")] * 3 + [(1, "b", "x", "")]
     assert sorted(r.pos for r in out.remaining.collect()) == [3, 4, 5]
-    counts = queue.counts(rows, done, out.triaged.select(F.col("url").alias("job_url"))).first().asDict()
+    assert [tuple(r)[:2] for r in out.store.select("url", "html_file_path", "html").collect()] == [("a", "dir/a.html")]
+    counts = queue.counts(rows, done, out.newly).first().asDict()
     assert counts == {"n_before": 1, "n_new": 2, "n_processed_total": 3, "n_queue": 7, "n_remaining": 3}
 
 

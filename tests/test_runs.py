@@ -34,6 +34,8 @@ def test_daily_run_twice(spark, tmp_path):
     # the same run again: the same tables
     again = daily.run_daily(spark, *args, "day1", given.UNSUBSCRIBE_BASE, "2025-01-01")
     assert contents(ledger_sink.read(spark, f"{root}/sent_email")) == before and again.count() > 0
+    ledger_sink.compact(spark, f"{root}/sent_email", f"{root}/compacted", "all")
+    assert contents(ledger_sink.read(spark, f"{root}/compacted")) == before
     # the next run on the same input: nothing left to send
     assert daily.run_daily(spark, *args, "day2", given.UNSUBSCRIBE_BASE, "2025-01-02").count() == 0
     assert contents(ledger_sink.read(spark, f"{root}/sent_email")) == before
