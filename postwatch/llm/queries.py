@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import common, decontaminate
+from postwatch.llm import common, decontaminate, phrases
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +29,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def all_oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
@@ -58,4 +63,21 @@ _ORACLES = {
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM folded LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
     """,
+    "op9_phrases": r"""
+        WITH split AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), places AS (
+            SELECT doc_id, r, i, array_to_string(w[i : i + 12], ' ') AS win
+            FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS i FROM split WHERE len(w) >= 13)
+        ), firsts AS (SELECT md5(win) AS h, min(doc_id) AS first FROM places GROUP BY h),
+        gone AS (
+            SELECT DISTINCT r, unnest(range(i, i + 13)) AS j
+            FROM (SELECT r, i FROM places JOIN firsts ON md5(win) = h AND first < doc_id)
+        ), kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS body
+            FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM split) ANTI JOIN gone USING (r, j) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (r)
+    """,
 }
