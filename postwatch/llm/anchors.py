@@ -10,6 +10,7 @@ Copies of one text form a class; only its first row (least doc_id) goes through
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postwatch.llm import common
@@ -39,11 +40,12 @@ def classes(summary: DataFrame) -> DataFrame:
 
 
 def recurring(summary: DataFrame) -> DataFrame:
-    """m, n: anchors of at least two texts. ``anchors`` holds an anchor's value and a mark of the text."""
+    """m, n: anchors of at least two texts. ``anchors`` holds their values, or structs of the value and a mark of the text."""
+    rows = summary.select(F.explode("anchors").alias("m"), "x")
+    if "struct" in dict(rows.dtypes)["m"]:
+        rows = rows.select("m.m", "m.x")
     return (
-        summary.select(F.explode("anchors").alias("m"), "x")
-        .select("m", "x")
-        .groupBy("m")
+        rows.groupBy("m")
         .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         .where("low <> high")
         .select("m", "n")
@@ -56,13 +58,14 @@ def candidates(summary: DataFrame, found: DataFrame, firsts: DataFrame, hot: int
     ``salts`` is 0 for an anchor of up to ``hot`` places, else into how many parts its places are to be dealt.
     """
     salts = F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).otherwise(0).cast("int").alias("salts")
-    per_text = summary.select("id", "x", F.explode("anchors").alias("m")).join(found, "m").select("id", "x", "m", salts)
+    anchor = "anchors.m" if "struct" in dict(summary.dtypes)["anchors"] else "anchors"
+    per_text = summary.select("id", "x", F.explode(anchor).alias("m")).join(found, "m").select("id", "x", "m", salts)
     listed = per_text.groupBy("id", "x").agg(F.collect_set(F.struct("m", "salts")).alias("marks"))
     return listed.join(firsts, ["id", "x"], "left_semi")
 
 
 def runs(least: np.ndarray, valid: np.ndarray, doc: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and one-past-last place of the stretches of valid windows of one text with one anchor, cut at ``longest``."""
+    """First and one-past-last place of the stretches of valid windows of one text with one ``least``, cut at ``longest``."""
     at = np.flatnonzero(valid)
     if not len(at):
         return at, at
@@ -75,3 +78,26 @@ def runs(least: np.ndarray, valid: np.ndarray, doc: np.ndarray, longest: int) ->
     start = at[np.repeat(first, parts)] + longest * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     end = np.minimum(start + longest, np.repeat(at[first] + length, parts))
     return start, end
+
+
+def wanted(marks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of (text, anchor) of a ``marks`` column, and each one's number of salts."""
+    entries = marks.flatten()
+    text = np.repeat(np.arange(len(marks), dtype=np.uint64), marks.value_lengths().to_numpy())
+    known = common.mixed(entries.field(0).to_numpy().astype(np.uint64) + common.mixed(text))
+    order = np.argsort(known)
+    return known[order], entries.field(1).to_numpy()[order]
+
+
+def among(known: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each (text, anchor) stands in ``known``, and whether it does; a chance hit costs work, not rightness."""
+    probe = common.mixed(anchor + common.mixed(text.astype(np.uint64)))
+    at = np.minimum(np.searchsorted(known, probe), len(known) - 1)
+    return at, known[at] == probe
+
+
+def nested(column: pa.Array, base: np.ndarray) -> np.ndarray:
+    """The numbers of a column of lists of lists, each added to its row's base."""
+    inner = column.flatten()
+    per_row = np.diff(np.append(0, np.cumsum(inner.value_lengths().to_numpy()))[np.append(0, np.cumsum(column.value_lengths().to_numpy()))])
+    return inner.flatten().to_numpy().astype(np.int64) + np.repeat(base, per_row)

@@ -99,25 +99,14 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _wanted(marks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of (text, anchor), and each one's number of salts."""
-    entries = marks.flatten()
-    text = np.repeat(np.arange(len(marks), dtype=np.uint64), marks.value_lengths().to_numpy())
-    known = common.mixed(entries.field(0).to_numpy().astype(np.uint64) + common.mixed(text))
-    order = np.argsort(known)
-    return known[order], entries.field(1).to_numpy()[order]
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of texts around their recurring anchors."""
     for batch, texts in common.chunks(batches):
         data, starts, ends, before = split(texts)
         least, valid, doc = _windows(data, starts, ends, before)
-        known, salts = _wanted(batch.column(batch.schema.get_field_index("marks")))
+        known, salts = anchors.wanted(batch.column(batch.schema.get_field_index("marks")))
         first, last = anchors.runs(least, valid, doc, LONGEST_RUN)
-        probe = common.mixed(least[first] + common.mixed(doc[first].astype(np.uint64)))
-        at = np.minimum(np.searchsorted(known, probe), len(known) - 1)
-        here = known[at] == probe
+        at, here = anchors.among(known, least[first], doc[first])
         at, first, last = at[here], first[here], last[here]
         text = doc[first]
         body = data.tobytes()
@@ -244,12 +233,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in common.chunks(batches):
         data, starts, ends, before = split(texts)
-        gone = batch.column(batch.schema.get_field_index("starts"))
-        first = gone.flatten().flatten().to_numpy().astype(np.int64)
-        per_text = np.diff(np.concatenate([[0], np.cumsum(gone.flatten().value_lengths().to_numpy())])[
-            np.concatenate([[0], np.cumsum(gone.value_lengths().to_numpy())])
-        ])
-        first += np.repeat(before[:-1], per_text)
+        first = anchors.nested(batch.column(batch.schema.get_field_index("starts")), before[:-1])
         dropped = common.covered(first, first + WINDOW, len(starts))
         upto = np.concatenate([[0], np.cumsum(dropped)])[before]
         kept = joined(data, starts, ends, before, ~dropped)
