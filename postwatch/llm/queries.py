@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import common, decontaminate, phrases, substrings
+from postwatch.llm import bpe, common, decontaminate, phrases, substrings, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,11 +29,21 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
@@ -68,6 +78,16 @@ _ORACLES = {
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM folded LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
     """,
+    "op8_warc": r"""
+        WITH rows AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT payload_digest, min(page_id) AS first FROM rows WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first < page_id THEN first END AS refers_to
+        FROM rows LEFT JOIN firsts USING (payload_digest)
+    """,
     "op9_phrases": r"""
         WITH split AS (
             SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
