@@ -74,7 +74,7 @@ def utf8(values: pa.Array) -> pa.Array:
     """A string array without nulls (null: empty) and with 64-bit offsets."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    return pc.fill_null(values.cast(pa.large_string()), "")
+    return values if pa.types.is_large_binary(values.type) else pc.fill_null(values.cast(pa.large_string()), "")
 
 
 def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
