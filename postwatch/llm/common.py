@@ -203,3 +203,51 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def size_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BLOCKS = "block int, salt int, body binary"
+_SALTS = 32
+
+
+def block_rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task's table that are not all zero, as rows to be added up."""
+    from pyspark import TaskContext
+
+    some = np.flatnonzero(table.any(axis=1))
+    salt = TaskContext.get().partitionId() % _SALTS
+    for part in np.array_split(some, max(1, len(some) // 64)):
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(part, pa.int32()),
+                pa.array(np.full(len(part), salt), pa.int32()),
+                pa.array([table[k].tobytes() for k in part], pa.binary()),
+            ],
+            ["block", "salt", "body"],
+        )
+
+
+def _adder(dtype: str, wide: str):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for block, salt, body in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.frombuffer(body, dtype)
+                if (block, salt) in total:
+                    total[block, salt] += values
+                else:
+                    total[block, salt] = values.astype(wide)
+        for (block, salt), values in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "salt", "body"]
+            )
+
+    return add
+
+
+def summed(rows: DataFrame, dtype: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The sums of the tasks' blocks, added up in two steps on the executors; the result has the fixed size of one table."""
+    wide = "int64" if dtype.startswith("int") else "float64"
+    once = rows.repartition("block", "salt").mapInArrow(_adder(dtype, wide), BLOCKS)
+    again = once.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_adder(wide, wide), BLOCKS)
+    for row in again.toLocalIterator():
+        yield row.block, np.frombuffer(row.body, wide)

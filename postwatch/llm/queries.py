@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import bpe, common, decontaminate, minhash, phrases, substrings, warc
+from postwatch.llm import bpe, common, decontaminate, minhash, near_dedup, phrases, substrings, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -44,6 +44,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
