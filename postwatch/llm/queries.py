@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import bpe, common, decontaminate, minhash, near_dedup, phrases, substrings, warc
+from postwatch.llm import bpe, common, decontaminate, minhash, near_dedup, phrases, quality, substrings, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -49,6 +49,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.scores(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
