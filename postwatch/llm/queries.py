@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import bpe, common, decontaminate, minhash, near_dedup, phrases, quality, substrings, warc
+from postwatch.llm import bpe, common, decontaminate, maxent, minhash, near_dedup, phrases, quality, substrings, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +65,11 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 def all_oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
