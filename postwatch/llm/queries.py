@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postwatch.llm import bpe, common, decontaminate, maxent, minhash, near_dedup, phrases, quality, substrings, warc
+from postwatch.llm import bpe, common, decontaminate, maxent, minhash, near_dedup, phrases, pii, quality, substrings, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,6 +34,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.find(documents, pii.fit(documents))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
