@@ -197,16 +197,19 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids of each row."""
+    """doc_id, n_tokens and ids of each row."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch, texts in common.chunks(batches):
             encoded = own.encode(texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in encoded], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            n = np.array([len(x) for x in encoded], np.int64)
+            ids = common.lists(pa.array(np.concatenate(encoded).astype(np.int32)), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids], ["doc_id", "n_tokens", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -220,3 +223,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded (the text that the ids decode to) of each row."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path)
+        for batch in batches:
+            texts = [own.decode(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return encode(documents, path).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -198,11 +198,10 @@ def groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, one row of each group."""
     stays = common.staged(classes(documents, threshold).where("kept").groupBy("id", "x").agg(F.count("*").alias("n")), "near")
-    own = ["__id", "__x"]
-    keyed = documents.withColumns(
-        {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(anchors.NO_ID)), "__x": F.xxhash64(common.text_of())}
-    )
-    left = keyed.join(stays.select(F.col("id").alias("__id"), F.col("x").alias("__x")), own, "left_semi")
+    own = [common.unused(documents, name) for name in ("id", "x")]
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(anchors.NO_ID)), F.xxhash64(common.text_of()))
+    keyed = documents.withColumns(dict(zip(own, keys)))
+    left = keyed.join(stays.select(*[F.col(c).alias(name) for c, name in zip(("id", "x"), own)]), own, "left_semi")
     if not stays.where("n > 1").isEmpty():
         left = left.dropDuplicates(own)
     return left.select(*documents.columns)
