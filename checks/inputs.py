@@ -20,6 +20,7 @@ SECRET = "fixture"
 CONFIRM_BASE = "https://alerts.example.org"
 UNSUBSCRIBE_BASE = "https://alerts.example.org/unsubscribe"
 DAY = "2024-06-01"
+GREETINGS = ["New postings for you.", "Today's postings."]
 KEYWORDS = ["free", "pills", "nicht"]
 BLOCKED = ["cheap-pills", "spam-farm"]
 MARKER = "/en/"
@@ -86,21 +87,21 @@ class Inputs:
         )
 
     def skills(self) -> DataFrame:
-        rows = self._bought().where("o_custkey % 3 <> 0").select("o_custkey", "p_brand").distinct()
+        rows = self._bought().select("o_custkey", "p_brand").distinct()
         number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
         return rows.select(
             number.alias("id"), F.col("o_custkey").cast("string").alias("user_id"), F.col("p_brand").alias("skill")
         )
 
     def experiences(self) -> DataFrame:
-        rows = self._bought().where("o_custkey % 3 = 1").select("o_custkey", "p_type").distinct()
+        rows = self._bought().select("o_custkey", "p_type").distinct()
         return rows.select(
             F.length("p_type").alias("id"), F.col("o_custkey").cast("string").alias("user_id"),
             F.col("p_type").alias("experience"),
         )
 
     def educations(self) -> DataFrame:
-        rows = self.given("orders").where("o_custkey % 3 = 2").select("o_custkey", "o_orderpriority").distinct()
+        rows = self.given("orders").select("o_custkey", "o_orderpriority").distinct()
         return rows.select(
             F.substring("o_orderpriority", 1, 1).cast("int").alias("id"),
             F.col("o_custkey").cast("string").alias("user_id"),
@@ -126,7 +127,9 @@ class Inputs:
             F.concat(F.lit("https://jobs.example.org/"), key.cast("string")).alias("link"),
             F.when(key % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date_posted"),
             F.col("o_orderstatus").alias("employment_type"),
-            F.concat(title, F.lit(" for "), F.col("c_name"), F.lit(", status "), F.col("o_orderstatus")).alias("description"),
+            F.when(key % 11 == 0, "")
+            .otherwise(F.concat(title, F.lit(" for "), F.col("c_name"), F.lit(", status "), F.col("o_orderstatus")))
+            .alias("description"),
         )
 
     def requirements(self) -> DataFrame:
@@ -154,7 +157,8 @@ class Inputs:
             "pos",
             F.when(F.col("pos") % 3 == 0, F.concat(F.lit("  "), F.col("title"), F.lit("\t"))).otherwise(F.col("title")).alias("title"),
             "company", F.col("job_location").alias("location"), sent_link.alias("link"),
-            F.col("date_posted").alias("datePosted"), F.col("employment_type").alias("employmentType"), "description",
+            F.col("date_posted").alias("datePosted"), F.col("employment_type").alias("employmentType"),
+            F.coalesce(F.nullif("description", F.lit("")), F.lit("none given")).alias("description"),
         )
         grouped = chunked.groupBy("position", "location", "chunk").agg(
             F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(job)).alias("jobs")
@@ -216,10 +220,9 @@ class Inputs:
     # --- change requests -----------------------------------------------------------------------------------------
 
     def feed(self) -> DataFrame:
-        """(seq, kind, body): signups, errors and purchases as add, delete and confirm requests."""
+        """(seq, kind, body): signups, errors and purchases as add, delete and confirm requests, other events under their own name."""
         people = self.users().select(F.col("id").alias("_id"), "email", F.col("position").alias("_p"), F.col("location").alias("_l"))
-        events = self.given("events").where("event_type IN ('signup', 'error', 'purchase')")
-        rows = events.join(people, F.col("user_id").cast("string") == F.col("_id"))
+        rows = self.given("events").join(people, F.col("user_id").cast("string") == F.col("_id"))
         no = F.col("event_id")
         segment = F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (no % 5 + 1).cast("int"))
         nation = F.concat(F.lit("NATION_"), (no % 25).cast("string"))
@@ -240,7 +243,8 @@ class Inputs:
         drop = F.to_json(F.struct("email", F.when(~gap, position).alias("position"), location.alias("location")))
         token = F.concat(F.lit("tok-"), F.col("user_id").cast("string"))
         sure = F.to_json(F.struct(F.when(~gap, token).alias("token")))
-        kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").otherwise("confirm")
+        named = {"signup": "add", "error": "delete", "purchase": "confirm"}
+        kind = F.coalesce(*[F.when(F.col("event_type") == event, F.lit(name)) for event, name in named.items()], F.col("event_type"))
         text = F.when(kind == "add", add).when(kind == "delete", drop).otherwise(sure)
         return rows.select(no.alias("seq"), kind.alias("kind"), text.alias("_text")).select(
             "seq", "kind",
@@ -256,7 +260,13 @@ class Inputs:
     # --- pages and queues ----------------------------------------------------------------------------------------
 
     def pages(self) -> DataFrame:
-        return self.given("pages")
+        """The given pages; by key, some have their article renamed, a table or a description added, or a challenge's title."""
+        no, page = F.col("page_id"), F.col("html")
+        page = F.when(no % 4 == 1, F.replace(page, F.lit("<article"), F.lit("<section"))).otherwise(page)
+        page = F.when(no % 3 == 0, F.concat(page, F.lit("<table class='t'></table>"))).otherwise(page)
+        page = F.when(no % 5 == 0, F.concat(page, F.lit('<div class="b" id="jobDescriptionText">x</div>'))).otherwise(page)
+        page = F.when(no % 7 == 0, F.replace(page, F.lit("<title>"), F.lit("<title>Just a moment... "))).otherwise(page)
+        return self.given("pages").withColumn("html", page)
 
     def queue(self) -> DataFrame:
         """(pos, job_url, note): every page URL, some a second time."""
@@ -269,8 +279,9 @@ class Inputs:
         return self.pages().where("page_id % 3 = 0").select(F.col("url").alias("job_url"))
 
 
-def overlap_function() -> Callable[[pd.DataFrame], pd.Series]:
-    """The overlap score as a caller-supplied function; missing where an order has no requirements.
+def overlap_function(fails: bool = False) -> Callable[[pd.DataFrame], pd.Series]:
+    """The overlap score as a caller-supplied function; missing where an order has no requirements. With ``fails`` it raises
+    for postings whose ``pos`` ends in 3.
 
     Made here rather than defined at module level, so that it is shipped by value: workers need not have this module.
     """
@@ -281,6 +292,8 @@ def overlap_function() -> Callable[[pd.DataFrame], pd.Series]:
         return len(wanted & set(own)) / len(wanted) if wanted else None
 
     def score(batch):
+        if fails and (batch["pos"] % 10 == 3).any():
+            raise ValueError("no score for these postings")
         found = [one(needed, own) for needed, own in zip(batch["requirements"], batch["skills"])]
         return series(found, index=batch.index, dtype="float64")
 

@@ -10,7 +10,7 @@ from checks import inputs as given
 from postwatch.functions import render
 
 _SEGMENTS = "[" + ", ".join(f"'{s}'" for s in given.SEGMENTS) + "]"
-_GREETINGS = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in render.GREETINGS) + "]"
+_GREETINGS = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in given.GREETINGS) + "]"
 
 
 def _escaped(text: str) -> str:
@@ -33,13 +33,13 @@ _CTES: dict[str, str] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "skills": """
         SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1)::INTEGER AS id, o_custkey::VARCHAR AS user_id, p_brand AS skill
-        FROM bought WHERE o_custkey % 3 <> 0""",
+        FROM bought""",
     "experiences": """
         SELECT DISTINCT length(p_type) AS id, o_custkey::VARCHAR AS user_id, p_type AS experience
-        FROM bought WHERE o_custkey % 3 = 1""",
+        FROM bought""",
     "educations": """
         SELECT DISTINCT substr(o_orderpriority, 1, 1)::INTEGER AS id, o_custkey::VARCHAR AS user_id, o_orderpriority AS education
-        FROM orders WHERE o_custkey % 3 = 2""",
+        FROM orders""",
     "skill_lists": "SELECT user_id, string_agg(skill, '|' ORDER BY id, skill) AS skills FROM skills GROUP BY user_id",
     "experience_lists": "SELECT user_id, string_agg(experience, '|' ORDER BY id, experience) AS experiences FROM experiences GROUP BY user_id",
     "education_lists": "SELECT user_id, string_agg(education, '|' ORDER BY id, education) AS qualifications FROM educations GROUP BY user_id",
@@ -50,7 +50,8 @@ _CTES: dict[str, str] = {
                'https://jobs.example.org/' || o_orderkey AS link,
                CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date_posted,
                o_orderstatus AS employment_type,
-               o_orderpriority || ' order ' || o_orderkey || ' for ' || c_name || ', status ' || o_orderstatus AS description
+               CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority || ' order ' || o_orderkey || ' for ' || c_name
+                 || ', status ' || o_orderstatus END AS description
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "responses": f"""
         SELECT *, pos // {given.KEYS_PER_RESPONSE} AS chunk,
@@ -61,7 +62,7 @@ _CTES: dict[str, str] = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position, location ORDER BY pos)::INTEGER AS search_rank FROM postings)
         WHERE search_rank <= 10""",
     "candidates": """
-        SELECT u.id AS user_id, u.email, u.position, u.location, t.link, t.pos, t.date_posted, t.title, t.company, t.job_location
+        SELECT u.id AS user_id, u.email, u.position, u.location, t.link, t.pos, t.date_posted, t.title, t.company, t.job_location, t.description
         FROM users u JOIN top t ON u.position = t.position AND u.location = t.location WHERE u.is_confirmed""",
     "ledger": """
         SELECT email, link AS job_url, position, location FROM candidates WHERE (user_id::BIGINT * 31 + pos * 17) % 4 = 0""",
@@ -79,25 +80,25 @@ _CTES: dict[str, str] = {
     "scores": "SELECT user_id, link, matched::DOUBLE / wanted::DOUBLE AS score FROM hits",
     "kept": """
         SELECT u.*, s.score FROM unsent u LEFT JOIN scores s ON s.user_id = u.user_id AND s.link = u.link
-        WHERE s.score IS NULL OR NOT s.score < 0.35""",
+        WHERE s.score IS NULL OR u.description = '' OR NOT s.score < 0.35""",
     "ranked": """
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(date_posted, '') DESC, pos)::INTEGER AS card_no FROM kept""",
     "feed": f"""
         SELECT event_id AS seq,
-               CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'confirm' END AS kind,
+               CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'confirm' ELSE event_type END AS kind,
                u.email AS own_email, 'tok-' || e.user_id AS own_token,
                CASE WHEN event_id % 4 = 0 THEN u.position ELSE {_SEGMENTS}[event_id % 5 + 1] END AS any_position,
                CASE WHEN event_id % 4 = 0 THEN u.location ELSE 'NATION_' || (event_id % 25) END AS any_location
-        FROM events e JOIN users u ON u.id = e.user_id::VARCHAR WHERE event_type IN ('signup', 'error', 'purchase')""",
+        FROM events e JOIN users u ON u.id = e.user_id::VARCHAR""",
     "parsed": """
-        SELECT seq, kind, CASE WHEN kind <> 'confirm' THEN own_email END AS email,
+        SELECT seq, kind, CASE WHEN kind IN ('add', 'delete') THEN own_email END AS email,
                CASE WHEN kind = 'add' OR (kind = 'delete' AND seq % 9 <> 0) THEN any_position END AS position,
-               CASE WHEN kind <> 'confirm' THEN any_location END AS location,
+               CASE WHEN kind IN ('add', 'delete') THEN any_location END AS location,
                CASE WHEN kind = 'add' AND seq % 9 <> 0 THEN 'full-time' END AS job_type,
-               CASE WHEN kind = 'confirm' AND seq % 9 <> 0 THEN own_token END AS token,
+               CASE WHEN kind NOT IN ('add', 'delete') AND seq % 9 <> 0 THEN own_token END AS token,
                CASE WHEN kind = 'add' THEN 'Brand#' || (seq % 25) || '|' || 'Brand#' || (seq % 7) END AS skills,
                CASE WHEN kind = 'add' THEN 'Brand#' || (seq % 3) END AS experience,
-               CASE WHEN seq % 17 = 0 THEN 'bad_json' WHEN seq % 9 = 0 THEN
+               CASE WHEN seq % 17 = 0 THEN 'bad_json' WHEN kind IN ('view', 'click') THEN 'unknown_kind' WHEN seq % 9 = 0 THEN
                     CASE kind WHEN 'add' THEN 'missing_jobType' WHEN 'delete' THEN 'missing_position' ELSE 'missing_token' END
                END AS reject_reason
         FROM feed""",
@@ -118,10 +119,17 @@ _CTES: dict[str, str] = {
             WHERE a.kind = 'add' AND (g.last_delete IS NULL OR a.seq > g.last_delete)) s
         WHERE rn = 1 AND (last_delete IS NOT NULL OR NOT EXISTS (
             SELECT 1 FROM users u WHERE u.email = s.email AND u.position = s.position AND u.location = s.location))""",
+    "varied": """
+        SELECT page_id, url,
+               CASE WHEN page_id % 7 = 0 THEN replace(c, '<title>', '<title>Just a moment... ') ELSE c END AS html
+        FROM (SELECT page_id, url,
+                     CASE WHEN page_id % 4 = 1 THEN replace(html, '<article', '<section') ELSE html END
+                       || CASE WHEN page_id % 3 = 0 THEN '<table class=''t''></table>' ELSE '' END
+                       || CASE WHEN page_id % 5 = 0 THEN '<div class="b" id="jobDescriptionText">x</div>' ELSE '' END AS c FROM pages)""",
     "titled": r"""
         SELECT page_id, url, html,
                trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title
-        FROM pages""",
+        FROM varied""",
     "judged": """
         SELECT *, CASE WHEN contains(lower(title), 'free') OR contains(lower(html), 'free') THEN 'free'
                        WHEN contains(lower(title), 'pills') OR contains(lower(html), 'pills') THEN 'pills'
@@ -170,7 +178,7 @@ def _unsubscribe(email: str, position: str, location: str, encode: bool = True)
 
 _GREETING = (
     f"{_GREETINGS}[('0x' || substr(md5('{given.DAY}|' || email || '|' || position || '|' || location), 1, 8))::BIGINT "
-    f"% {len(render.GREETINGS)} + 1]"
+    f"% {len(given.GREETINGS)} + 1]"
 )
 _USERS = "id, email, position, location, job_type, is_new, is_confirmed, confirmation_token"
 _CANDIDATE = "user_id, email, position, location, link, pos"
@@ -204,21 +212,22 @@ _BODIES: dict[str, str] = {
                CASE WHEN t.token IS NULL THEN confirmation_token END AS confirmation_token
         FROM users LEFT JOIN (SELECT DISTINCT token FROM requests WHERE kind = 'confirm') t ON token = confirmation_token""",
     "users_mark_seen": """
-        SELECT id, email, position, location, job_type, false AS is_new, is_confirmed, confirmation_token FROM users""",
+        SELECT id, email, position, location, job_type, is_new AND id::BIGINT % 8 <> 0 AS is_new, is_confirmed, confirmation_token FROM users""",
     "users_after_requests": f"""
         SELECT id, email, position, location, job_type, is_new, is_confirmed OR t.token IS NOT NULL AS is_confirmed,
                CASE WHEN t.token IS NULL THEN confirmation_token END AS confirmation_token
         FROM (SELECT {_USERS} FROM kept_users UNION ALL {_ADDED} standing) a
         LEFT JOIN (SELECT DISTINCT token FROM requests WHERE kind = 'confirm') t ON token = confirmation_token""",
-    "profiles": """
+    "profiles": f"""
         SELECT id, coalesce(skills, '') AS skills, coalesce(experiences, '') AS experiences,
                coalesce(qualifications, '') AS qualifications,
                skills IS NOT NULL OR experiences IS NOT NULL OR qualifications IS NOT NULL AS has_profile
-        FROM users LEFT JOIN skill_lists s ON s.user_id = id LEFT JOIN experience_lists e ON e.user_id = id
-        LEFT JOIN education_lists d ON d.user_id = id""",
+        FROM (SELECT id FROM users UNION ALL SELECT id FROM ({_ADDED} accepted)) LEFT JOIN skill_lists s ON s.user_id = id
+        LEFT JOIN experience_lists e ON e.user_id = id LEFT JOIN education_lists d ON d.user_id = id""",
     "evolve_users": f"""
-        SELECT {_uuid()} AS id, email, position, location, job_type, true AS is_new, false AS is_confirmed,
-               NULL::VARCHAR AS confirmation_token, true AS was_new FROM users""",
+        SELECT id, email, position, location, job_type, is_new, false AS is_confirmed, NULL::VARCHAR AS confirmation_token,
+               'down and up' AS path FROM users
+        UNION ALL SELECT {_uuid()}, email, position, location, job_type, true, false, NULL, 'from base' FROM users""",
     "key_violations": """
         SELECT email, position, location, count(*) AS n_rows FROM requests WHERE kind = 'add'
         GROUP BY email, position, location HAVING count(*) > 1""",
@@ -232,14 +241,15 @@ _BODIES: dict[str, str] = {
         WHERE {_BAD_RESPONSE} IS NOT NULL
         UNION ALL SELECT 'score', user_id || '/' || link, 'bad_json' FROM scores WHERE {_CUT_SCORE}""",
     "postings_scan": f"""
-        SELECT position, location, chunk, place AS pos, title, company, job_location, link, date_posted, employment_type, description
+        SELECT position, location, chunk, place AS pos, title, company, job_location, link, date_posted, employment_type,
+               coalesce(nullif(description, ''), 'none given') AS description
         FROM responses WHERE {_BAD_RESPONSE} IS NULL""",
     "responses_valid": f"""
         SELECT position, location, chunk, position || ' jobs in ' || location AS query, count(*)::INTEGER AS n_jobs
         FROM responses WHERE {_BAD_RESPONSE} IS NULL GROUP BY position, location, chunk""",
     "postings_valid": """
         SELECT pos, CASE pos % 6 WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE title END AS title, company, job_location, link,
-               description, pos % 6 NOT IN (1, 2) AS valid FROM postings""",
+               description, pos % 6 NOT IN (1, 2) AND description <> '' AS valid FROM postings""",
     "postings_links": """
         SELECT o_orderkey, CASE o_orderkey % 8
             WHEN 0 THEN 'https://jobs.example.org/' || o_orderkey
@@ -259,16 +269,20 @@ _BODIES: dict[str, str] = {
         SELECT c.user_id, c.link, c.user_id IN (SELECT user_id FROM profile_ids) AS has_profile, s.score
         FROM candidates c LEFT JOIN scores s ON s.user_id = c.user_id AND s.link = c.link""",
     "scores_by_function": """
-        SELECT u.user_id, u.link, s.score FROM unsent u LEFT JOIN scores s ON s.user_id = u.user_id AND s.link = u.link""",
+        SELECT u.user_id, u.link, CASE WHEN u.description <> '' THEN s.score END AS score
+        FROM unsent u LEFT JOIN scores s ON s.user_id = u.user_id AND s.link = u.link""",
+    "scores_by_function_failing": """
+        SELECT u.user_id, u.link, CASE WHEN u.description <> '' AND u.pos % 10 <> 3 THEN s.score END AS score
+        FROM unsent u LEFT JOIN scores s ON s.user_id = u.user_id AND s.link = u.link""",
     "score_filter": f"""
         SELECT u.user_id, u.link, s.score
         FROM unsent u LEFT JOIN (SELECT * FROM scores WHERE NOT {_CUT_SCORE}) s ON s.user_id = u.user_id AND s.link = u.link
-        WHERE s.score IS NULL OR s.score >= 0.35""",
+        WHERE s.score IS NULL OR u.description = '' OR s.score >= 0.35""",
     "outcome_counts": """
         SELECT outcome, score_text, count(*) AS n_candidates FROM (
-            SELECT CASE WHEN l.email IS NOT NULL THEN 'already_sent' WHEN s.score IS NULL THEN 'unscored'
+            SELECT CASE WHEN l.email IS NOT NULL THEN 'already_sent' WHEN s.score IS NULL OR c.description = '' THEN 'unscored'
                         WHEN s.score < 0.35 THEN 'below_threshold' ELSE 'passed' END AS outcome,
-                   CASE WHEN l.email IS NULL AND s.score IS NOT NULL THEN printf('%.2f', s.score) END AS score_text
+                   CASE WHEN l.email IS NULL AND s.score IS NOT NULL AND c.description <> '' THEN printf('%.2f', s.score) END AS score_text
             FROM candidates c LEFT JOIN scores s ON s.user_id = c.user_id AND s.link = c.link
             LEFT JOIN ledger l ON l.email = c.email AND l.job_url = c.link AND l.position = c.position AND l.location = c.location)
         GROUP BY outcome, score_text""",
@@ -305,6 +319,9 @@ _BODIES: dict[str, str] = {
         SELECT f.pos, f.job_url, f.note, t.html_file_path
         FROM queue q JOIN newly n ON n.job_url = q.job_url
         JOIN (SELECT * FROM queue WHERE note = 'copy 0') f ON f.job_url = q.job_url JOIN triaged t ON t.url = q.job_url""",
+    "queue_batch_results": """
+        SELECT f.pos, f.job_url, f.note, t.html_file_path
+        FROM (SELECT * FROM queue WHERE job_url NOT IN (SELECT job_url FROM processed) ORDER BY pos LIMIT 100) q JOIN (SELECT * FROM queue WHERE note = 'copy 0') f ON f.job_url = q.job_url JOIN triaged t ON t.url = q.job_url""",
     "crawl_counts": """
         SELECT (SELECT count(DISTINCT job_url) FROM processed) AS n_before, (SELECT count(*) FROM newly) AS n_new,
                (SELECT count(DISTINCT job_url) FROM processed) + (SELECT count(*) FROM newly) AS n_processed_total,
@@ -315,7 +332,7 @@ _BODIES: dict[str, str] = {
     "page_has_element": r"""
         SELECT page_id, regexp_matches(html, '(?i)<article[\s/>]') AS has_article,
                regexp_matches(html, '(?i)<table[\s/>]') AS has_table,
-               contains(html, 'id="jobDescriptionText"') AS has_job_text FROM pages""",
+               contains(html, 'id="jobDescriptionText"') AS has_job_text FROM varied""",
     "page_titles": "SELECT page_id, title FROM titled",
     "file_keys": """
         SELECT page_id, path_key, 'page_' || page_id || '_' || regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g') || '.html' AS indexed_key

@@ -111,7 +111,7 @@ def confirm_users(t: Inputs) -> DataFrame:
 @query
 def users_mark_seen(t: Inputs) -> DataFrame:
     users = t.users()
-    return subscriptions.mark_seen(users, subscriptions.new(users))
+    return subscriptions.mark_seen(users, subscriptions.new(users).where("cast(id AS long) % 8 = 0"))
 
 
 @query
@@ -121,7 +121,9 @@ def users_after_requests(t: Inputs) -> DataFrame:
 
 @query
 def profiles_folded(t: Inputs) -> DataFrame:
-    rows = profiles.attach(t.users(), t.profiles())
+    # subscriptions added by request have no rows in the profile tables
+    users = subscriptions.upsert(t.users(), changes.of_kind(t.requests(), "add"), t.token())
+    rows = profiles.attach(users, t.profiles())
     return rows.select("id", *[_joined(name) for name in profiles.LISTS], "has_profile")
 
 
@@ -130,11 +132,13 @@ _queries["profiles"] = _queries.pop("profiles_folded")
 
 @query
 def evolve_users(t: Inputs) -> DataFrame:
-    base = t.users().select(*USER_KEY, "job_type")
+    """Back to the revision before confirmations and up again: flags are kept or lost as the revisions say; and from scratch."""
     key_id = subscriptions.key_uuid(*[F.col(c) for c in USER_KEY])
-    full = evolution.upgrade(base, "base", user_id=key_id)
-    earlier = evolution.downgrade(full, "confirmation", "new_flag")
-    return full.join(earlier.select(*USER_KEY, F.col("is_new").alias("was_new")), USER_KEY)
+    earlier = evolution.downgrade(t.users(), "confirmation", "uuid_key")
+    again = evolution.upgrade(earlier, "uuid_key").withColumn("path", F.lit("down and up"))
+    bare = evolution.downgrade(t.users(), "confirmation", "base")
+    fresh = evolution.upgrade(bare, "base", user_id=key_id).withColumn("path", F.lit("from base"))
+    return again.unionByName(fresh)
 
 
 @query
@@ -297,7 +301,7 @@ def digest_sizes(t: Inputs) -> DataFrame:
 @query
 def digest_outbox(t: Inputs) -> DataFrame:
     rows = daily.daily_digest(t.users(), t.profiles(), t.postings(), t.ledger(), t.scoring())
-    return digest.outbox(rows, given.UNSUBSCRIBE_BASE, given.DAY)
+    return digest.outbox(rows, given.UNSUBSCRIBE_BASE, given.DAY, greetings=given.GREETINGS)
 
 
 @query
@@ -309,7 +313,7 @@ def ledger_after_run(t: Inputs) -> DataFrame:
 
 @query
 def digest_greeting(t: Inputs) -> DataFrame:
-    return t.users().select("id", render.greeting(given.DAY, *[F.col(c) for c in USER_KEY]).alias("greeting"))
+    return t.users().select("id", render.greeting(given.DAY, *[F.col(c) for c in USER_KEY], lines=given.GREETINGS).alias("greeting"))
 
 
 @query
@@ -357,6 +361,21 @@ def queue_next_batch(t: Inputs) -> DataFrame:
     return queue_ops.next_batch(t.queue(), t.processed(), marker=given.MARKER)
 
 
+@query
+def queue_batch_results(t: Inputs) -> DataFrame:
+    return triage.triage_pass(t.queue(), t.processed(), t.pages(), "html", keywords=given.KEYWORDS).results
+
+
+@query
+def scores_by_function_failing(t: Inputs) -> DataFrame:
+    """The scorer raises on some rows; those keep no score, all others theirs."""
+    fresh = matching.unsent(t.scored().drop("score"), t.ledger()).select(
+        "user_id", "link", "pos", "has_profile", "has_text", "requirements", "skills"
+    )
+    scored = matching.scores_by_function(fresh, given.overlap_function(fails=True), ["requirements", "skills", "pos"])
+    return scored.select("user_id", "link", "score")
+
+
 @query
 def queue_remaining(t: Inputs) -> DataFrame:
     return _pass(t).remaining.select("pos", "job_url", "note")

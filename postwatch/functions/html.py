@@ -55,10 +55,17 @@ def is_challenge(html: Column, page_title: Column) -> Column:
 
 
 def first_keyword(html: Column, page_title: Column, keywords: list[str]) -> Column:
-    """First keyword of the list found in title or text, letter case ignored; NULL when none is."""
-    low_html, low_title = F.lower(html), F.lower(page_title)
-    found = F.lit(None).cast("string")
-    for keyword in reversed(keywords):
-        word = F.lit(keyword)
-        found = F.when(F.contains(low_title, word) | F.contains(low_html, word), word).otherwise(found)
-    return found
+    """First keyword of the list found in title or text, letter case ignored; NULL when none is.
+
+    Both texts are lower-cased once: the keywords are tried inside one expression over the two.
+    """
+    lowered = F.array(F.struct(F.lower(html).alias("page"), F.lower(page_title).alias("title")))
+
+    def first(texts: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for keyword in reversed(keywords):
+            word = F.lit(keyword)
+            found = F.when(F.contains(texts.title, word) | F.contains(texts.page, word), word).otherwise(found)
+        return found
+
+    return F.element_at(F.transform(lowered, first), 1)

@@ -60,18 +60,13 @@ def is_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
-def text_list_ok(value: Column, may_hold_null: Column) -> Column:
-    """Absent (the default is an empty list) or an array holding only strings.
-
-    Looking at every item is dear and only needed to find null items, so it is left out where the text of the
-    document does not hold the word (``may_hold_null``).
-    """
+def text_list_ok(value: Column) -> Column:
+    """Absent (the default is an empty list) or an array holding only strings."""
     kind = json_type(value)
     texts = F.try_variant_get(value, "$", "array<string>")
     full = (kind == "ARRAY<STRING>") & F.forall(texts, lambda item: item.isNotNull())
     none = (kind == "ARRAY<VOID>") & (F.size(texts) == 0)
-    ok = F.when(may_hold_null, full | none).otherwise(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"))
-    return F.when(value.isNull(), True).otherwise(F.coalesce(ok, F.lit(False)))
+    return F.when(value.isNull(), True).otherwise(F.coalesce(full | none, F.lit(False)))
 
 
 def text_list(value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, DateType
@@ -15,13 +16,8 @@ NO_POSITION = "your role"
 DIGEST_SUBJECT = "Found some job opportunities for you!"
 WELCOME_SUBJECT = "Please confirm your job alert"
 
-GREETINGS = [
-    "These openings came up for your search.",
-    "New postings, ready to read.",
-    "A short list that fits what you asked for.",
-    "This is what your alert found today.",
-    "Your saved search has something new.",
-]
+#: The greeting lines of a digest unless the caller brings others.
+GREETINGS = ("Your postings of today.",)
 
 
 def posted_label(date_posted: Column, declared: DataType) -> Column:
@@ -39,11 +35,11 @@ def card(title: Column, company: Column, location: Column, link: Column, posted:
     )
 
 
-def greeting(day: Column | str | datetime.date, *key: Column) -> Column:
-    """One of five lines, the same on every run for one key and day."""
+def greeting(day: Column | str | datetime.date, *key: Column, lines: Sequence[str] = GREETINGS) -> Column:
+    """One of the lines, the same on every run for one key and day."""
     day = F.lit(str(day)) if not isinstance(day, Column) else day
     number = F.conv(F.substring(F.md5(F.concat_ws("|", day, *key)), 1, 8), 16, 10).cast("long")
-    return F.element_at(F.array(*[F.lit(g) for g in GREETINGS]), (F.pmod(number, F.lit(len(GREETINGS))) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(line) for line in lines]), (F.pmod(number, F.lit(len(lines))) + 1).cast("int"))
 
 
 def heading(position: Column, location: Column, escape: bool = True) -> Column:

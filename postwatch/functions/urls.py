@@ -11,7 +11,6 @@ _PARTS = (
     r"(?is)^(https?)://(?:([^/?#@\s]*)@)?([^/?#@:\s\[\]]+|\[[0-9a-f:.]+\])(?::(\d{0,5}))?"
     r"(/[^?#]*)?(\?[^#]*)?(#.*)?$"
 )
-MAX_LENGTH = 2083
 
 # Characters replaced by "_" in the two kinds of file key.
 UNSAFE_IN_PATH = r'[<>:"/\\|?*]'
@@ -24,7 +23,7 @@ _SEPARATOR = "\u001f"
 def parts(link: Column) -> Column:
     """The seven parts of a stripped link, found in one match; anything but seven items is not a link."""
     marked = F.regexp_replace(link, _PARTS, _SEPARATOR.join(f"${i}" for i in range(1, 8)))
-    return F.when(F.char_length(link) <= MAX_LENGTH, F.split(marked, _SEPARATOR))
+    return F.split(marked, _SEPARATOR)
 
 
 def from_parts(found: Column) -> Column:

@@ -6,6 +6,7 @@ A subscription has at most ``PER_SEARCH`` postings here (see ``matching``), so i
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -30,14 +31,15 @@ def with_cards(rows: DataFrame, escape: bool = True) -> DataFrame:
     return rows.withColumn("card", card)
 
 
-def outbox(rows: DataFrame, unsubscribe_base: str, day: str | datetime.date, subject: str = render.DIGEST_SUBJECT) -> DataFrame:
-    """One mail per subscription from ranked rows. The window of ``ranked`` has brought its rows together already."""
+def outbox(rows: DataFrame, unsubscribe_base: str, day: str | datetime.date, subject: str = render.DIGEST_SUBJECT,
+           greetings: Sequence[str] = render.GREETINGS) -> DataFrame:
+    """One mail per subscription from ranked rows; cards are made before the rows of a subscription are brought together."""
     ordered = F.array_sort(F.collect_list(F.struct("card_no", "card")))
     folded = with_cards(rows).groupBy("user_id", *USER_KEY).agg(
         F.array_join(F.transform(ordered, lambda c: c.card), "").alias("cards"),
         F.count("*").cast("int").alias("n_jobs"),
     )
-    line = render.greeting(day, *[F.col(c) for c in USER_KEY])
+    line = render.greeting(day, *[F.col(c) for c in USER_KEY], lines=greetings)
     leave = urls.unsubscribe_url(unsubscribe_base, *[F.col(c) for c in USER_KEY])
     body = render.digest_body(F.col("cards"), *[F.col(c) for c in USER_KEY], line, leave)
     return folded.select("user_id", *USER_KEY, F.lit(subject).alias("subject"), body.alias("body"), "n_jobs")

@@ -94,16 +94,25 @@ def scores_by_function(
 
     ``mapInPandas`` stays where it is put: a plain pandas UDF would be moved below the anti join and paid for
     postings already sent. Only rows with ``has_profile`` and ``has_text`` are scored. Rows whose score is missing
-    keep NULL; an error the scorer wants tolerated per row must come back as a missing value.
+    keep NULL. A posting is kept when it cannot be scored: where the function raises for a batch, its rows are scored
+    one by one, and those it raises for keep NULL.
     """
     schema = StructType([*cands.schema.fields, StructField("score", DoubleType())])
 
+    def tried(rows):
+        try:
+            return scorer(rows).astype("float64")
+        except Exception:  # whatever the caller's function raises
+            if len(rows) == 1:
+                return None
+            return pd.concat([part if (part := tried(rows.iloc[k : k + 1])) is not None else pd.Series([None], rows.index[k : k + 1], "float64") for k in range(len(rows))])
+
     def run(batches):
         for batch in batches:
             asked = (batch["has_profile"] & batch["has_text"]).astype(bool)
             score = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
-            if asked.any():
-                score[asked] = scorer(batch.loc[asked, inputs]).astype("float64")
+            if asked.any() and (found := tried(batch.loc[asked, inputs])) is not None:
+                score[asked] = found
             yield batch.assign(score=score)
 
     return cands.mapInPandas(run, schema)

@@ -5,7 +5,7 @@ A queue may hold one URL many times; all joins by URL salt such URLs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postwatch.functions import text
 from postwatch.operators import skew
@@ -25,10 +25,10 @@ def url_column(columns: list[str]) -> str:
 
 
 def filter_links(table: DataFrame, blocked: list[str] | None = None, column: str | None = None) -> DataFrame:
-    """Rows whose link holds none of ``blocked`` (letter case counts); rows with nothing in them are dropped."""
+    """Rows whose link holds none of ``blocked`` (letter case counts). A row of empty fields holds none and stays; blank lines
+    are no rows, the scan leaves them out."""
     link = F.col(f"`{column or url_column(table.columns)}`")
-    filled = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in table.columns]).isNotNull()
-    return table.where(filled & ~text.contains_any(link, BLOCKED if blocked is None else blocked))
+    return table.where(~F.coalesce(text.contains_any(link, BLOCKED if blocked is None else blocked), F.lit(False)))
 
 
 def processed_urls(*tables: DataFrame) -> DataFrame:
@@ -46,17 +46,23 @@ def unprocessed(queue: DataFrame, processed: DataFrame, hot_rows: int = skew.HOT
     return skew.salted_join(queue, done, ["job_url"], "left_anti", ["pos"], hot_rows)
 
 
+def file_order(queue: DataFrame) -> list[Column]:
+    """What orders the rows of a queue: ``pos`` starts anew in each file."""
+    return [F.col(c) for c in ("source_file", "pos") if c in queue.columns]
+
+
 def next_batch(queue: DataFrame, processed: DataFrame, size: int | None = BATCH, marker: str | None = None,
                hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """The first ``size`` rows, in file order, that carry ``marker`` and are not processed. Copies count.
 
-    ``size=None`` takes all of them and needs no order.
+    A queue of several files (``source_file`` beside ``pos``) is taken file by file. ``size=None`` takes all rows and
+    needs no order.
     """
     listed = queue.where(F.col("job_url").isNotNull())
     if marker is not None:
         listed = listed.where(F.contains("job_url", F.lit(marker)))
     waiting = unprocessed(listed, processed, hot_rows)
-    return waiting if size is None else waiting.orderBy("pos").limit(size)
+    return waiting if size is None else waiting.orderBy(*file_order(queue)).limit(size)
 
 
 def remaining(queue: DataFrame, newly_processed: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
@@ -69,11 +75,11 @@ def results(batch: DataFrame, triaged: DataFrame, queue: DataFrame, hot_rows: in
     A batch row whose page is not in ``triaged`` was not fetched and gives no result. Of several copies of a page one
     that was kept counts.
     """
-    first = skew.first_row(queue, ["job_url"], [F.col("pos")])
+    first = skew.first_row(queue, ["job_url"], file_order(queue))
     paths = triaged.groupBy(F.col("url").alias("job_url")).agg(F.max("html_file_path").alias("html_file_path"))
     found = first.join(paths, "job_url")
     asked = batch.select("job_url", F.col("pos").alias("_asked"))
-    return skew.salted_join(asked, found, ["job_url"], "inner", ["_asked"], hot_rows).select(*queue.columns, "html_file_path")
+    return skew.salted_join(asked, found, ["job_url"], "inner", ["_asked"], hot_rows, counted=queue).select(*queue.columns, "html_file_path")
 
 
 def counts(queue: DataFrame, processed: DataFrame, newly_processed: DataFrame) -> DataFrame:

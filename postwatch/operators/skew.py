@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 FANOUT = 64
 HOT_ROWS = 1_000_000
-# Bound of the broadcast list. Keys beyond it are joined the plain way, so the answer is the same.
-MAX_HOT_KEYS = 1_000
 
 
 def first_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rn", fanout: int = FANOUT) -> DataFrame:
@@ -29,10 +27,9 @@ def first_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.groupBy(*keys).agg(kept).select("_row.*")
 
 
-def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS, most: int = MAX_HOT_KEYS) -> DataFrame:
-    """Keys with at least ``least`` rows, the ``most`` largest of them."""
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return counted.orderBy(F.desc("_n"), *keys).limit(most).select(*keys)
+def hot_keys(rows: DataFrame, keys: list[str], least: int = HOT_ROWS) -> DataFrame:
+    """Keys with at least ``least`` rows: one row for each ``least`` rows of the table at most."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
 
 
 def salted_join(
@@ -49,7 +46,10 @@ def salted_join(
 
     Left rows of a hot key are spread over ``fanout`` salts by the columns ``spread``; right rows of that key are
     repeated once per salt. All other keys take salt 0. ``how``: inner, left, left_semi or left_anti. ``counted``
-    stands in for ``left`` when counting keys: a cheaper table with the same rows per key.
+    stands in for ``left`` when counting keys: a cheaper table with the same rows per key, or more.
+
+    The list of hot keys is broadcast whole: it has a row for ``least`` rows of the table at most, so a million for a
+    table of a trillion rows.
     """
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys, least).withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*spread), F.lit(fanout)).cast("int")

@@ -28,7 +28,7 @@ def lookup(users: DataFrame, email: str, position: str, location: str) -> DataFr
 
 def lookup_many(users: DataFrame, keys: DataFrame) -> DataFrame:
     """The subscriptions whose key is in ``keys``."""
-    return users.join(keys.select(*USER_KEY), USER_KEY, "left_semi").select(*users.columns)
+    return users.join(keys.select(*USER_KEY).distinct(), USER_KEY, "left_semi").select(*users.columns)
 
 
 def by_token(users: DataFrame, token: str) -> DataFrame:
@@ -92,26 +92,26 @@ def upsert(users: DataFrame, adds: DataFrame, token: Column) -> DataFrame:
 
 
 def delete(users: DataFrame, deletes: DataFrame) -> DataFrame:
-    return users.join(deletes.select(*USER_KEY), USER_KEY, "left_anti").select(*users.columns)
+    """The users whose key is not among ``deletes``; many deletes of one key are one before they are moved."""
+    return users.join(deletes.select(*USER_KEY).distinct(), USER_KEY, "left_anti").select(*users.columns)
 
 
 def cascade(children: DataFrame, users: DataFrame, deletes: DataFrame) -> DataFrame:
     """Children left after ``deletes``. The joined side is the deleted ids, small beside the users kept."""
-    gone = users.join(deletes.select(*USER_KEY), USER_KEY, "left_semi").select(F.col("id").alias("user_id"))
+    gone = users.join(deletes.select(*USER_KEY).distinct(), USER_KEY, "left_semi").select(F.col("id").alias("user_id"))
     return children.join(gone, "user_id", "left_anti").select(*children.columns)
 
 
 def confirm(users: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Set ``is_confirmed`` and clear the token where it is among ``tokens``.
+    """Set ``is_confirmed`` and clear the token where it is among ``tokens``; of several holders of one token the least id.
 
-    Most rows hold no token. A plain join would send all of them to the task of NULL, so they are spread.
+    Holders are few beside all users, most of whom hold none: only they meet the tokens, and come back by their own id.
     """
     asked = tokens.select(F.col("token").alias("confirmation_token")).where("confirmation_token IS NOT NULL").distinct()
-    asked = asked.select("confirmation_token", F.lit(0).alias("_salt"), F.lit(True).alias("_hit"))
-    own = F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("int")
-    spread = users.withColumn("_salt", F.when(F.col("confirmation_token").isNull(), own).otherwise(0))
+    holders = users.where("confirmation_token IS NOT NULL").select("confirmation_token", "id").join(asked, "confirmation_token", "left_semi")
+    first = holders.groupBy("confirmation_token").agg(F.min("id").alias("id"))
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    return spread.join(asked, ["confirmation_token", "_salt"], "left").select(
+    return users.join(first.withColumn("_hit", F.lit(True)), ["id", "confirmation_token"], "left").select(
         *[c for c in users.columns if c not in ("is_confirmed", "confirmation_token")],
         (F.col("is_confirmed") | hit).alias("is_confirmed"),
         F.when(~hit, F.col("confirmation_token")).alias("confirmation_token"),

@@ -48,11 +48,13 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
 
     key = [F.col(c) for c in USER_KEY]
     token = subscriptions.secret_token(settings.secret, *key, F.col("seq").cast("string"), F.lit(run_id))
-    after = _stage(changes.replay(before, requests, token), f"{root}/polled_after/run_id={run_id}")
+    # each feed may number its requests from 0, so an id is told from those of other runs by the run
+    user_id = subscriptions.key_uuid(*key, F.col("seq").cast("string"), F.lit(run_id))
+    after = _stage(changes.replay(before, requests, token, user_id), f"{root}/polled_after/run_id={run_id}")
 
     added = changes.live_adds(before, requests)
     for column, table, value in _CHILD_LISTS:
-        rows = subscriptions.children_of_adds(added, column, value)
+        rows = subscriptions.children_of_adds(added, column, value, user_id)
         runs.write_run(rows.withColumnRenamed("item_no", "id").select("id", "user_id", value), f"{root}/{table}", run_id)
 
     welcome = subscriptions.welcome_outbox(after, settings.confirm_base)

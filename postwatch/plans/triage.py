@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from postwatch.operators import pages as page_ops, queue as queue_ops
 
-# A batch of at most this many rows is broadcast; ``size`` proves its bound.
-BROADCAST_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Triage:
@@ -29,19 +26,15 @@ def triage_pass(queue: DataFrame, processed: DataFrame, pages: DataFrame, direct
                 required: tuple[str, str | None] | None = None) -> Triage:
     """``size=None`` takes all of the queue. Rejected pages count as processed; rows without a page stay queued.
 
-    Pages are long. Beside a small batch they are cut down first, without moving; otherwise they are judged where they
-    lie and only the verdicts are joined. (An inner join with distinct URLs; a semi join would be pushed below the
-    verdicts and move the texts.)
+    Pages are long. They are judged where they lie and the verdicts are joined; of the texts only those to keep move.
+    Beside a small batch adaptive execution sends the batch to the pages. (An inner join with distinct URLs; a semi join
+    would be pushed below the verdicts and move the texts.)
     """
     batch = queue_ops.next_batch(queue, processed, size, marker)
     asked = batch.select(F.col("job_url").alias("url")).distinct()
-    if size is not None and size <= BROADCAST_ROWS:
-        judged = page_ops.triage(pages.join(F.broadcast(asked), "url", "left_semi"), directory, keywords, required)
-        triaged, store = judged.drop("html"), page_ops.store_rows(judged)
-    else:
-        judged = page_ops.triage(pages, directory, keywords, required)
-        triaged = judged.drop("html").join(asked, "url")
-        store = page_ops.store_rows(judged).join(asked, "url")
+    judged = page_ops.triage(pages, directory, keywords, required)
+    triaged = judged.drop("html").join(asked, "url")
+    store = page_ops.store_rows(judged).join(asked, "url")
     newly = triaged.select(F.col("url").alias("job_url")).distinct()
     results = queue_ops.results(batch, triaged, queue)
     return Triage(batch, triaged, newly, results, store, queue_ops.remaining(queue, newly))

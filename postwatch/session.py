@@ -1,9 +1,7 @@
-"""Session settings the package relies on, and the shared folder for written intermediates."""
+"""Session settings the package relies on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Answers depend on the first two; the rest steer the physical plan only.
@@ -17,8 +15,6 @@ SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
-_own_dirs: dict[str, str] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply :data:`SETTINGS` to a session somebody else has built."""
@@ -43,19 +39,3 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **extra: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Unset is accepted in local mode only, where one own folder per application is made.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _own_dirs[app]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postwatch import schemas
 from postwatch.sinks import runs
@@ -42,12 +42,13 @@ def create_bucketed(spark: SparkSession, table: str, buckets: int) -> None:
 
 def append_bucketed(rows: DataFrame, table: str, run_id: str) -> None:
     """Replaces the rows of ``run_id`` and no others."""
+    marked = rows.select(*schemas.LEDGER_KEY, F.lit(run_id).alias("run_id"))
     spark = rows.sparkSession
-    name = "spark.sql.sources.partitionOverwriteMode"
+    name = "spark.sql.sources.partitionOverwriteMode"  # insertInto takes it from the session, not from the writer
     before = spark.conf.get(name)
     spark.conf.set(name, "dynamic")
     try:
-        rows.selectExpr(*schemas.LEDGER_KEY, f"'{run_id}' AS run_id").write.insertInto(table, overwrite=True)
+        marked.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(name, before)
 

@@ -14,19 +14,9 @@ def landed_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def change_feed(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of (seq, kind, body)."""
-    return spark.read.schema(schemas.CHANGE_FEED).json(path)
-
-
 def change_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The same feed as a stream over a growing directory."""
+    """JSON lines of (seq, kind, body) as a stream over a growing directory."""
     reader = spark.readStream.schema(schemas.CHANGE_FEED)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
-
-
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages; the table is keyed by ``url``."""
-    return spark.read.schema(schemas.PAGES).parquet(path)

@@ -17,7 +17,3 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return schemas.empty(spark, schema)
-
-
-def read_live(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {name: read_table(spark, f"{root}/{name}", schema) for name, schema in schemas.TABLES.items()}

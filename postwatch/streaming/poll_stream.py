@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from postwatch import session
 from postwatch.plans import poll
 
 # Fixed value: seconds between two polls.
@@ -19,19 +18,17 @@ def _today() -> str:
     return datetime.datetime.now(datetime.timezone.utc).date().isoformat()
 
 
-def start(feed: DataFrame, settings: poll.PollSettings, run: str, once: bool = False, checkpoint: str | None = None,
+def start(feed: DataFrame, settings: poll.PollSettings, run: str, checkpoint: str, once: bool = False,
           day: Callable[[], str] = _today) -> StreamingQuery:
     """Start polling the streaming ``feed``.
 
     A fresh checkpoint counts batches from 0 again, so ``run`` is part of every run id; take one that sorts after all
     earlier ones. ``once`` serves what is there and stops; otherwise a batch starts every 20 seconds. What was sent
-    is remembered in the ledger table, not in stream state, as it has no end.
+    is remembered in the ledger table, not in stream state, as it has no end. ``checkpoint``: a folder all executors share.
     """
-    spark = feed.sparkSession
-    where = checkpoint or f"{session.shared_dir(spark)}/poll-{run}"
 
     def serve(batch: DataFrame, batch_id: int) -> None:
         poll.poll(batch.sparkSession, batch, f"{run}-{batch_id:010d}", day(), settings)
 
-    writer = feed.writeStream.foreachBatch(serve).option("checkpointLocation", where).queryName(f"poll-{run}")
+    writer = feed.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint).queryName(f"poll-{run}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=PAUSE)).start()

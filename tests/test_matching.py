@@ -124,6 +124,18 @@ def test_function_scores_only_rows_with_profile_and_description(spark):
     assert got == {"a": 0.3, "b": None, "c": None, "d": None, "e": None}
 
 
+def test_a_raising_function_leaves_only_its_rows_unscored(spark):
+    frame = spark.createDataFrame([(str(k), True, "x" * (k % 7 + 1)) for k in range(50)], "user_id string, has_profile boolean, description string")
+
+    def scorer(batch: pd.DataFrame) -> pd.Series:
+        if (batch["description"].str.len() == 3).any():
+            raise RuntimeError("cannot score this")
+        return batch["description"].str.len() / 10
+
+    got = matching.scores_by_function(matching.with_text_flag(frame.coalesce(1)), scorer, ["description"]).collect()
+    assert len(got) == 50 and all(r.score == (None if len(r.description) == 3 else len(r.description) / 10) for r in got)
+
+
 def test_function_and_expression_paths_agree(spark):
     from checks import inputs as given
     from postwatch import session
@@ -166,12 +178,13 @@ def test_posted_label(spark):
     assert [tuple(r) for r in labels.collect()] == [("Mar 06, 2025", "This Week"), ("This Week", "This Week")]
 
 
-def test_greeting_is_one_of_five_and_depends_on_the_day(spark):
+def test_greeting_is_one_of_the_lines_and_depends_on_the_day(spark):
+    lines = ["a", "b", "c"]
     frame = spark.range(200).select(F.col("id").cast("string").alias("k"))
-    first = [r[0] for r in frame.select(render.greeting("2025-01-01", F.col("k"))).collect()]
-    again = [r[0] for r in frame.select(render.greeting("2025-01-01", F.col("k"))).collect()]
-    other = [r[0] for r in frame.select(render.greeting("2025-01-02", F.col("k"))).collect()]
-    assert first == again != other and set(first) == set(render.GREETINGS)
+    first = [r[0] for r in frame.select(render.greeting("2025-01-01", F.col("k"), lines=lines)).collect()]
+    again = [r[0] for r in frame.select(render.greeting("2025-01-01", F.col("k"), lines=lines)).collect()]
+    other = [r[0] for r in frame.select(render.greeting("2025-01-02", F.col("k"), lines=lines)).collect()]
+    assert first == again != other and set(first) == set(lines)
 
 
 @pytest.mark.parametrize(
@@ -185,7 +198,7 @@ def test_greeting_is_one_of_five_and_depends_on_the_day(spark):
         ("https://[::1]:8080/x", "https://[::1]:8080/x"),
         ("https://a.b?x", "https://a.b/?x"),
         ("ftp://x.org/a", None), ("x.org/a", None), ("https://", None), ("https:///x", None), ("https://a b/x", None),
-        ("https://a.b:70000/", None), ("", None), (None, None), ("https://a.b/" + "x" * 2100, None),
+        ("https://a.b:70000/", None), ("", None), (None, None), ("https://a.b/" + "x" * 2100, "https://a.b/" + "x" * 2100),
     ],
 )
 def test_canonical_link(spark, link, wanted):

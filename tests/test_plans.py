@@ -26,7 +26,7 @@ def plans(spark):
 
 def test_python_runs_in_one_query_only_and_once(plans):
     for name, plan in plans.items():
-        assert len(PYTHON.findall(plan)) == (1 if name == "scores_by_function" else 0), name
+        assert len(PYTHON.findall(plan)) == (1 if name.startswith("scores_by_function") else 0), name
 
 
 def test_no_cross_or_nested_loop_joins(plans):

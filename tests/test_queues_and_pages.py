@@ -54,7 +54,18 @@ def test_filter_links(spark):
         [("1", "https://LinkedIn.com/x"), ("2", "https://a.linkedin.com/x"), ("3", "https://x.org/?u=indeed.com"), ("4", None), (None, None)],
         "id string, link string",
     )
-    assert [r.id for r in queue.filter_links(table).orderBy("id").collect()] == ["1", "4"]
+    assert [r.id for r in queue.filter_links(table).orderBy("id").collect()] == [None, "1", "4"]
+
+
+def test_a_queue_of_two_files_is_taken_file_by_file(spark):
+    rows = [("b.csv", 0, "b0"), ("a.csv", 0, "a0"), ("a.csv", 1, "a1"), ("b.csv", 1, "a0")]
+    table = spark.createDataFrame(rows, "source_file string, pos long, job_url string").repartition(3)
+    nothing = spark.createDataFrame([], "job_url string")
+    batch = queue.next_batch(table, nothing, 2)
+    assert sorted(r.job_url for r in batch.collect()) == ["a0", "a1"]
+    triaged = spark.createDataFrame([("a0", "p"), ("a1", ""), ("b0", "q")], "url string, html_file_path string")
+    found = queue.results(table, triaged, table).collect()
+    assert sorted((r.source_file, r.pos, r.job_url) for r in found) == [("a.csv", 0, "a0")] * 2 + [("a.csv", 1, "a1"), ("b.csv", 0, "b0")]
 
 
 QUEUE = [(0, "a", "x"), (1, "b", "x"), (2, "a", "y"), (3, "c", "x"), (4, None, "x"), (5, "d/job", "x"), (6, "a", "z")]

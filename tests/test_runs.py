@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import inputs as given
 from postwatch import schemas, session
@@ -196,6 +197,19 @@ def test_stream_over_a_growing_directory(world, tmp_path):
     assert sorted(world.welcomes())[:2] == ["b", "c"] and len(world.sent()) == 10
 
 
-def test_shared_dir(spark):
-    where = session.shared_dir(spark)
-    assert where and session.shared_dir(spark) == where
+def test_an_alert_deleted_and_added_again_has_only_its_new_lists(world):
+    """Every feed numbers its requests from 0, and the old lists must not come back under the new subscription."""
+    def serve(run, request):
+        world.seq = 0
+        world.serve(run, request)
+
+    serve("1", add("a", skills=["old"]))
+    first = world.users()["a"].id
+    serve("2", drop("a"))
+    serve("3", add("a", skills=["new"]))
+    again = world.users()["a"].id
+    assert again != first
+    lists = user_store.children(world.spark, world.settings.root, "skills").where(F.col("user_id") == again)
+    assert [r.skill for r in lists.collect()] == ["new"]
+    serve("3", add("a", skills=["new"]))  # the same poll once more
+    assert world.users()["a"].id == again and lists.count() == 1

@@ -65,6 +65,23 @@ def test_first_add_of_a_batch_wins_and_brings_its_children(spark):
     assert [(r.user_id, r.skill) for r in children] == [(new.id, "x"), (new.id, "x")]
 
 
+def test_confirm_takes_the_first_holder_of_a_token(spark):
+    schema = "id string, email string, position string, location string, job_type string, is_new boolean, is_confirmed boolean, confirmation_token string"
+    users = spark.createDataFrame([(i, i, "p", "l", "f", True, False, "t" if i < "3" else None) for i in "1234"], schema)
+    token = spark.createDataFrame([("t",), ("t",), (None,)], "token string")
+    got = {r.id: (r.is_confirmed, r.confirmation_token) for r in subscriptions.confirm(users, token).collect()}
+    assert got == {"1": (True, None), "2": (False, "t"), "3": (False, None), "4": (False, None)}
+
+
+def test_many_deletes_of_one_key_are_one(spark):
+    schema = "email string, position string, location string"
+    deletes = spark.createDataFrame([("a", "p", "l")] * 50, schema)
+    users = spark.createDataFrame([("a", "p", "l"), ("b", "p", "l")], schema)
+    plan = subscriptions.delete(users, deletes)
+    assert [r.email for r in plan.collect()] == ["b"]
+    assert "Aggregate" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_confirm_twice(spark):
     users = user(spark, ("1", "a", "p", "l", "f", True, False, "t1"), ("2", "b", "p", "l", "f", True, False, None))
     token = spark.createDataFrame([("t1",), ("t1",), (None,)], "token string")
