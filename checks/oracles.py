@@ -287,6 +287,14 @@ _BODIES: dict[str, str] = {
             LEFT JOIN ledger l ON l.email = c.email AND l.job_url = c.link AND l.position = c.position AND l.location = c.location)
         GROUP BY outcome, score_text""",
     "daily_digest": f"SELECT {_CANDIDATE}, date_posted, score, card_no FROM ranked",
+    "digest_from_responses": f"""
+        SELECT u.id AS user_id, u.email, u.position, u.location, r.link, r.place AS pos, r.date_posted,
+               row_number() OVER (PARTITION BY u.id ORDER BY coalesce(r.date_posted, '') DESC, r.place)::INTEGER AS card_no
+        FROM (SELECT * FROM (SELECT *, max(chunk) OVER (PARTITION BY position, location) AS last FROM responses)
+              WHERE chunk = last AND place <= 10 AND {_BAD_RESPONSE} IS NULL) r
+        JOIN users u ON u.position = r.position AND u.location = r.location
+        WHERE u.is_confirmed AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.email = u.email AND l.job_url = r.link
+            AND l.position = u.position AND l.location = u.location)""",
     "digest_ranked": """
         SELECT user_id, link, date_posted,
                row_number() OVER (PARTITION BY user_id ORDER BY coalesce(date_posted, '') DESC, pos)::INTEGER AS card_no FROM candidates""",

@@ -282,6 +282,14 @@ def outcome_counts(t: Inputs) -> DataFrame:
     return rows.groupBy("outcome", "score_text").agg(F.count("*").alias("n_candidates"))
 
 
+@query
+def digest_from_responses(t: Inputs) -> DataFrame:
+    """From landed JSON to ranked postings; the chunks of a search are its runs, and only the newest counts."""
+    landed = t.landed_responses().withColumnRenamed("chunk", "run").drop("first_pos")
+    rows = daily.daily_digest(t.users(), t.profiles(), posting_ops.from_responses(landed), t.ledger(), daily.Scoring())
+    return rows.select(*CANDIDATE, "date_posted", "card_no")
+
+
 @query
 def daily_digest(t: Inputs) -> DataFrame:
     rows = daily.daily_digest(t.users(), t.profiles(), t.postings(), t.ledger(), t.scoring())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postwatch.functions import payload, text, urls
 from postwatch.operators import once
+from postwatch.schemas import SEARCH_KEY
 
 
 TEXTS = {"title": "title", "company": "company", "job_location": "location", "description": "description"}
@@ -87,6 +88,18 @@ def parse_responses(landed: DataFrame, body: str = "body") -> DataFrame:
     return once.computed(judged, kept, query=F.col("query"), reject_reason=F.col("reject_reason"), jobs=jobs, n_jobs=n_jobs)
 
 
+def newest(landed: DataFrame) -> DataFrame:
+    """The response of each search's newest ``run``; every map task sends one row per search."""
+    rest = [c for c in landed.columns if c not in SEARCH_KEY]
+    last = F.max_by(F.struct(*rest), "run").alias("_last")
+    return landed.groupBy(*SEARCH_KEY).agg(last).select(*SEARCH_KEY, "_last.*")
+
+
+def from_responses(landed: DataFrame) -> DataFrame:
+    """Typed postings of the newest response of each search; a response that breaks the rules gives none."""
+    return explode_postings(parse_responses(newest(landed))).drop("run")
+
+
 def responses_valid(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject_reason IS NULL")
 

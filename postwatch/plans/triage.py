@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postwatch.operators import pages as page_ops, queue as queue_ops
+from postwatch.sinks import crawl, runs
 
 
 @dataclass(frozen=True)
@@ -38,3 +40,34 @@ def triage_pass(queue: DataFrame, processed: DataFrame, pages: DataFrame, direct
     newly = triaged.select(F.col("url").alias("job_url")).distinct()
     results = queue_ops.results(batch, triaged, queue)
     return Triage(batch, triaged, newly, results, store, queue_ops.remaining(queue, newly))
+
+
+_PROCESSED = StructType([StructField("job_url", StringType())])
+
+
+def run_triage(spark: SparkSession, queue: DataFrame, pages: DataFrame, root: str, run_id: str, directory: str,
+               size: int | None = queue_ops.BATCH, marker: str | None = None, keywords: list[str] | None = None,
+               required: tuple[str, str | None] | None = None) -> DataFrame:
+    """One pass whose outputs are written: verdicts, results, kept pages, processed URLs, and the queue that is left.
+
+    Page texts are judged once: the verdicts are written with the texts of the pages to keep, and everything else is made
+    from them. Each run owns its directories under ``root`` (processed, verdicts, results, pages, queue), so the same run
+    done again replaces them. Returns the queue that is left; it is what the next run takes.
+    """
+    done = runs.read_runs(spark, f"{root}/processed", _PROCESSED, without=run_id).select("job_url")
+    batch = _written(queue_ops.next_batch(queue, done, size, marker), f"{root}/batch/run_id={run_id}")
+    asked = batch.select(F.col("job_url").alias("url")).distinct()
+    judged = page_ops.triage(pages, directory, keywords, required)
+    kept_text = F.when(F.col("html_file_path") != "", F.col("html")).alias("html")
+    columns = [kept_text if c == "html" else F.col(c) for c in judged.columns]
+    verdicts = _written(judged.select(*columns).join(asked, "url"), f"{root}/verdicts/run_id={run_id}")
+    newly = verdicts.select(F.col("url").alias("job_url")).distinct()
+    crawl.append_results(queue_ops.results(batch, verdicts, queue), f"{root}/results", run_id)
+    crawl.append_pages(page_ops.store_rows(verdicts), f"{root}/pages", run_id)
+    runs.write_run(newly, f"{root}/processed", run_id)
+    return _written(queue_ops.remaining(queue, newly), f"{root}/queue/run_id={run_id}")
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -14,6 +14,21 @@ def landed_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Landed lines name what was asked for: the search and the run, or the pair that was scored.
+RESPONSE_LINES = "position string, location string, run string, body string"
+SCORE_LINES = "user_id string, link string, body string"
+
+
+def landed_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Search responses as JSON lines, each with its search and run; a directory of such files is split like any other."""
+    return spark.read.schema(RESPONSE_LINES).json(path)
+
+
+def landed_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Score responses as JSON lines, each with the pair it is for."""
+    return spark.read.schema(SCORE_LINES).json(path)
+
+
 def change_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """JSON lines of (seq, kind, body) as a stream over a growing directory."""
     reader = spark.readStream.schema(schemas.CHANGE_FEED)

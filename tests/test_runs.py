@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from checks import inputs as given
 from postwatch import schemas, session
-from postwatch.operators import profiles
-from postwatch.plans import daily, poll
+from postwatch.operators import postings, profiles
+from postwatch.plans import daily, poll, triage
 from postwatch.sinks import ledger as ledger_sink, runs, users as user_store
 from postwatch.sources import feeds, tables
 from postwatch.streaming import poll_stream
@@ -209,7 +209,39 @@ def test_an_alert_deleted_and_added_again_has_only_its_new_lists(world):
     serve("3", add("a", skills=["new"]))
     again = world.users()["a"].id
     assert again != first
-    lists = user_store.children(world.spark, world.settings.root, "skills").where(F.col("user_id") == again)
-    assert [r.skill for r in lists.collect()] == ["new"]
+    lists = lambda: user_store.children(world.spark, world.settings.root, "skills").where(F.col("user_id") == again)
+    assert [r.skill for r in lists().collect()] == ["new"]
     serve("3", add("a", skills=["new"]))  # the same poll once more
-    assert world.users()["a"].id == again and lists.count() == 1
+    assert world.users()["a"].id == again and lists().count() == 1
+
+
+def test_triage_runs_take_the_queue_down(spark, tmp_path):
+    """Two runs over one queue: each takes the next rows, writes its outputs, and reads every page text once."""
+    root = str(tmp_path)
+    queue = spark.createDataFrame([(k, f"u{k // 2}", "n") for k in range(10)], "pos long, job_url string, note string")
+    pages = spark.createDataFrame([(f"u{k}", f"<title>t</title>{'error' if k == 1 else 'text'} {k}") for k in range(5) if k != 3], "url string, html string")
+    left = triage.run_triage(spark, queue, pages, root, "1", "dir", size=4)
+    assert sorted(r.pos for r in left.collect()) == [4, 5, 6, 7, 8, 9]
+    again = triage.run_triage(spark, queue, pages, root, "1", "dir", size=4)
+    assert sorted(r.pos for r in again.collect()) == [4, 5, 6, 7, 8, 9]
+    last = triage.run_triage(spark, again, pages, root, "2", "dir")
+    assert sorted(r.job_url for r in last.collect()) == ["u3", "u3"]  # never fetched, so it waits
+    results = spark.read.parquet(f"{root}/results").collect()
+    assert sorted((r.job_url, r.html_file_path, str(r.run_id)) for r in results) == sorted(
+        [("u0", "dir/u0.html", "1")] * 2 + [("u1", "", "1")] * 2 + [(f"u{k}", f"dir/u{k}.html", "2") for k in (2, 4) for _ in "ab"]
+    )
+    assert sorted(r.url for r in spark.read.parquet(f"{root}/pages").collect()) == ["u0", "u2", "u4"]
+    assert spark.read.parquet(f"{root}/processed").count() == 4
+
+
+def test_landed_lines_reach_the_postings(spark, tmp_path):
+    jobs = [{"title": "Dev", "company": "Acme", "location": "rome", "link": "https://x.org/1", "description": "text"}]
+    lines = [("dev", "rome", run, json.dumps({"jobs": jobs * n})) for run, n in (("1", 3), ("2", 2))] + [("ops", "rome", "1", "{")]
+    path = tmp_path / "landed.json"
+    path.write_text("\n".join(json.dumps(dict(zip(("position", "location", "run", "body"), line))) for line in lines))
+    found = postings.from_responses(feeds.landed_responses(spark, str(path))).collect()
+    assert sorted((r.position, r.location, r.pos, r.link) for r in found) == [("dev", "rome", k, "https://x.org/1") for k in (1, 2)]
+    score = {"jobRequirements": {}, "userProfile": {}, "similarityScore": {"score": 0.5}}
+    (tmp_path / "scores.json").write_text(json.dumps({"user_id": "u", "link": "https://x.org/1", "body": json.dumps(score)}))
+    scored = postings.parse_scores(feeds.landed_scores(spark, str(tmp_path / "scores.json"))).collect()
+    assert [(r.user_id, r.link, r.score) for r in scored] == [("u", "https://x.org/1", 0.5)]
