@@ -4,13 +4,15 @@ Texts are UTF-8 bytes; matches stay inside one text, both places count (also two
 
 1. Each text gives the anchors of its 400-byte windows (:mod:`postwatch.llm.anchors`, grams of 64 bytes). An anchor that
    occurs once in all texts is done with.
-2. Around the others the texts are cut into pieces of consecutive windows with one anchor, dealt by anchor, so all places
-   of a window meet.
-3. A task takes anchors in turn until it holds ``SHARD_BYTES`` of distinct pieces. It sorts their suffixes, takes the
-   Burrows-Wheeler transform, and derives common prefixes by increasing value: breadth-first backward extension of
-   intervals, level by level, stopping at 400. Boundaries that are still open then join suffixes with 400 bytes in common.
-4. An anchor with more than ``HOT`` places (a passage that very many texts share gives one piece for each way the text goes
-   on) is not put into one task: its windows are counted by 128-bit hashes with a grouping that adds up before the shuffle.
+2. Around the others the texts are cut into pieces of consecutive windows with one anchor; equal windows lie in pieces of
+   one anchor. Equal pieces are counted and kept once: a piece that stands in several places repeats as a whole.
+3. Distinct pieces are dealt by anchor. A task takes anchors in turn until it holds ``SHARD_BYTES`` of pieces. It sorts their
+   suffixes, takes the Burrows-Wheeler transform, and derives common prefixes by increasing value: breadth-first backward
+   extension of intervals, level by level, stopping at 400. Boundaries that are still open then join suffixes with 400
+   bytes in common. What is found goes back to all places of each piece.
+4. An anchor with more than ``HOT`` distinct pieces (a passage that very many texts share gives one for each way a text goes
+   on) is cut further by anchors of longer grams, ``LEVELS`` in turn, and only what still recurs goes on. Grams of 400 bytes
+   are the windows themselves, so the last level always ends.
 
 A text that occurs in several rows needs no search itself: it goes whole if it has a window.
 
@@ -31,11 +33,12 @@ from postwatch.llm import anchors, common
 LENGTH = 400
 GRAM = 64
 HOT = 2000
+LEVELS = (256, 384, 400)
 SHARD_BYTES = 2 << 20
 
 _SUMMARY = "id long, x long, cls binary, n_bytes long, whole string, anchors array<struct<m: long, x: long>>"
-_PIECES = "id long, x long, m long, salts int, start long, body binary"
-_RANGES = "id long, x long, starts array<long>, ends array<long>"
+_PIECES = "id long, x long, m long, start long, body binary"
+_RANGES = "m long, b long, starts array<long>, ends array<long>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -122,22 +125,29 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
     return out
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each 64 consecutive bytes, by doubling."""
-    h, width, power = common._BYTES[data], 1, 0x5851F42D4C957F2D
-    while width < GRAM:
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` consecutive bytes, put together from hashes of widths that are powers of two."""
+    parts, h, width, power = [], common._BYTES[data], 1, 0x5851F42D4C957F2D
+    while width <= gram:
+        if gram & width:
+            parts.append((h, width))
         h = h[: len(h) - width] * np.uint64(power) + h[width:] if len(h) > width else h[:0]
         power = power * power % (1 << 64)
         width *= 2
-    return common.mixed(h)
+    out, at = np.zeros(max(0, len(data) - gram + 1), np.uint64), 0
+    for h, width in parts:
+        out *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out += h[at : at + len(out)]
+        at += width
+    return common.mixed(out)
 
 
-def _windows(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(data: np.ndarray, marks: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes; for each window the place of its anchor (the last of the least grams), whether it is whole, its text."""
-    grams = _gram_hashes(data)
+    grams = _gram_hashes(data, gram)
     place = np.uint64(0xFFFFFFFF)
     keys = (grams & ~place) | (place - np.arange(len(grams), dtype=np.uint64))
-    at = (place - (common.sliding_min(keys, LENGTH - GRAM + 1) & place)).astype(np.int64)
+    at = (place - (common.sliding_min(keys, LENGTH - gram + 1) & place)).astype(np.int64)
     doc = np.repeat(np.arange(len(marks) - 1), np.diff(marks))[: len(at)]
     here = np.arange(len(at))
     return grams, at, (here > marks[doc]) & (here <= marks[1:][doc] - LENGTH), doc
@@ -173,22 +183,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in common.chunks(batches):
         data, marks = common.separated(texts)
         grams, anchor, valid, doc = _windows(data, marks)
-        known, salts = anchors.wanted(batch.column(batch.schema.get_field_index("marks")))
+        known, _ = anchors.wanted(batch.column(batch.schema.get_field_index("marks")))
         first, last = anchors.runs(anchor, valid, doc, LENGTH)
         value = grams[anchor[first]]
-        at, here = anchors.among(known, value, doc[first])
-        at, first, last, value = at[here], first[here], last[here], value[here]
+        _, here = anchors.among(known, value, doc[first])
+        first, last, value = first[here], last[here], value[here]
         text, body = doc[first], data.tobytes()
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(text)),
                 batch.column(1).take(pa.array(text)),
                 pa.array(value.view(np.int64)),
-                pa.array(salts[at], pa.int32()),
                 pa.array(first - marks[text] - 1),
                 pa.array([body[a : b + LENGTH - 1] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
             ],
-            ["id", "x", "m", "salts", "start", "body"],
+            ["id", "x", "m", "start", "body"],
         )
 
 
@@ -197,84 +206,106 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _finer(gram: int):
+    """m, b, n, and for stretches of windows with one anchor of longer grams: its hash joined with m, first byte, length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(3).cast(pa.large_binary())
+            data, marks = common.separated(bodies)
+            grams, anchor, valid, doc = _windows(data, marks, gram)
+            first, last = anchors.runs(anchor, valid, doc, LENGTH)
+            text = doc[first]
+            above = batch.column(0).to_numpy().view(np.uint64)[text]
+            finer = common.mixed(grams[anchor[first]] + common.mixed(above.copy()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(pa.array(text)) for k in range(2)),
+                    pa.array(finer.view(np.int64)),
+                    pa.array(first - marks[text] - 1),
+                    pa.array(last - first + LENGTH - 1),
+                ],
+                ["m", "b", "finer", "at", "size"],
+            )
+
+    return run
+
+
 class Shard:
-    """The distinct pieces of some anchors; one that stands in several places is put in twice."""
+    """The distinct pieces of some anchors."""
 
     def __init__(self):
-        self.pieces: dict[bytes, list[tuple[int, int, int]]] = {}
+        self.pieces: list[tuple[int, int, int]] = []
+        self.bodies: list[bytes] = []
         self.n_bytes = 0
 
-    def add(self, body: bytes, place: tuple[int, int, int]) -> None:
-        places = self.pieces.setdefault(body, [])
-        places.append(place)
-        self.n_bytes += len(body) + 1 if len(places) < 3 else 16
+    def add(self, m: int, b: int, n: int, body: bytes) -> None:
+        self.pieces.append((m, b, n))
+        self.bodies.append(body)
+        self.n_bytes += len(body) + 1
 
     def hits(self) -> Iterator[tuple[int, int, list[int], list[int]]]:
-        """id, x, and the ranges of the text's bytes to remove, for each place that has any."""
-        if not self.pieces:
+        """m, b, and the ranges of bytes to remove, of each piece that has any and stands in one place only."""
+        if not self.bodies:
             return
-        bodies = [body for body, places in self.pieces.items() for _ in places[:2]]
-        text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-        closes = np.cumsum([len(b) + 1 for b in bodies]) - 1
+        text = np.frombuffer(b"\0".join(self.bodies) + b"\0", np.uint8)
+        closes = np.cumsum([len(b) + 1 for b in self.bodies]) - 1
         repeated = repeated_starts(text, closes)
         at = 0
-        for body, places in self.pieces.items():
-            found = _stretches(repeated[at : at + len(body)])
-            at += (len(body) + 1) * min(2, len(places))
+        for (m, b, n), body in zip(self.pieces, self.bodies):
+            found = _stretches(repeated[at : at + len(body)]) if n == 1 else []
+            at += len(body) + 1
             if found:
-                for key, x, start in places:
-                    yield key, x, [start + a for a, _ in found], [start + b + LENGTH - 1 for _, b in found]
+                yield m, b, [first for first, _ in found], [last + LENGTH - 1 for _, last in found]
 
 
-def _ranges(rows: list[tuple]) -> pa.RecordBatch:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["id", "x", "starts", "ends"])
 
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(shard: Shard) -> Iterator[pa.RecordBatch]:
         hits = shard.hits()
         while rows := [row for _, row in zip(range(20_000), hits)]:
-            yield _ranges(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["m", "b", "starts", "ends"])
 
     shard, last = Shard(), None
     for batch in batches:
-        for m, key, x, start, body in zip(*(column.to_pylist() for column in batch.columns)):
+        for m, b, n, body in zip(*(column.to_pylist() for column in batch.columns)):
             if m != last and shard.n_bytes >= SHARD_BYTES:
                 yield from out(shard)
                 shard = Shard()
             last = m
-            shard.add(body, (key, x, start))
+            shard.add(m, b, n, body)
     yield from out(shard)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """m, a, b (128 bits of a window) and its places, for pieces of hot anchors."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            body = np.frombuffer(batch.column(5)[row].as_py(), np.uint8)
-            start = np.arange(len(body) - LENGTH + 1)
-            a = common.span_hashes(body, start, start + LENGTH)
-            b = common.span_hashes(body ^ np.uint8(255), start, start + LENGTH)
-            n = len(start)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(a.view(np.int64)),
-                    pa.array(b.view(np.int64)),
-                    pa.array(np.full(n, batch.column(0)[row].as_py())),
-                    pa.array(np.full(n, batch.column(1)[row].as_py())),
-                    pa.array(start + batch.column(4)[row].as_py()),
-                ],
-                ["a", "b", "id", "x", "start"],
-            )
-
-
-def _hot_ranges(pieces: DataFrame) -> DataFrame:
-    rows = pieces.where("salts > 0").mapInArrow(_window_hashes, "a long, b long, id long, x long, start long")
-    again = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(again, ["a", "b"]).select(
-        "id", "x", F.array("start").alias("starts"), F.array(F.col("start") + LENGTH).alias("ends")
+def _repeats(pieces: DataFrame, hot: int, levels: tuple[int, ...]) -> DataFrame:
+    """m, b, starts, ends: the ranges to remove of distinct pieces (m, b: a hash of the body, n: places, body)."""
+    kinds = pieces.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = common.staged(kinds, "substrings")
+    whole = pieces.where("n > 1").select(
+        "m", "b", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.octet_length("body").cast("long")).alias("ends")
     )
+    dealt = pieces.join(kinds.where(F.col("kinds") <= hot), "m").select("m", "b", "n", "body").repartition("m").sortWithinPartitions("m")
+    ranges = whole.unionAll(dealt.mapInArrow(_scan, _RANGES))
+    if kinds.where(F.col("kinds") > hot).isEmpty():
+        return ranges
+    many = pieces.join(kinds.where(F.col("kinds") > hot), "m", "left_semi").select("m", "b", "n", "body")
+    finer = common.staged(many.mapInArrow(_finer(levels[0]), "m long, b long, finer long, at long, size long"), "substrings")
+    shared = finer.groupBy("finer").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("finer")
+    parts = finer.join(shared, "finer").join(many.drop("n"), ["m", "b"])
+    body = F.substring("body", F.col("at").cast("int") + 1, F.col("size").cast("int"))
+    parts = common.staged(parts.select("m", "b", "finer", "at", body.alias("body")), "substrings")
+    below = _repeats(_distinct(parts.select(F.col("finer").alias("m"), "body")), hot, levels[1:])
+    places = parts.select("m", "b", "finer", "at", F.xxhash64("body").alias("part"))
+    found = places.join(below.select(F.col("m").alias("finer"), F.col("b").alias("part"), "starts", "ends"), ["finer", "part"])
+    moved = [F.transform(c, lambda v: v + F.col("at")).alias(c) for c in ("starts", "ends")]
+    return ranges.unionAll(found.select("m", "b", *moved))
+
+
+def _distinct(pieces: DataFrame) -> DataFrame:
+    """m, b, n, body of the distinct pieces (m, body)."""
+    counted = pieces.groupBy("m", "body").agg(F.count("*").alias("n"))
+    return common.staged(counted.select("m", F.xxhash64("body").alias("b"), "n", "body"), "substrings")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,14 +337,13 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     summary = common.staged(docs.mapInArrow(_summarise, _SUMMARY), "substrings")
     classes = anchors.classes(summary)
     firsts = summary.join(classes, "cls").where("id = first").select("id", "x").distinct()
-    found = common.staged(anchors.recurring(summary.withColumn("anchors", F.col("anchors"))), "substrings")
+    found = common.staged(anchors.recurring(summary), "substrings")
     marked = docs.drop("cls").join(anchors.candidates(summary, found, firsts, hot), ["id", "x"])
-    pieces = common.staged(marked.dropDuplicates(["id", "x"]).mapInArrow(_cut, _PIECES), "substrings")
-    dealt = pieces.where("salts = 0").select("m", "id", "x", "start", "body").repartition("m").sortWithinPartitions("m")
-    ranges = dealt.mapInArrow(_scan, _RANGES)
-    if not found.where(F.col("n") > hot).isEmpty():
-        ranges = ranges.unionAll(_hot_ranges(pieces))
-    hits = common.staged(ranges, "substrings")
+    pieces = common.staged(marked.mapInArrow(_cut, _PIECES), "substrings")
+    ranges = common.staged(_repeats(_distinct(pieces.select("m", "body")), hot, LEVELS), "substrings")
+    places = pieces.select("id", "x", "m", "start", F.xxhash64("body").alias("b"))
+    moved = [F.transform(c, lambda v: v + F.col("start")).alias(c) for c in ("starts", "ends")]
+    hits = common.staged(places.join(ranges, ["m", "b"]).select("id", "x", *moved), "substrings")
 
     gone = hits.groupBy("id", "x").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     single = gone.join(summary.join(classes.where("copies = 1"), "cls", "left_semi"), ["id", "x"], "left_semi")
