@@ -192,7 +192,7 @@ def plain_records(rows):
 @pytest.mark.parametrize("range_bytes", [300, 5000, 1 << 23])
 def test_archives(spark, rows, pages, range_bytes):
     given, table = pages
-    files = warc.write(table, common.fresh_dir(spark, "warc"), file_bytes=20_000)
+    files = warc.write(table, common.fresh_dir(spark, "warc"), file_bytes=3_000)
     assert files.count() > 3
     found = warc.read(files, range_bytes=range_bytes)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
