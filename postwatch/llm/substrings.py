@@ -34,7 +34,7 @@ LENGTH = 400
 GRAM = 64
 HOT = 2000
 LEVELS = (256, 384, 400)
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _SUMMARY = "id long, x long, cls binary, n_bytes long, whole string, anchors array<struct<m: long, x: long>>"
 _PIECES = "id long, x long, m long, start long, body binary"
@@ -42,6 +42,20 @@ _RANGES = "m long, b long, starts array<long>, ends array<long>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def _ordered(rank: np.ndarray, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of ranks, and the pairs in it; with the place inside the sorted value while three fit into one."""
+    n = len(rank)
+    bits = int(n + 1).bit_length()
+    if 3 * bits > 64:
+        key = (rank.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        order = np.argsort(key)
+        return order, key[order]
+    low = np.uint64(bits)
+    packed = (((rank.astype(np.uint64) << low) | follow.astype(np.uint64)) << low) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> low
+
+
 def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which places of the text begin a string of ``length`` symbols that begins elsewhere too, inside the pieces.
 
@@ -56,7 +70,7 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
     for j in range(depth):
         key <<= np.uint64(bits)
         key[: n - j] |= symbols[j:]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -74,16 +88,14 @@ def repeated_starts(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) ->
     while reach < length and not new.all():
         follow = np.full(n, 0, np.int64)
         follow[: n - reach] = rank[reach:] + 1
-        key = (rank.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
+        order, ranked = _ordered(rank, follow)
         new[1:] = ranked[1:] != ranked[:-1]
         rank[order] = np.cumsum(new) - 1
         reach *= 2
 
     # the transform: the symbol before each suffix, and where the suffix that begins with it stands
     before = symbols[order - 1].astype(np.int64)
-    inverse = np.argsort(before, kind="stable")
+    inverse = np.argsort(before.astype(np.uint16) if n_ends + 257 < 1 << 16 else before, kind="stable")
     lf = np.empty(n, np.int64)
     lf[inverse] = np.arange(n)
     sorted_before = before[inverse]
