@@ -25,7 +25,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from postwatch.llm import common
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Fixed values of the tokenizer's rules: contractions, letters, single digits, other marks.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\p{{White_Space}}{L}{N}]+"
@@ -231,8 +231,12 @@ def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in batches:
-            texts = [own.decode(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        for batch, texts in common.chunks(batches):
+            encoded = own.encode(texts.to_pylist())
+            n = np.array([len(x) for x in encoded], np.int64)
+            ids = common.lists(pa.array(np.concatenate(encoded).astype(np.int32)), n)
+            decoded = pa.array([own.decode(x) for x in encoded], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), ids, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encode(documents, path).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

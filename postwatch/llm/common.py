@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of one Arrow batch; a batch is cut further by bytes (:func:`chunks`), so one task's memory stays bounded.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Text bytes that are worked on at once in a task; a single longer text is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _own: dict[str, str] = {}
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

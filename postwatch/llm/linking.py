@@ -119,16 +119,16 @@ def _task(bands_of, measure):
     return run
 
 
-def groups(texts: DataFrame, bands: DataFrame, bands_of, measure, name: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def groups(
+    texts_of: Callable[[DataFrame], DataFrame], bands: DataFrame, bands_of, measure, name: str, group_bytes: int = GROUP_BYTES
+) -> DataFrame:
     """x, root of every text that is alike to another one.
 
-    texts: x, text (one row per x); bands: x, band; ``bands_of(texts)`` and ``measure(texts)`` run in the tasks: the bands of
+    ``texts_of`` adds the text to rows of x; bands: x, band; ``bands_of(texts)`` and ``measure(texts)`` run in the tasks: the bands of
     each text, and a function that tells whether two of the texts (by their places) are alike.
     """
-    spark = texts.sparkSession
     candidates = components(stars(bands), name)
-    rows = texts.join(candidates.withColumnRenamed("node", "x"), "x").select(F.col("root").alias("comp"), "x", "text")
-    rows = common.staged(rows, name)
+    rows = common.staged(texts_of(candidates.select(F.col("node").alias("x"), F.col("root").alias("comp"))).select("comp", "x", "text"), name)
     sizes = rows.groupBy("comp").agg(F.sum(F.octet_length("text") + 64).alias("size"))
     large = common.staged(
         sizes.where(F.col("size") > group_bytes).select("comp", F.ceil(F.col("size") / group_bytes).cast("int").alias("parts")), name

@@ -180,8 +180,9 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, group_bytes: int
     summary = common.staged(docs.mapInArrow(_summarise(idf), "id long, x long, cls binary, bands array<long>"), "near")
     firsts = common.staged(summary.groupBy("cls").agg(F.min("id").alias("id"), F.min("x").alias("x")), "near")
     own = summary.join(firsts.select("id", "x"), ["id", "x"], "left_semi").dropDuplicates(["x"])
-    texts = docs.drop("cls").join(firsts.select("id", "x"), ["id", "x"], "left_semi").select("x", "text")
-    found = linking.groups(texts, own.select("x", F.explode("bands").alias("band")), _bands_of(idf), _measure(idf, threshold), "near", group_bytes)
+    # texts are joined by a shuffle at every size: which side is small is not known beforehand
+    texts_of = lambda rows: docs.drop("cls").join(rows.join(firsts.select("id", "x"), "x").hint("merge"), ["id", "x"])
+    found = linking.groups(texts_of, own.select("x", F.explode("bands").alias("band")), _bands_of(idf), _measure(idf, threshold), "near", group_bytes)
     rooted = firsts.join(found, "x", "left").select("x", "id", F.coalesce("root", "x").alias("root"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("id", "x")).alias("first"))
     members = rooted.join(stays, "root").select("x", F.col("first.id").alias("class_id"), F.col("first.x").alias("first_x"))
@@ -201,7 +202,7 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     own = [common.unused(documents, name) for name in ("id", "x")]
     keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(anchors.NO_ID)), F.xxhash64(common.text_of()))
     keyed = documents.withColumns(dict(zip(own, keys)))
-    left = keyed.join(stays.select(*[F.col(c).alias(name) for c, name in zip(("id", "x"), own)]), own, "left_semi")
+    left = keyed.join(stays.select(*[F.col(c).alias(name) for c, name in zip(("id", "x"), own)]).hint("merge"), own, "left_semi")
     if not stays.where("n > 1").isEmpty():
         left = left.dropDuplicates(own)
     return left.select(*documents.columns)
