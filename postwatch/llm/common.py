@@ -214,7 +214,7 @@ def size_partitions(spark: SparkSession) -> int:
 
 
 BLOCKS = "block int, salt int, body binary"
-_SALTS = 32
+_SALTS = 8
 
 
 def block_rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def block_rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _adder(dtype: str, wide: str):
+def _adder(dtype: str, wide: str, out: str):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -246,7 +246,7 @@ def _adder(dtype: str, wide: str):
                     total[block, salt] = values.astype(wide)
         for (block, salt), values in total.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["block", "salt", "body"]
+                [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([values.astype(out).tobytes()], pa.binary())], ["block", "salt", "body"]
             )
 
     return add
@@ -255,7 +255,8 @@ def _adder(dtype: str, wide: str):
 def summed(rows: DataFrame, dtype: str) -> Iterator[tuple[int, np.ndarray]]:
     """The sums of the tasks' blocks, added up in two steps on the executors; the result has the fixed size of one table."""
     wide = "int64" if dtype.startswith("int") else "float64"
-    once = rows.repartition("block", "salt").mapInArrow(_adder(dtype, wide), BLOCKS)
-    again = once.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_adder(wide, wide), BLOCKS)
+    between = wide if wide == "int64" else dtype  # counts may outgrow their type, gradients do not
+    once = rows.repartition("block", "salt").mapInArrow(_adder(dtype, wide, between), BLOCKS)
+    again = once.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_adder(between, wide, wide), BLOCKS)
     for row in again.toLocalIterator():
         yield row.block, np.frombuffer(row.body, wide)
