@@ -111,6 +111,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             at = upto
 
 
+def portions(texts: list[str], most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """The place of the first text of each portion of about ``most`` characters, and the portion's texts."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < most):
+            size += len(texts[upto])
+            upto += 1
+        yield at, utf8(pa.array(texts[at:upto], pa.string()))
+        at = upto
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

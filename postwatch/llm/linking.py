@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postwatch.llm import common
+from postwatch.llm import anchors, common
 
 GROUP_BYTES = 16 << 20
 _LINKS = "a long, b long"
@@ -176,3 +176,25 @@ def groups(
         links = common.staged(links.unionAll(link(cells.select(*columns).unionAll(against.select(*columns)))), name)
     found = components(links, name).withColumnRenamed("node", "x")
     return common.staged(found, name)
+
+
+def classes(docs: DataFrame, summary: DataFrame, bands_of, measure, name: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Per row of ``docs`` (:func:`anchors.keyed`): id, x, class_id (the least id of its group), kept: the row's text is the one that stays.
+
+    ``summary``: id, x, cls, bands of each row. Copies of a text are one member.
+    """
+    firsts = common.staged(summary.groupBy("cls").agg(F.min("id").alias("id"), F.min("x").alias("x")), name)
+    own = summary.join(firsts.select("id", "x"), ["id", "x"], "left_semi").dropDuplicates(["x"])
+    # texts are joined by a shuffle at every size: which side is small is not known beforehand
+    texts_of = lambda rows: docs.drop("cls").join(rows.join(firsts.select("id", "x"), "x").hint("merge"), ["id", "x"])
+    found = groups(texts_of, own.select("x", F.explode("bands").alias("band")), bands_of, measure, name, group_bytes)
+    rooted = firsts.join(found, "x", "left").select("x", "id", F.coalesce("root", "x").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("id", "x")).alias("first"))
+    members = rooted.join(stays, "root").select("x", F.col("first.id").alias("class_id"), F.col("first.x").alias("first_x"))
+    kept = ((F.col("id") == F.col("class_id")) & (F.col("x") == F.col("first_x"))).alias("kept")
+    return summary.select("id", "x").join(members, "x").select("id", "x", "class_id", kept)
+
+
+def public(found: DataFrame) -> DataFrame:
+    """doc_id, class_id, kept of the rows of :func:`classes`."""
+    return found.select(anchors.public_id(), F.nullif(F.col("class_id"), F.lit(anchors.NO_ID)).alias("class_id"), "kept")

@@ -124,16 +124,10 @@ def bands(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bands_of(idf: np.ndarray):
     def of(texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in texts]
-        at = 0
-        while at < len(texts):  # some megabytes at a time
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) < common.CHUNK_BYTES):
-                size += len(texts[upto])
-                upto += 1
-            has, keys = bands(common.utf8(pa.array(texts[at:upto], pa.string())), idf)
+        for at, part in common.portions(texts):
+            has, keys = bands(part, idf)
             for k, row in zip(has.tolist(), keys.tolist()):
                 out[at + k] = row
-            at = upto
         return out
 
     return of
@@ -178,22 +172,12 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, group_bytes: int
     docs = anchors.keyed(documents)
     idf = idf_table(shingle_frequencies(docs), docs.count())
     summary = common.staged(docs.mapInArrow(_summarise(idf), "id long, x long, cls binary, bands array<long>"), "near")
-    firsts = common.staged(summary.groupBy("cls").agg(F.min("id").alias("id"), F.min("x").alias("x")), "near")
-    own = summary.join(firsts.select("id", "x"), ["id", "x"], "left_semi").dropDuplicates(["x"])
-    # texts are joined by a shuffle at every size: which side is small is not known beforehand
-    texts_of = lambda rows: docs.drop("cls").join(rows.join(firsts.select("id", "x"), "x").hint("merge"), ["id", "x"])
-    found = linking.groups(texts_of, own.select("x", F.explode("bands").alias("band")), _bands_of(idf), _measure(idf, threshold), "near", group_bytes)
-    rooted = firsts.join(found, "x", "left").select("x", "id", F.coalesce("root", "x").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct("id", "x")).alias("first"))
-    members = rooted.join(stays, "root").select("x", F.col("first.id").alias("class_id"), F.col("first.x").alias("first_x"))
-    kept = ((F.col("id") == F.col("class_id")) & (F.col("x") == F.col("first_x"))).alias("kept")
-    return summary.select("id", "x").join(members, "x").select("id", "x", "class_id", kept)
+    return linking.classes(docs, summary, _bands_of(idf), _measure(idf, threshold), "near", group_bytes)
 
 
 def groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of documents: doc_id, class_id (the least doc_id of its group), kept (it is the one that stays)."""
-    found = classes(documents, threshold)
-    return found.select(anchors.public_id(), F.nullif(F.col("class_id"), F.lit(anchors.NO_ID)).alias("class_id"), "kept")
+    return linking.public(classes(documents, threshold))
 
 
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,6 +20,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
 
+def further_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Second queries of an operator that has one already."""
+    return {"op2_near_copies": lambda spark, sf_dir: minhash.near_copies(table(common.configure(spark), sf_dir, "documents"))}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

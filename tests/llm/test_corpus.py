@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from postwatch.llm import common, linking, maxent, near_dedup, quality, queries, warc
+from postwatch.llm import anchors, common, linking, maxent, minhash, near_dedup, quality, queries, warc
 from tests.llm.conftest import prose
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -106,6 +106,32 @@ def test_odd_rows_and_one_of_each(frame, rows, odd):
     assert near_dedup.groups(frame([])).count() == 0 and near_dedup.one_of_each(frame([])).count() == 0
 
 
+def test_near_copies_by_minhash(frame, rows, odd):
+    pairs = families(random.Random(11)) + [(k if k is None else k + 100_000, t) for k, t in odd]
+    texts = [t or "" for _, t in pairs]
+    sets = [set(minhash.shingles(*common.separated(common.utf8(pa.array([t])), 32))[0].tolist()) for t in texts]
+    up = list(range(len(pairs)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(pairs)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    members = {}
+    for k, (doc_id, text) in enumerate(pairs):
+        members.setdefault(root(k), []).append(anchors.NO_ID if doc_id is None else doc_id)
+    public = lambda k: None if k == anchors.NO_ID else k
+    want = [(public(i), public(min(group))) for group in members.values() for i in group]
+    found = minhash.near_copies(frame(pairs))
+    assert rows(found, "doc_id", "class_id") == sorted(want, key=repr)
+    assert len({c for _, c in want}) < len(want) - 40
+    assert minhash.near_copies(frame([])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
