@@ -5,8 +5,9 @@ sizes, the normalised difference (b - g) / (b + g) tells which kind of text it i
 other labelled rows turns the difference, together with the compressed share of the text, into a score from 0 to 1.
 
 Learned from: labelled rows whose crc32 of the doc_id (as text) modulo 5 is not 0, half of them for the dictionaries (the
-``DICT_ROWS`` of least id hash for each label, of these as many as ``DICT_BYTES`` of text hold), half for the calibration
-(``FIT_ROWS``). Only these dictionaries' texts are brought to the driver. Everything else covers all rows and whole texts.
+``DICT_ROWS`` of least id hash for each label, of these all that fit into ``DICT_BYTES``; a text of more than ``LONG_BYTES`` gives
+as many bytes in blocks spread over it), half for the calibration (``FIT_ROWS``). Only these dictionaries' texts are brought
+to the driver. Everything else covers all rows and whole texts.
 
 Defined cases: a null text is empty and gets a score like any other; labels that are null, or whose document is missing,
 teach nothing; with one kind of label only, or none, every score is the share of good labels (one more of each counted);
@@ -30,6 +31,7 @@ LEVEL = 3
 DICT_SIZE = 32768
 DICT_ROWS = 4000
 DICT_BYTES = 4 << 20
+LONG_BYTES = DICT_BYTES // 16
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 FOLDS = 5
@@ -44,6 +46,19 @@ def _blocks(text: bytes) -> list[bytes]:
     return [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
 
 
+def spread(text: bytes) -> bytes:
+    """The text, or of a long one ``LONG_BYTES`` in blocks that are spread over it evenly."""
+    if len(text) <= LONG_BYTES:
+        return text
+    n, most = len(text) // BLOCK, LONG_BYTES // BLOCK
+    return b"".join(text[at : at + BLOCK] for at in (k * n // most * BLOCK for k in range(most)))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in common.chunks(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(t.encode()) for t in texts.to_pylist()], pa.binary())], ["doc_id", "body"])
+
+
 def dictionary(texts: list[bytes]) -> bytes:
     blocks = [b for t in texts for b in _blocks(t)]
     try:
@@ -120,13 +135,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     texts: list[list[bytes]] = []
     for y in (0, 1):
         chosen = known.where(F.col("y") == y).where("h % 2 = 0").orderBy("h", "doc_id").limit(DICT_ROWS).select("doc_id", "h").distinct()
-        sized = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", F.octet_length("text").alias("n"))
+        n = F.sum(F.least(F.octet_length("text"), F.lit(LONG_BYTES))).alias("n")
+        sized = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(n)
         take, held = [], 0
         for row in sorted(sized.collect(), key=lambda r: (r.h, r.doc_id)):  # at most DICT_ROWS rows without texts
-            if row.n and (held := held + row.n) <= DICT_BYTES:
+            if row.n and held + row.n <= DICT_BYTES:  # one that does not fit takes no room from the others
+                held += row.n
                 take.append(row.doc_id)
-        rows = docs.where(F.col("doc_id").isin(take)).collect() if take else []
-        texts.append([r.text.encode() for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "")) if r.text])
+        rows = docs.where(F.col("doc_id").isin(take)).mapInArrow(_spread, "doc_id long, body binary").collect() if take else []
+        texts.append([bytes(r.body) for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.body))) if r.body])
     counts = dict(known.groupBy("y").count().collect())
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     constant = Model(b"", b"", [float(np.log(share / (1 - share))), 0, 0, 0, 0, 0])

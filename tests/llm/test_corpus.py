@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from postwatch.llm import anchors, common, linking, maxent, minhash, near_dedup, quality, queries, warc
@@ -176,6 +177,23 @@ def test_quality_learns(spark, frame, odd):
     assert quality.scores(frame(odd), model).count() == len(odd) and quality.scores(frame([]), model).count() == 0
 
 
+def test_quality_with_long_labelled_texts(spark, frame):
+    """A labelled text longer than all that the dictionary takes shuts out no other, wherever it stands, and teaches itself."""
+    rng = random.Random(4)
+    bad = lambda n: " ".join(w.upper() + "$$$" for w in prose(rng, n).split())
+    texts = {k: prose(rng, 80) if k < 300 else bad(80) for k in range(600)}
+    order = [r.id for r in spark.range(600).where("xxhash64(id) % 2 = 0").where(quality.remainder("id") != 0).orderBy(F.xxhash64("id")).collect()]
+    first = next(k for k in order if k < 300)
+    line = texts[first] + " "
+    texts[first] = line * (5 * (1 << 20) // len(line) + 1)
+    labels = spark.createDataFrame([(k, int(k < 300), 0) for k in texts], "doc_id long, quality int, toxic int")
+    docs = frame(list(texts.items()))
+    found = quality.scores(docs, quality.fit(docs, labels)).where("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id < 300) for r in found]) > 0.95
+    assert quality.LONG_BYTES - quality.BLOCK <= len(quality.spread(texts[first].encode())) <= quality.LONG_BYTES
+    assert quality.spread(b"short") == b"short" and quality.spread(b"") == b""
+
+
 def test_quality_without_labels(spark, frame, odd):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.scores(frame(odd), quality.fit(frame(odd), nothing)).collect()} == {0.5}
