@@ -178,16 +178,18 @@ def groups(
     return common.staged(found, name)
 
 
-def classes(docs: DataFrame, summary: DataFrame, bands_of, measure, name: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def classes(docs: DataFrame, summary: DataFrame, bands_of, measure, name: str, group_bytes: int = GROUP_BYTES, carrying=None) -> DataFrame:
     """Per row of ``docs`` (:func:`anchors.keyed`): id, x, class_id (the least id of its group), kept: the row's text is the one that stays.
 
-    ``summary``: id, x, cls, bands of each row. Copies of a text are one member.
+    ``summary``: id, x, cls, bands of each row. Copies of a text are one member. ``carrying``, if given, changes the text of rows of id,
+    x, text to what ``bands_of`` and ``measure`` are to get.
     """
     firsts = common.staged(summary.groupBy("cls").agg(F.min("id").alias("id"), F.min("x").alias("x")), name)
     own = summary.join(firsts.select("id", "x"), ["id", "x"], "left_semi").dropDuplicates(["x"])
     # texts are joined by a shuffle at every size: which side is small is not known beforehand
     texts_of = lambda rows: docs.drop("cls").join(rows.join(firsts.select("id", "x"), "x").hint("merge"), ["id", "x"])
-    found = groups(texts_of, own.select("x", F.explode("bands").alias("band")), bands_of, measure, name, group_bytes)
+    bodies_of = (lambda rows: carrying(texts_of(rows))) if carrying else texts_of
+    found = groups(bodies_of, own.select("x", F.explode("bands").alias("band")), bands_of, measure, name, group_bytes)
     rooted = firsts.join(found, "x", "left").select("x", "id", F.coalesce("root", "x").alias("root"))
     stays = rooted.groupBy("root").agg(F.min(F.struct("id", "x")).alias("first"))
     members = rooted.join(stays, "root").select("x", F.col("first.id").alias("class_id"), F.col("first.x").alias("first_x"))

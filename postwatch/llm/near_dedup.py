@@ -1,13 +1,17 @@
 """Near-duplicate groups: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A shingle is five words (runs of bytes other than ASCII white space); a text of one to four words is one shingle. Its weight
-is ``(1 + ln tf) * (1 + ln(N / df) / ln N)``: df is the number of documents with the shingle, counted over all documents in a
-table of ``2**DF_BITS`` hashed places, and the second factor lies between 1 and 2, so that what many documents share counts less
+is ``(1 + ln tf) * (1 + ln(N / df) / ln N)``: df is the number of documents with the shingle, counted for each
+shingle hash over all documents, and the second factor lies between 1 and 2, so that what many documents share counts less
 but a large group of near copies stays together. Each of ``SAMPLES`` samples draws one shingle and weight level of a text
 with the probability of the weighted Jaccard similarity to agree; the draws of a shingle come from tables of random numbers
 picked by the shingle's hash. Texts that agree in all samples of a band are candidates, and links between candidates are
 verified with the weights themselves, ``THRESHOLD`` or more (:mod:`postwatch.llm.linking`).
 
+Counting: documents are dealt into groups of about ``GROUP`` bytes; a group sends each of its shingles once, packed by ranges of
+hashes, to the task of the range, which sends back those that more than one document has. So a shingle of all documents is
+no more than one entry per group, and no table is larger than a range's or a group's share.
+
 Copies of a text are one member. The similarity 0.8 is missed by all ``BANDS`` bands with a probability of 0.0003.
 
 Defined cases: a null text is empty; texts without words are alike only to each other; a null doc_id counts as smaller than any
@@ -27,7 +31,8 @@ from postwatch.llm import anchors, common, linking, minhash
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-DF_BITS = 20
+DF_BITS = 20  # of a table of hashed places, for small inputs: see weights()
+GROUP, RANGE = 1 << 20, 16 << 20
 _TABLE = 1 << 14
 _BLOCK = 4096
 
@@ -69,21 +74,108 @@ def _place(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - DF_BITS)).astype(np.int64)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's document frequencies, in blocks of the table."""
-    total = np.zeros(1 << DF_BITS, np.int32)
-    for _, texts in common.chunks(batches):
-        total += np.bincount(_place(counted(texts)[1]), minlength=1 << DF_BITS).astype(np.int32)
-    yield from common.block_rows(total.reshape(-1, _BLOCK))
+def _hashes(ranges: int):
+    """Per group of documents and range of hashes: the distinct shingles in ascending order, and how many of its documents have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for at, upto in zip(cuts, cuts[1:]):
+                for _, texts in common.chunks([batch.slice(at, upto - at)] if upto > at else []):
+                    values, n = np.unique(counted(texts)[1], return_counts=True)
+                    n = n.astype(np.uint32)
+                    part = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+                    some, first = np.unique(part, return_index=True)
+                    ends = np.append(first, len(values))
+                    packed = [[pa.array([c[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())] for c in (values, n)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some, pa.int32()), pa.array(np.full(len(some), group[at]), pa.int64()), packed[0][0], packed[1][0]], ["part", "g", "h", "n"]
+                    )
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range; per group: its shingles that more than one document has, and how many have each."""
+
+    def frequent(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        values, at = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held]), len(values)).astype(np.uint32)
+        end = 0
+        for g, h, _ in held:
+            own = at[end : (end := end + len(h) // 8)]
+            own = own[n[own] > 1]
+            if len(own):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g], pa.int64()), pa.array([values[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["g", "h", "n"]
+                )
+
+    last, held = None, []
+    for batch in batches:
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != last and held:
+                yield from frequent(held)
+                held = []
+            last = part
+            held.append(row)
+    if held:
+        yield from frequent(held)
+
+
+_WITH_DF = "id long, x long, cls binary, df binary, bands array<long>"
+
+
+def _with_frequencies(n_docs: int):
+    """Rows sorted by group, shared shingles first: each document's df of its distinct shingles, and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, known = None, [], None
+        for batch in batches:
+            group, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(group)]
+            for at, upto in zip(cuts, cuts[1:]):
+                if upto == at:
+                    continue
+                if group[at] != last:
+                    last, held, known = group[at], [], None
+                if not own[at]:
+                    held += zip(*(batch.column(k).slice(at, upto - at).to_pylist() for k in (6, 7)))
+                    continue
+                if known is None:
+                    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(a, np.uint64) for a, _ in held)])
+                    n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for _, b in held)])
+                    h, first = np.unique(h, return_index=True)
+                    known, held = (h, n[first]), []
+                for part, texts in common.chunks([batch.slice(at, upto - at)]):
+                    doc, values, tf = counted(texts)
+                    df = np.ones(len(values), np.uint32)
+                    if len(known[0]):
+                        place = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
+                        df = np.where(known[0][place] == values, known[1][place], df).astype(np.uint32)
+                    has, keys = drawn(doc, values, weighted(tf, idf_table(df, n_docs)))
+                    listed = np.zeros(len(texts), np.int64)
+                    listed[has] = BANDS
+                    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                    packed = pa.array([df[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                    bands_ = common.lists(pa.array(keys.ravel().view(np.int64)), listed)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (2, 3, 4)), packed, bands_], ["id", "x", "cls", "df", "bands"])
+
+    return run
 
 
-def shingle_frequencies(docs: DataFrame) -> np.ndarray:
-    """The table of document frequencies; its size is fixed."""
-    rows = docs.select("text").mapInArrow(_frequencies, common.BLOCKS)
-    table = np.zeros((1 << DF_BITS) // _BLOCK * _BLOCK, np.int64).reshape(-1, _BLOCK)
-    for block, values in common.summed(rows, "int32"):
-        table[block] = values
-    return table.ravel()
+def with_frequencies(docs: DataFrame, n_docs: int, n_bytes: int) -> DataFrame:
+    """Per row of docs: id, x, cls, df of its distinct shingles in ascending order (packed), bands."""
+    g = F.pmod(F.xxhash64("id", "x"), F.lit(-(-n_bytes // GROUP) + 1)).alias("g")
+    ranges = n_bytes // RANGE + 1
+    dealt = docs.select(g, "text").repartition("g").sortWithinPartitions("g")
+    hashes = dealt.mapInArrow(_hashes(ranges), "part int, g long, h binary, n binary")
+    shared = hashes.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "g long, h binary, n binary")
+    nothing = F.lit(None).cast("binary")
+    own = docs.select(g, F.lit(1).alias("own"), "id", "x", "cls", "text", nothing.alias("h"), nothing.alias("n"))
+    null = F.lit(None)
+    others = shared.select("g", F.lit(0).alias("own"), null.cast("long").alias("id"), null.cast("long").alias("x"), nothing.alias("cls"), null.cast("string").alias("text"), "h", "n")
+    return own.unionByName(others).repartition("g").sortWithinPartitions("g", "own").mapInArrow(_with_frequencies(n_docs), _WITH_DF)
 
 
 def idf_table(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
@@ -92,18 +184,28 @@ def idf_table(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
     return (1 + share).astype(np.float32)
 
 
+def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return ((1 + np.log(tf)).astype(np.float32) * idf).astype(np.float32)
+
+
 def weights(values: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return ((1 + np.log(tf)).astype(np.float32) * idf[_place(values)]).astype(np.float32)
+    """With the IDF in a table of hashed places."""
+    return weighted(tf, idf[_place(values)])
 
 
 def bands(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have shingles, and a row of BANDS keys for each."""
+    """:func:`drawn` of the texts, with the IDF in a table of hashed places."""
     doc, values, tf = counted(texts)
+    return drawn(doc, values, weights(values, tf, idf))
+
+
+def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have shingles, and a row of BANDS keys for each."""
     has, first = np.unique(doc, return_index=True)
     if not len(has):
         return has, np.zeros((0, BANDS), np.uint64)
     sizes = np.diff(np.append(first, len(doc)))
-    level = np.log(weights(values, tf, idf))
+    level = np.log(weight)
     own, out = draws(), np.empty((SAMPLES, len(has)), np.uint64)
     shift = np.uint64(64 - _TABLE.bit_length() + 1)
     for k in range(SAMPLES):
@@ -121,13 +223,19 @@ def bands(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return has, keys.T
 
 
-def _bands_of(idf: np.ndarray):
-    def of(texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in texts]
-        for at, part in common.portions(texts):
-            has, keys = bands(part, idf)
-            for k, row in zip(has.tolist(), keys.tolist()):
-                out[at + k] = row
+def _unpacked(body: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights of a text that comes with its packed df, see :func:`classes`."""
+    n = int.from_bytes(body[:4], "big")
+    _, values, tf = counted(pa.array([body[4 + n :]], pa.large_binary()))
+    return values, weighted(tf, idf_table(np.frombuffer(body, np.uint32, n // 4, 4), n_docs))
+
+
+def _bands_of(n_docs: int):
+    def of(bodies: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for body in bodies:
+            values, weight = _unpacked(body, n_docs)
+            out.append(drawn(np.zeros(len(values), np.int64), values, weight)[1].ravel().view(np.int64).tolist())
         return out
 
     return of
@@ -140,39 +248,30 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / max(float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - low, 1e-9)
 
 
-def _measure(idf: np.ndarray, threshold: float):
-    def of(texts: list[str]) -> Callable[[int, int], bool]:
+def _measure(n_docs: int, threshold: float):
+    def of(bodies: list[bytes]) -> Callable[[int, int], bool]:
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def weighted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        def unpacked(k: int) -> tuple[np.ndarray, np.ndarray]:
             if k not in known:
-                _, values, tf = counted(common.utf8(pa.array([texts[k]], pa.string())))
-                known[k] = values, weights(values, tf, idf)
+                known[k] = _unpacked(bodies[k], n_docs)
             return known[k]
 
-        return lambda a, b: similarity(weighted(a), weighted(b)) >= threshold
+        return lambda a, b: similarity(unpacked(a), unpacked(b)) >= threshold
 
     return of
 
 
-def _summarise(idf: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.chunks(batches):
-            has, keys = bands(texts, idf)
-            n = np.zeros(len(texts), np.int64)
-            n[has] = BANDS
-            listed = common.lists(pa.array(keys.ravel().view(np.int64)), n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), listed], ["id", "x", "cls", "bands"])
-
-    return run
-
-
 def classes(documents: DataFrame, threshold: float = THRESHOLD, group_bytes: int = linking.GROUP_BYTES) -> DataFrame:
     """Per row of documents: id (a null doc_id: the least value), x, class_id (likewise), kept: the row's text is the one that stays."""
     docs = anchors.keyed(documents)
-    idf = idf_table(shingle_frequencies(docs), docs.count())
-    summary = common.staged(docs.mapInArrow(_summarise(idf), "id long, x long, cls binary, bands array<long>"), "near")
-    return linking.classes(docs, summary, _bands_of(idf), _measure(idf, threshold), "near", group_bytes)
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    summary = common.staged(with_frequencies(docs, n_docs, n_bytes), "near")
+    # a text goes to its comparisons together with its df
+    df = summary.select("id", "x", "df").dropDuplicates(["id", "x"])
+    size = F.unhex(F.lpad(F.hex(F.octet_length("df").cast("long")), 8, "0"))
+    body = F.concat(size, "df", F.encode("text", "utf-8")).alias("text")
+    return linking.classes(docs, summary, _bands_of(n_docs), _measure(n_docs, threshold), "near", group_bytes, lambda rows: rows.join(df.hint("merge"), ["id", "x"]).withColumn("text", body).drop("df"))
 
 
 def groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

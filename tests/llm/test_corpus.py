@@ -133,6 +133,28 @@ def test_near_copies_by_minhash(frame, rows, odd):
     assert minhash.near_copies(frame([])).count() == 0
 
 
+def test_frequencies_are_exact(frame, odd, monkeypatch):
+    """df of each shingle by a plain count; with ranges and groups of few bytes as well."""
+    pairs = families(random.Random(15)) + odd
+    sets = {}
+    total = Counter()
+    for _, t in pairs:
+        values = near_dedup.counted(common.utf8(pa.array([t or ""])))[1].tolist()
+        sets[t or ""] = values
+        total.update(values)
+    assert len({v >> 44 for v in total}) < len(total)  # places of a table of 2**20 would be shared
+    docs = anchors.keyed(frame(pairs))
+    n_bytes = sum(len((t or "").encode()) for _, t in pairs)
+    hashed = {r.x: r.text for r in docs.collect()}
+    for group, reach in ((near_dedup.GROUP, near_dedup.RANGE), (5000, 3000)):
+        monkeypatch.setattr(near_dedup, "GROUP", group)
+        monkeypatch.setattr(near_dedup, "RANGE", reach)
+        found = near_dedup.with_frequencies(docs, len(pairs), n_bytes).collect()
+        assert len(found) == len(pairs)
+        for r in found:
+            assert np.frombuffer(r.df, np.uint32).tolist() == [total[v] for v in sets[hashed[r.x]]]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
