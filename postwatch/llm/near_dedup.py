@@ -34,7 +34,7 @@ SAMPLES = BANDS * ROWS
 DF_BITS = 20  # of a table of hashed places, for small inputs: see weights()
 GROUP, RANGE = 1 << 20, 16 << 20
 _TABLE = 1 << 14
-_BLOCK = 4096
+_WORDLESS = -1  # the band of texts without words
 
 
 class Draws:
@@ -154,11 +154,13 @@ def _with_frequencies(n_docs: int):
                         place = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
                         df = np.where(known[0][place] == values, known[1][place], df).astype(np.uint32)
                     has, keys = drawn(doc, values, weighted(tf, idf_table(df, n_docs)))
-                    listed = np.zeros(len(texts), np.int64)
+                    listed = np.ones(len(texts), np.int64)
                     listed[has] = BANDS
+                    flat = np.full(listed.sum(), _WORDLESS, np.int64)
+                    flat[np.repeat(listed == BANDS, listed)] = keys.ravel().view(np.int64)
                     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
                     packed = pa.array([df[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-                    bands_ = common.lists(pa.array(keys.ravel().view(np.int64)), listed)
+                    bands_ = common.lists(pa.array(flat), listed)
                     yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (2, 3, 4)), packed, bands_], ["id", "x", "cls", "df", "bands"])
 
     return run
@@ -235,14 +237,17 @@ def _bands_of(n_docs: int):
         out: list[list[int]] = []
         for body in bodies:
             values, weight = _unpacked(body, n_docs)
-            out.append(drawn(np.zeros(len(values), np.int64), values, weight)[1].ravel().view(np.int64).tolist())
+            keys = drawn(np.zeros(len(values), np.int64), values, weight)[1].ravel().view(np.int64).tolist()
+            out.append(keys or [_WORDLESS])
         return out
 
     return of
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two texts given as ascending distinct shingles and their weights."""
+    """Weighted Jaccard of two texts given as ascending distinct shingles and their weights; texts without words are alike."""
+    if not len(a[0]) and not len(b[0]):
+        return 1.0
     shared, at, to = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = float(np.minimum(a[1][at], b[1][to]).sum(dtype=np.float64))
     return low / max(float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - low, 1e-9)

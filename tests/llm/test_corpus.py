@@ -133,6 +133,11 @@ def test_near_copies_by_minhash(frame, rows, odd):
     assert minhash.near_copies(frame([])).count() == 0
 
 
+def test_texts_without_words_are_one_group(frame, rows):
+    found = near_dedup.groups(frame([(1, ""), (2, " "), (3, "\n\t"), (4, None), (5, "word"), (6, "other")]))
+    assert rows(found, "doc_id", "class_id") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6)]
+
+
 def test_frequencies_are_exact(frame, odd, monkeypatch):
     """df of each shingle by a plain count; with ranges and groups of few bytes as well."""
     pairs = families(random.Random(15)) + odd
