@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postwatch.llm import bpe, common, decontaminate, maxent, minhash, near_dedup, phrases, pii, quality, substrings, warc
+from postwatch.llm import bpe, common, decontaminate, hard_negatives, lexical, maxent, minhash, near_dedup, phrases, pii, quality, substrings, token_counts, warc
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -81,11 +81,73 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", own), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def all_oracles() -> dict[str, str]:
     return dict(_ORACLES)
 
 
 _ORACLES = {
+    "op12_lexical": r"""
+        WITH split AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM split WHERE len(w) > 0),
+        lengths AS (SELECT r, doc_id, len(w)::BIGINT AS n, 25 + (75 * len(w)::BIGINT * n_docs) // n_terms AS m FROM split, totals WHERE len(w) > 0),
+        item_terms AS (
+            SELECT item, item_id, term, count(*) AS times FROM (
+                SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+            ) GROUP BY ALL
+        ), postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM split) SEMI JOIN item_terms USING (term) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+            FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+        scores AS (
+            SELECT item, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM item_terms JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (r) GROUP BY ALL
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10
+    """,
+    "op11_hard_negatives": r"""
+        WITH given AS (
+            SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        ), cells AS (
+            SELECT r, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS j FROM given
+        ), refused AS (SELECT DISTINCT r FROM cells WHERE x IS NULL OR NOT isfinite(x)),
+        whole AS (SELECT r, j, floor(256 * x)::BIGINT AS x FROM cells ANTI JOIN refused USING (r)),
+        rows AS (SELECT vec_id, r, label FROM given ANTI JOIN refused USING (r)),
+        scores AS (
+            SELECT a.r AS a, c.r AS c, sum(a.x * c.x)::BIGINT AS score
+            FROM whole a JOIN (SELECT r FROM rows WHERE vec_id % 100 = 0) USING (r) JOIN whole c ON a.j = c.j GROUP BY 1, 2
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, a.r AS anchor, a.label AS own, c.vec_id AS id, c.r AS r, c.label AS label, score
+            FROM scores JOIN rows a ON a.r = scores.a JOIN rows c ON c.r = scores.c WHERE a.r <> c.r
+        ), positives AS (
+            SELECT anchor, anchor_id, id AS positive_id, score AS positive_score,
+                row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS FIRST, r) AS nth FROM pairs WHERE own = label
+        )
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor, nth ORDER BY score DESC, id NULLS FIRST, r)::INTEGER AS rank,
+            id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN pairs n ON n.anchor = p.anchor AND n.own <> n.label
+        WHERE nth <= 5 AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
     "op5_decontaminate": r"""
         WITH folded AS (
             SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
