@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from postwatch.functions import text
 from postwatch.operators import skew
@@ -16,7 +16,7 @@ from postwatch.schemas import LEDGER_KEY, SEARCH_KEY
 PER_SEARCH = 10
 THRESHOLD = 0.35
 
-SENT, BELOW, PASSED, UNSCORED = "already_sent", "below_threshold", "passed", "unscored"
+SENT, BELOW, PASSED, UNSCORED, ERROR = "already_sent", "below_threshold", "passed", "unscored", "error"
 
 
 def search_keys(users: DataFrame) -> DataFrame:
@@ -51,14 +51,33 @@ def _ledger_rows(ledger: DataFrame) -> DataFrame:
     return ledger.select(*[F.col("job_url").alias("link") if c == "job_url" else F.col(c) for c in LEDGER_KEY])
 
 
-def unsent(cands: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Candidates not in the ledger. The four-part key is unique on both sides, so it spreads evenly."""
-    return cands.join(_ledger_rows(ledger), ["email", "link", "position", "location"], "left_anti").select(*cands.columns)
+def unsent(cands: DataFrame, ledger: DataFrame | Sequence[DataFrame]) -> DataFrame:
+    """Candidates not in the ledger, or in none of its parts. The four-part key is unique on both sides, so it spreads evenly.
+
+    The candidates are moved and sorted once; parts that lie bucketed by that key are merged with them in turn.
+    """
+    left = cands
+    for part in [ledger] if isinstance(ledger, DataFrame) else ledger:
+        left = left.join(_ledger_rows(part), ["email", "link", "position", "location"], "left_anti")
+    return left.select(*cands.columns)
+
+
+def newest_scores(scores: DataFrame) -> DataFrame:
+    """One score per (user_id, link): that of the newest ``run``, within it of the last to arrive, of equals the highest.
+
+    Takes the columns ``run``, ``arrived`` and ``reject_reason`` where they are there. A response that broke the rules counts as
+    the newest all the same: it has no score, and ``score_error`` says why. Every map task sends one narrow row per pair.
+    """
+    error = F.col("reject_reason") if "reject_reason" in scores.columns else F.lit(None).cast("string")
+    age = [F.col(c) for c in ("run", "arrived") if c in scores.columns]
+    order = F.struct(*age, F.col("score").isNotNull(), F.col("score"), error)
+    newest = F.max_by(F.struct("score", error.alias("score_error")), order).alias("_s")
+    return scores.groupBy("user_id", "link").agg(newest).select("user_id", "link", "_s.*")
 
 
 def with_scores(cands: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scores by (user_id, link); a missing one is NULL."""
-    return cands.join(scores.select("user_id", "link", "score"), ["user_id", "link"], "left")
+    """Scores by (user_id, link) and ``score_error``; a missing one is NULL. However often a pair was scored, its candidate is one row."""
+    return cands.join(newest_scores(scores), ["user_id", "link"], "left")
 
 
 def with_requirements(top: DataFrame, requirements: DataFrame) -> DataFrame:
@@ -90,30 +109,32 @@ def scores_by_function(
     scorer: Callable[[pd.DataFrame], pd.Series],
     inputs: list[str],
 ) -> DataFrame:
-    """Adds ``score`` from a caller's function over Arrow batches.
+    """Adds ``score`` from a caller's function over Arrow batches, and ``score_error``, what it raised.
 
     ``mapInPandas`` stays where it is put: a plain pandas UDF would be moved below the anti join and paid for
     postings already sent. Only rows with ``has_profile`` and ``has_text`` are scored. Rows whose score is missing
     keep NULL. A posting is kept when it cannot be scored: where the function raises for a batch, its rows are scored
     one by one, and those it raises for keep NULL.
     """
-    schema = StructType([*cands.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*cands.schema.fields, StructField("score", DoubleType()), StructField("score_error", StringType())])
 
     def tried(rows):
+        """Scores and errors of the rows."""
         try:
-            return scorer(rows).astype("float64")
-        except Exception:  # whatever the caller's function raises
+            return scorer(rows).astype("float64"), pd.Series(None, rows.index, "object")
+        except Exception as error:  # whatever the caller's function raises
             if len(rows) == 1:
-                return None
-            return pd.concat([part if (part := tried(rows.iloc[k : k + 1])) is not None else pd.Series([None], rows.index[k : k + 1], "float64") for k in range(len(rows))])
+                return pd.Series([None], rows.index, "float64"), pd.Series([f"{type(error).__name__}: {error}"], rows.index, "object")
+            parts = [tried(rows.iloc[k : k + 1]) for k in range(len(rows))]
+            return pd.concat([score for score, _ in parts]), pd.concat([raised for _, raised in parts])
 
     def run(batches):
         for batch in batches:
             asked = (batch["has_profile"] & batch["has_text"]).astype(bool)
-            score = pd.Series([None] * len(batch), index=batch.index, dtype="float64")
-            if asked.any() and (found := tried(batch.loc[asked, inputs])) is not None:
-                score[asked] = found
-            yield batch.assign(score=score)
+            score, raised = pd.Series(None, batch.index, "float64"), pd.Series(None, batch.index, "object")
+            if asked.any():
+                score[asked], raised[asked] = tried(batch.loc[asked, inputs])
+            yield batch.assign(score=score, score_error=raised)
 
     return cands.mapInPandas(run, schema)
 
@@ -132,13 +153,18 @@ def score_filter(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.where(matches(threshold))
 
 
+def judged(scored: DataFrame, threshold: float = THRESHOLD) -> Column:
+    """What scoring made of a candidate: error, unscored, below the threshold or passed."""
+    known = F.col("score").isNotNull() & consults_score()
+    failed = (F.col("score_error").isNotNull() if "score_error" in scored.columns else F.lit(False)) & consults_score()
+    return F.when(failed, ERROR).when(~known, UNSCORED).when(F.col("score") < threshold, BELOW).otherwise(PASSED)
+
+
 def outcomes(scored: DataFrame, ledger: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every candidate with what became of it, and its score as text for the log."""
+    """Every candidate with what became of it, and its score as text for the log. A scoring that failed is an error, not a low score."""
     rows = _ledger_rows(ledger).distinct().withColumn("_sent", F.lit(True))
     known = F.col("score").isNotNull() & consults_score()
-    outcome = (
-        F.when(F.col("_sent"), SENT).when(~known, UNSCORED).when(F.col("score") < threshold, BELOW).otherwise(PASSED)
-    )
+    outcome = F.when(F.col("_sent"), SENT).otherwise(judged(scored, threshold))
     shown = F.when(known & F.col("_sent").isNull(), text.score_text(F.col("score")))
     return (
         scored.join(rows, ["email", "link", "position", "location"], "left")

@@ -89,15 +89,23 @@ def parse_responses(landed: DataFrame, body: str = "body") -> DataFrame:
 
 
 def newest(landed: DataFrame) -> DataFrame:
-    """The response of each search's newest ``run``; every map task sends one row per search."""
-    rest = [c for c in landed.columns if c not in SEARCH_KEY]
-    last = F.max_by(F.struct(*rest), "run").alias("_last")
-    return landed.groupBy(*SEARCH_KEY).agg(last).select(*SEARCH_KEY, "_last.*")
+    """The response of each search's newest ``run``; of several of one run the last to arrive, and of those the one whose body has
+    the greatest hash, so the choice is the same in every run.
+
+    Only keys, ages and hashes are aggregated. The bodies meet the short list of those chosen and stay where they are unless
+    even that list is too long to send to them; a body that landed twice goes on once.
+    """
+    mark = F.col("version") if "version" in landed.columns else F.xxhash64("body")
+    age = [c for c in ("run", "arrived") if c in landed.columns]
+    marked = landed.withColumn("_version", mark)
+    last = marked.groupBy(*SEARCH_KEY).agg(F.max(F.struct(*age, "_version")).alias("_last")).select(*SEARCH_KEY, "_last.*")
+    chosen = marked.alias("l").join(last.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*SEARCH_KEY, *age, "_version")], "left_semi")
+    return chosen.drop("_version").dropDuplicates(SEARCH_KEY)
 
 
 def from_responses(landed: DataFrame) -> DataFrame:
     """Typed postings of the newest response of each search; a response that breaks the rules gives none."""
-    return explode_postings(parse_responses(newest(landed))).drop("run")
+    return explode_postings(parse_responses(newest(landed))).drop("run", "arrived")
 
 
 def responses_valid(parsed: DataFrame) -> DataFrame:

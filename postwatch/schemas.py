@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType, TimestampType
 
 USER_KEY = ["email", "position", "location"]
 LEDGER_KEY = ["email", "job_url", "position", "location"]
@@ -15,6 +15,7 @@ _TYPES = {
     "int": IntegerType(),
     "long": LongType(),
     "strings": ArrayType(StringType()),
+    "timestamp": TimestampType(),
 }
 
 
@@ -43,6 +44,12 @@ POSTINGS = _struct(
     "link string, date_posted string, employment_type string, description string"
 )
 PAGES = _struct("url string, html string")
+RESPONSES = _struct("position string, location string, run string, arrived timestamp, body string")
+DAILY_COUNTS = _struct(
+    "n_scored long, n_passed long, n_below_threshold long, n_unscored long, n_error long, n_delivered long, n_digests long"
+)
+TRIAGE_COUNTS = _struct("n_before long, n_new long, n_processed_total long, n_queue long, n_remaining long")
+REJECTS = _struct("source string, row_key string, reject_reason string")
 
 # One change request; the three kinds share a schema, each reads only its own fields.
 CHANGE_BODY = _struct(

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a bucket that is one sorted file is read as sorted
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 

@@ -14,19 +14,25 @@ def landed_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# Landed lines name what was asked for: the search and the run, or the pair that was scored.
+# Landed lines name what was asked for: the search or the pair that was scored, and the run.
 RESPONSE_LINES = "position string, location string, run string, body string"
-SCORE_LINES = "user_id string, link string, body string"
+SCORE_LINES = "user_id string, link string, run string, body string"
 
 
-def landed_responses(spark: SparkSession, path: str) -> DataFrame:
+def _landed(spark: SparkSession, path: str, lines: str, stream: bool) -> DataFrame:
+    """Lines with ``arrived``, when their file was last written: it orders the lines of one run."""
+    rows = (spark.readStream if stream else spark.read).schema(lines).json(path)
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+
+
+def landed_responses(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Search responses as JSON lines, each with its search and run; a directory of such files is split like any other."""
-    return spark.read.schema(RESPONSE_LINES).json(path)
+    return _landed(spark, path, RESPONSE_LINES, stream)
 
 
-def landed_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Score responses as JSON lines, each with the pair it is for."""
-    return spark.read.schema(SCORE_LINES).json(path)
+def landed_scores(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Score responses as JSON lines, each with the pair it is for and the run."""
+    return _landed(spark, path, SCORE_LINES, stream)
 
 
 def change_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -95,28 +95,55 @@ def test_digest_is_folded_where_it_was_ranked(spark):
     assert "Exchange" not in plan_of(folded).split("Window [")[0]
 
 
-def test_bucketed_ledger_is_not_shuffled(spark):
+@pytest.fixture()
+def planned(spark):
+    """Plans as of large tables, not changed while they run."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     before = {k: spark.conf.get(k) for k in settings}
-    ledger_sink.create_bucketed(spark, "sent_bucketed", 4)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def above(plan: str, scan: str) -> list[str]:
+    """The operators between a scan and the join it feeds."""
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if scan in line)
+    depth = lambda line: max(line.find("+- "), line.find(":- "))
+    out, low = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) == low - 3:
+            low -= 3
+            if "Join" in line:
+                return out
+            out.append(line)
+    return out
+
+
+def test_ledger_is_neither_shuffled_nor_sorted(spark, tmp_path, planned):
     t = given.Inputs(session.configure(spark), SF_DIR)
-    rows = t.ledger()
-    try:
-        for run in ("a", "b", "b"):
-            ledger_sink.append_bucketed(rows, "sent_bucketed", run)
-        assert spark.table("sent_bucketed").count() == 2 * rows.count()
-        assert ledger_sink.read_bucketed(spark, "sent_bucketed", without="a").count() == rows.count()
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        fresh = matching.unsent(t.candidates(), ledger_sink.read_bucketed(spark, "sent_bucketed"))
-        ledger_side = plan_of(fresh).split("LeftAnti")[1].split("FileScan parquet spark_catalog.default.sent_bucketed")[0]
-        assert "Exchange" not in ledger_side.split("Sort [")[-1]
-        assert "Bucketed: true" in plan_of(fresh)
-        assert fresh.count() == matching.unsent(t.candidates(), rows).count()
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-        spark.sql("DROP TABLE sent_bucketed")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    rows, root = t.ledger(), str(tmp_path)
+    for run in ("a", "b", "b"):
+        ledger_sink.append(rows, root, run, buckets=4)
+    assert ledger_sink.read(spark, root).count() == 2 * rows.count()
+    assert ledger_sink.read(spark, root, without="a").count() == rows.count()
+    assert ledger_sink.compact(spark, root)
+    assert ledger_sink.read(spark, root).count() == rows.count()
+    base, since = ledger_sink.parts(spark, root)
+    assert since.count() == 0
+    ranked = daily.daily_digest(t.users(), t.profiles(), t.postings(), [base, since], daily.Scoring())
+    plan = plan_of(ranked)
+    assert plan.count("LeftAnti") == 2 and plan.count("Bucketed: true") == 2
+    scan = re.search(r"FileScan parquet [^\n]*PartitionFilters: \[[^\]]*run_id#\d+ = b~", plan)
+    feeding = above(plan, scan[0])
+    assert feeding and not any("Exchange" in line or "Sort" in line for line in feeding)
+    # the candidates are moved once for both parts
+    assert "Exchange" not in plan.split("LeftAnti")[1]
+    expected = daily.daily_digest(t.users(), t.profiles(), t.postings(), rows, daily.Scoring())
+    assert sorted(map(repr, ranked.collect())) == sorted(map(repr, expected.collect()))
 
 
 @pytest.mark.parametrize("name", ["digest_ranked", "daily_digest"])

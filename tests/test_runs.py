@@ -10,7 +10,7 @@ from postwatch import schemas, session
 from postwatch.operators import postings, profiles
 from postwatch.plans import daily, poll, triage
 from postwatch.sinks import ledger as ledger_sink, runs, users as user_store
-from postwatch.sources import feeds, tables
+from postwatch.sources import feeds
 from postwatch.streaming import poll_stream
 
 POSTINGS = [
@@ -28,18 +28,18 @@ def test_daily_run_twice(spark, tmp_path):
     args = (t.users(), t.profiles(), t.postings(), t.scoring(), root)
     first = daily.run_daily(spark, *args, "day1", given.UNSUBSCRIBE_BASE, "2025-01-01")
     n_jobs = sum(r.n_jobs for r in first.collect())
-    sent = ledger_sink.read(spark, f"{root}/sent_email")
+    sent = ledger_sink.read(spark, root)
     assert n_jobs == sent.count() > 0
     assert sent.distinct().count() == n_jobs
     before = contents(sent)
     # the same run again: the same tables
     again = daily.run_daily(spark, *args, "day1", given.UNSUBSCRIBE_BASE, "2025-01-01")
-    assert contents(ledger_sink.read(spark, f"{root}/sent_email")) == before and again.count() > 0
-    ledger_sink.compact(spark, f"{root}/sent_email", f"{root}/compacted", "all")
-    assert contents(ledger_sink.read(spark, f"{root}/compacted")) == before
+    assert contents(ledger_sink.read(spark, root)) == before and again.count() > 0
+    assert ledger_sink.compact(spark, root) and not ledger_sink.compact(spark, root)
+    assert contents(ledger_sink.read(spark, root)) == before
     # the next run on the same input: nothing left to send
     assert daily.run_daily(spark, *args, "day2", given.UNSUBSCRIBE_BASE, "2025-01-02").count() == 0
-    assert contents(ledger_sink.read(spark, f"{root}/sent_email")) == before
+    assert contents(ledger_sink.read(spark, root)) == before
 
 
 def test_at_most_ten_per_search_and_newest_first(spark):
@@ -57,7 +57,7 @@ class World:
         self.inbox.mkdir()
         self.settings = poll.PollSettings(
             self.root, "secret", "https://c.example.org", "https://u.example.org",
-            postings=lambda: spark.createDataFrame(POSTINGS, schemas.POSTINGS),
+            postings=lambda searches: spark.createDataFrame(POSTINGS, schemas.POSTINGS),
         )
 
     def rows(self, *requests):
@@ -84,7 +84,7 @@ class World:
         return [r.email for r in self.table("welcome_outbox")]
 
     def sent(self):
-        return ledger_sink.read(self.spark, f"{self.root}/sent_email").collect()
+        return ledger_sink.read(self.spark, self.root).collect()
 
 
 @pytest.fixture()
@@ -134,7 +134,7 @@ def test_delete_and_add_again_keeps_the_ledger(world):
     world.serve("4", ("confirm", {"token": world.users()["a"].confirmation_token}))
     users = user_store.read(world.spark, world.root)
     none = profiles.fold(*[user_store.children(world.spark, world.root, n) for n in user_store.CHILDREN])
-    out = daily.run_daily(world.spark, users, none, world.settings.postings(), daily.Scoring(), world.root, "5", "https://u", "2025-01-02")
+    out = daily.run_daily(world.spark, users, none, world.settings.postings(None), daily.Scoring(), world.root, "5", "https://u", "2025-01-02")
     assert out.count() == 0 and world.users()["a"].id != "7"
 
 
@@ -165,11 +165,10 @@ def test_compaction_keeps_live_users_and_their_children(world, tmp_path):
     world.serve("1", add("a", skills=["x"]), add("b", skills=["y"]))
     world.serve("2", drop("a"))
     before = world.users()
-    target = str(tmp_path / "compacted")
-    user_store.compact(world.spark, world.root, target, "3")
-    assert {r.email: r for r in user_store.read(world.spark, target).collect()} == before
-    assert [r.skill for r in user_store.children(world.spark, target, "skills").collect()] == ["y"]
-    assert tables.read_table(world.spark, f"{target}/users", schemas.USERS).count() == 1
+    assert user_store.compact(world.spark, world.root)
+    assert world.users() == before
+    assert [r.skill for r in user_store.children(world.spark, world.root, "skills").collect()] == ["y"]
+    assert user_store.stored(world.spark, world.root).count() == 1
 
 
 def test_stream_over_a_growing_directory(world, tmp_path):
@@ -242,6 +241,6 @@ def test_landed_lines_reach_the_postings(spark, tmp_path):
     found = postings.from_responses(feeds.landed_responses(spark, str(path))).collect()
     assert sorted((r.position, r.location, r.pos, r.link) for r in found) == [("dev", "rome", k, "https://x.org/1") for k in (1, 2)]
     score = {"jobRequirements": {}, "userProfile": {}, "similarityScore": {"score": 0.5}}
-    (tmp_path / "scores.json").write_text(json.dumps({"user_id": "u", "link": "https://x.org/1", "body": json.dumps(score)}))
+    (tmp_path / "scores.json").write_text(json.dumps({"user_id": "u", "link": "https://x.org/1", "run": "1", "body": json.dumps(score)}))
     scored = postings.parse_scores(feeds.landed_scores(spark, str(tmp_path / "scores.json"))).collect()
     assert [(r.user_id, r.link, r.score) for r in scored] == [("u", "https://x.org/1", 0.5)]
