@@ -7,13 +7,17 @@ so that the SQL twins in ``checks.oracles`` can state the same rules.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postwatch import session
 from postwatch.operators import changes, digest, matching, postings as posting_ops, profiles, subscriptions
+from postwatch.plans import poll
 from postwatch.plans.daily import Scoring
+from postwatch.sinks import users
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SECRET = "fixture"
@@ -109,7 +113,13 @@ class Inputs:
         )
 
     def profiles(self) -> DataFrame:
-        return profiles.fold(self.skills(), self.experiences(), self.educations())
+        """The three tables folded; lines are read and joined once for skills and experiences together."""
+        number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+        both = F.array(profiles.entry("skills", number, F.col("p_brand")), profiles.entry("experiences", F.length("p_type"), F.col("p_type")))
+        user = F.col("o_custkey").cast("string").alias("user_id")
+        learnt = profiles.entry("qualifications", F.substring("o_orderpriority", 1, 1).cast("int"), F.col("o_orderpriority"))
+        bought = self._bought().select(user, F.inline(both))
+        return profiles.fold_stacked(bought.unionByName(self.given("orders").select(user, F.inline(F.array(learnt)))).distinct())
 
     # --- postings ------------------------------------------------------------------------------------------------
 
@@ -134,14 +144,11 @@ class Inputs:
 
     def requirements(self) -> DataFrame:
         """(link, requirements) of the postings at the top of a search: the distinct brands of the order, so at most as
-        many as there are brands.
-
-        The broadcast holds 10 order keys for each pair of the 5 market segments and 25 nations, whatever the scale.
-        Lines are neither shuffled nor looked up in ``part`` before that.
+        many as there are brands. Lines are cut down to those postings before they are looked up in ``part``.
         """
         parts = self.given("part").select("p_partkey", "p_brand")
         lines = self.given("lineitem").select("l_orderkey", "l_partkey")
-        asked = F.broadcast(self.top().select(F.col("pos").alias("l_orderkey")))
+        asked = self.top().select(F.col("pos").alias("l_orderkey"))
         brands = lines.join(asked, "l_orderkey", "left_semi").join(parts, F.col("l_partkey") == F.col("p_partkey"))
         folded = brands.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("requirements"))
         link = F.concat(F.lit("https://jobs.example.org/"), F.col("l_orderkey").cast("string"))
@@ -214,6 +221,18 @@ class Inputs:
         cut = F.expr("substring(_text, 1, length(_text) - 4)")
         return rows.select("user_id", "link", F.when(F.col("pos") % 13 == 0, cut).otherwise(F.col("_text")).alias("body"))
 
+    def relanded_scores(self) -> DataFrame:
+        """(user_id, link, run, body): every scored candidate lands in run 1; by key some again in run 2 with half the score, some of these
+        twice, and in either run some are cut short."""
+        profile = F.struct("skills", "experiences", "qualifications")
+        runs = F.when(F.col("pos") % 6 == 0, F.array(F.lit(1), F.lit(2), F.lit(2))).when(F.col("pos") % 3 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))
+        rows = self.scored().where("score IS NOT NULL").select("*", F.explode(runs).alias("run"))
+        score = F.struct((F.col("score") / F.col("run")).alias("score"))
+        rows = rows.withColumn("_text", F.to_json(F.struct(F.struct(F.col("requirements").alias("skills")).alias("jobRequirements"), profile.alias("userProfile"), score.alias("similarityScore"))))
+        cut = F.when(F.col("run") == 1, F.col("pos") % 13 == 0).otherwise(F.col("pos") % 5 == 0)
+        short = F.expr("substring(_text, 1, length(_text) - 4)")
+        return rows.select("user_id", "link", F.col("run").cast("string").alias("run"), F.when(cut, short).otherwise(F.col("_text")).alias("body"))
+
     def scoring(self) -> Scoring:
         return Scoring(requirements=self.requirements(), pairs=PAIRS)
 
@@ -279,6 +298,20 @@ class Inputs:
         return self.pages().where("page_id % 3 = 0").select(F.col("url").alias("job_url"))
 
 
+    # --- stores --------------------------------------------------------------------------------------------------
+
+    def polled(self) -> str:
+        """The folder of a user store that a poll over the whole feed has changed: users and children written, one poll, compaction."""
+        root = f"{session.shared_dir(self.spark)}/checks-{uuid.uuid4().hex[:12]}"
+        users.write(self.users(), None, root, "0")
+        for name, table in zip(users.CHILDREN, (self.skills, self.experiences, self.educations)):
+            users.write_children(table(), root, name, "0")
+        settings = poll.PollSettings(root, SECRET, CONFIRM_BASE, UNSUBSCRIBE_BASE, lambda searches: self.postings())
+        poll.poll(self.spark, self.feed(), "1", DAY, settings)
+        poll.compact(self.spark, root, before="1")
+        return root
+
+
 def overlap_function(fails: bool = False) -> Callable[[pd.DataFrame], pd.Series]:
     """The overlap score as a caller-supplied function; missing where an order has no requirements. With ``fails`` it raises
     for postings whose ``pos`` ends in 3.

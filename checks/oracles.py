@@ -78,6 +78,11 @@ _CTES: dict[str, str] = {
         FROM candidates c JOIN profile_ids p ON p.user_id = c.user_id JOIN needed n ON n.link = c.link
         LEFT JOIN skills s ON s.user_id = c.user_id AND s.skill = n.requirement GROUP BY c.user_id, c.link""",
     "scores": "SELECT user_id, link, matched::DOUBLE / wanted::DOUBLE AS score FROM hits",
+    "newest_scores": """
+        SELECT user_id, link, CASE WHEN NOT bad THEN score / run END AS score, CASE WHEN bad THEN 'bad_json' END AS score_error
+        FROM (SELECT *, CASE WHEN run = 2 THEN pos % 5 = 0 ELSE pos % 13 = 0 END AS bad
+              FROM (SELECT *, CASE WHEN pos % 3 = 0 THEN 2 ELSE 1 END AS run
+                    FROM (SELECT *, substr(link, length('https://jobs.example.org/') + 1)::BIGINT AS pos FROM scores)))""",
     "kept": """
         SELECT u.*, s.score FROM unsent u LEFT JOIN scores s ON s.user_id = u.user_id AND s.link = u.link
         WHERE s.score IS NULL OR u.description = '' OR NOT s.score < 0.35""",
@@ -119,6 +124,14 @@ _CTES: dict[str, str] = {
             WHERE a.kind = 'add' AND (g.last_delete IS NULL OR a.seq > g.last_delete)) s
         WHERE rn = 1 AND (last_delete IS NOT NULL OR NOT EXISTS (
             SELECT 1 FROM users u WHERE u.email = s.email AND u.position = s.position AND u.location = s.location))""",
+    "polled": """
+        SELECT email, position, location, job_type, is_new, is_confirmed OR t.token IS NOT NULL AS is_confirmed,
+               confirmation_token IS NOT NULL AND t.token IS NULL AS holds_token
+        FROM (SELECT email, position, location, job_type, is_new, is_confirmed, confirmation_token FROM kept_users
+              UNION ALL SELECT email, position, location, job_type, true, false, 'made' FROM standing) a
+        LEFT JOIN (SELECT DISTINCT token FROM requests WHERE kind = 'confirm') t ON token = confirmation_token""",
+    "migrated": """
+        SELECT email, position, location FROM users UNION ALL SELECT email, position, location FROM requests WHERE kind = 'add'""",
     "varied": """
         SELECT page_id, url,
                CASE WHEN page_id % 7 = 0 THEN replace(c, '<title>', '<title>Just a moment... ') ELSE c END AS html
@@ -278,6 +291,35 @@ _BODIES: dict[str, str] = {
         SELECT u.user_id, u.link, s.score
         FROM unsent u LEFT JOIN (SELECT * FROM scores WHERE NOT {_CUT_SCORE}) s ON s.user_id = u.user_id AND s.link = u.link
         WHERE s.score IS NULL OR u.description = '' OR s.score >= 0.35""",
+    "scores_newest": "SELECT user_id, link, score, score_error FROM newest_scores",
+    "digest_from_scores": f"""
+        SELECT {_CANDIDATE}, date_posted, score, score_error,
+               row_number() OVER (PARTITION BY user_id ORDER BY coalesce(date_posted, '') DESC, pos)::INTEGER AS card_no
+        FROM (SELECT u.*, s.score, s.score_error FROM unsent u LEFT JOIN newest_scores s ON s.user_id = u.user_id AND s.link = u.link
+              WHERE s.score IS NULL OR u.description = '' OR NOT s.score < 0.35)""",
+    "outcome_counts_landed": """
+        SELECT outcome, count(*) AS n_candidates FROM (
+            SELECT CASE WHEN l.email IS NOT NULL THEN 'already_sent' WHEN s.score_error IS NOT NULL AND c.description <> '' THEN 'error'
+                        WHEN s.score IS NULL OR c.description = '' THEN 'unscored'
+                        WHEN s.score < 0.35 THEN 'below_threshold' ELSE 'passed' END AS outcome
+            FROM candidates c LEFT JOIN newest_scores s ON s.user_id = c.user_id AND s.link = c.link
+            LEFT JOIN ledger l ON l.email = c.email AND l.job_url = c.link AND l.position = c.position AND l.location = c.location)
+        GROUP BY outcome""",
+    "keys_after_migration": f"""
+        SELECT 'primary' AS key, '{{"id":"' || {_uuid().replace(" || chr(31) || position || chr(31) || location", "")} || '"}}' AS value, count(*) AS n_rows
+        FROM migrated GROUP BY email HAVING count(*) > 1
+        UNION ALL
+        SELECT 'unique', '{{"email":"' || email || '","position":"' || position || '","location":"' || location || '"}}', count(*)
+        FROM migrated GROUP BY email, position, location HAVING count(*) > 1""",
+    "poll_users": "SELECT email, position, location, job_type, false AS is_new, is_confirmed, holds_token FROM polled",
+    "poll_children": """
+        SELECT email, position, location, s.id, skill FROM kept_users u JOIN skills s ON s.user_id = u.id
+        UNION ALL SELECT email, position, location, 0, 'Brand#' || (seq % 25) FROM standing
+        UNION ALL SELECT email, position, location, 1, 'Brand#' || (seq % 7) FROM standing""",
+    "poll_ledger": """
+        SELECT email, link AS job_url, p.position, p.location FROM polled p JOIN top t ON p.position = t.position AND p.location = t.location
+        WHERE is_new AND is_confirmed""",
+    "queue_file": "SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, job_url, note FROM queue",
     "outcome_counts": """
         SELECT outcome, score_text, count(*) AS n_candidates FROM (
             SELECT CASE WHEN l.email IS NOT NULL THEN 'already_sent' WHEN s.score IS NULL OR c.description = '' THEN 'unscored'

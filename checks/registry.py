@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,7 +25,7 @@ from postwatch.operators import (
 )
 from postwatch.plans import daily, triage
 from postwatch.schemas import LEDGER_KEY, SEARCH_KEY, USER_KEY
-from postwatch.sinks import ledger as ledger_sink
+from postwatch.sinks import crawl, ledger as ledger_sink, users as user_store
 from postwatch.sources import queue_csv
 
 Query = Callable[[Inputs], DataFrame]
@@ -146,6 +147,15 @@ def key_violations(t: Inputs) -> DataFrame:
     return integrity.key_violations(changes.of_kind(t.requests(), "add"), USER_KEY)
 
 
+@query
+def keys_after_migration(t: Inputs) -> DataFrame:
+    """Both keys of a migrated table in one pass: ids made from the address alone, and subscriptions asked for more than once."""
+    bare = evolution.downgrade(t.users(), "confirmation", "base")
+    asked = changes.of_kind(t.requests(), "add").select(*USER_KEY, "job_type")
+    migrated = evolution.upgrade(bare.unionByName(asked), "base", user_id=subscriptions.key_uuid(F.col("email")))
+    return integrity.violations(migrated, {"primary": ["id"], "unique": USER_KEY})
+
+
 @query
 def orphan_children(t: Inputs) -> DataFrame:
     left = subscriptions.delete(t.users(), changes.of_kind(t.requests(), "delete"))
@@ -182,6 +192,30 @@ def rejects(t: Inputs) -> DataFrame:
     return asked.unionByName(searched).unionByName(scored)
 
 
+# --- polls -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def poll_users(t: Inputs) -> DataFrame:
+    """The user store after a poll over the whole feed."""
+    held = F.col("confirmation_token").isNotNull().alias("holds_token")
+    return user_store.read(t.spark, t.polled()).select(*USER_KEY, "job_type", "is_new", "is_confirmed", held)
+
+
+@query
+def poll_children(t: Inputs) -> DataFrame:
+    """Skills after the same poll, by subscription: those of deleted subscriptions are gone, those of new ones there."""
+    root = t.polled()
+    owners = user_store.read(t.spark, root).select(F.col("id").alias("user_id"), *USER_KEY)
+    return user_store.children(t.spark, root, "skills").join(owners, "user_id", "left").select(*USER_KEY, "id", "skill")
+
+
+@query
+def poll_ledger(t: Inputs) -> DataFrame:
+    """What the same poll has sent: the postings of subscriptions that were new and confirmed."""
+    return ledger_sink.read(t.spark, t.polled())
+
+
 # --- postings --------------------------------------------------------------------------------------------------------
 
 
@@ -239,6 +273,12 @@ def scores_scan(t: Inputs) -> DataFrame:
     return posting_ops.parse_scores(t.landed_scores())
 
 
+@query
+def scores_newest(t: Inputs) -> DataFrame:
+    """Scores that landed once, again, or twice in one run: one row per pair."""
+    return matching.newest_scores(posting_ops.parse_scores(t.relanded_scores()))
+
+
 # --- matching and digest ---------------------------------------------------------------------------------------------
 
 
@@ -290,6 +330,22 @@ def digest_from_responses(t: Inputs) -> DataFrame:
     return rows.select(*CANDIDATE, "date_posted", "card_no")
 
 
+@query
+def digest_from_scores(t: Inputs) -> DataFrame:
+    """The digest by landed scores: a pair that was scored several times is delivered once, by its newest score."""
+    rows = daily.daily_digest(t.users(), t.profiles(), t.postings(), t.ledger(), daily.Scoring(landed=t.relanded_scores()))
+    return rows.select(*CANDIDATE, "date_posted", "score", "score_error", "card_no")
+
+
+@query
+def outcome_counts_landed(t: Inputs) -> DataFrame:
+    """Outcomes by landed scores: a response that broke the rules is an error, a pair never scored is unscored."""
+    users = subscriptions.confirmed(t.users())
+    cands = matching.candidates(profiles.attach(users, t.profiles()), t.top(), counted=users)
+    scored = matching.with_scores(cands, posting_ops.parse_scores(t.relanded_scores()))
+    return matching.outcomes(scored, t.ledger()).groupBy("outcome").agg(F.count("*").alias("n_candidates"))
+
+
 @query
 def daily_digest(t: Inputs) -> DataFrame:
     rows = daily.daily_digest(t.users(), t.profiles(), t.postings(), t.ledger(), t.scoring())
@@ -364,6 +420,14 @@ def queue_positional(t: Inputs) -> DataFrame:
     return queue_csv.positional(t.pages().select(no.alias("pos"), no.cast("string").alias("c0"), url.alias("c1")))
 
 
+@query
+def queue_file(t: Inputs) -> DataFrame:
+    """A queue written as files in its own order and read back by its lines: ``pos`` is each row's place in the whole queue."""
+    path = f"{session.shared_dir(t.spark)}/checks-{uuid.uuid4().hex[:12]}"
+    crawl.write_csv(t.queue(), path)
+    return queue_csv.scan(t.spark, path, whole=True).select("pos", "job_url", "note")
+
+
 @query
 def queue_next_batch(t: Inputs) -> DataFrame:
     return queue_ops.next_batch(t.queue(), t.processed(), marker=given.MARKER)

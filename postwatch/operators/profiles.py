@@ -16,11 +16,20 @@ def fold(skills: DataFrame, experiences: DataFrame, educations: DataFrame) -> Da
 
     The three tables are stacked and grouped once, so they need one shuffle and never meet in a join.
     """
-    tables = dict(zip(LISTS, (skills, experiences, educations), strict=True))
     stacked = None
-    for name, table in tables.items():
-        rows = table.select("user_id", F.lit(name).alias("kind"), F.struct("id", F.col(LISTS[name]).alias("value")).alias("item"))
+    for name, table in zip(LISTS, (skills, experiences, educations), strict=True):
+        rows = table.select("user_id", entry(name, F.col("id"), F.col(LISTS[name])).alias("e")).select("user_id", "e.*")
         stacked = rows if stacked is None else stacked.unionByName(rows)
+    return fold_stacked(stacked)
+
+
+def entry(name: str, place: Column, value: Column) -> Column:
+    """An item of the list ``name`` as a row of a stacked table."""
+    return F.struct(F.lit(name).alias("kind"), F.struct(place.alias("id"), value.alias("value")).alias("item"))
+
+
+def fold_stacked(stacked: DataFrame) -> DataFrame:
+    """:func:`fold` for children that are one table already: user_id, kind, item."""
 
     def in_order(name: str) -> Column:
         items = F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.col("item"))))
