@@ -51,6 +51,9 @@ GIVEN = {
 _BUILT_ONCE = ["people", "users", "profiles", "postings", "responses", "top", "candidates", "scored", "ledger", "feed", "requests", "queue"]
 
 
+_polled: dict[tuple[str, str], str] = {}
+
+
 class Inputs:
     """Lazy tables of one data directory."""
 
@@ -302,13 +305,17 @@ class Inputs:
 
     def polled(self) -> str:
         """The folder of a user store that a poll over the whole feed has changed: users and children written, one poll, compaction."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if own in _polled:
+            return _polled[own]
         root = f"{session.shared_dir(self.spark)}/checks-{uuid.uuid4().hex[:12]}"
         users.write(self.users(), None, root, "0")
         for name, table in zip(users.CHILDREN, (self.skills, self.experiences, self.educations)):
             users.write_children(table(), root, name, "0")
-        settings = poll.PollSettings(root, SECRET, CONFIRM_BASE, UNSUBSCRIBE_BASE, lambda searches: self.postings())
+        settings = poll.PollSettings(root, SECRET, CONFIRM_BASE, UNSUBSCRIBE_BASE, lambda searches: self.postings(), buckets=8)
         poll.poll(self.spark, self.feed(), "1", DAY, settings)
         poll.compact(self.spark, root, before="1")
+        _polled[own] = root
         return root
 
 

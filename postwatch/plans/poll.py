@@ -34,6 +34,7 @@ class PollSettings:
     unsubscribe_base: str
     postings: Callable[[DataFrame], DataFrame]
     scoring: Callable[[], daily.Scoring] = daily.Scoring
+    buckets: int = ledger.BUCKETS
 
 
 def wanted_keys(spark: SparkSession, root: str, requests: DataFrame, run_id: str, confirms: bool) -> DataFrame:
@@ -95,7 +96,7 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
         runs.write_run(subscriptions.welcome_outbox(after, settings.confirm_base), f"{root}/welcome_outbox", run_id)
     if counts["n_notify"]:
         ranked = to_send(spark, subscriptions.notify_now(after), settings, run_id)
-        counts |= daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day)
+        counts |= daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day, settings.buckets)
 
     changed = subscriptions.mark_seen(after, after).exceptAll(before)
     gone = before.join(after.select(*USER_KEY), USER_KEY, "left_anti")

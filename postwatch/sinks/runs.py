@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from postwatch import schemas
+from postwatch.sinks import files
 
 #: Fixed value of the layout: parts of a table that is dealt by key.
-PARTS = 256
+PARTS = 64
 PART = StructField("part", IntegerType())
 
 
@@ -28,12 +28,9 @@ def write_run(rows: DataFrame, table: str, run_id: str, by: list[str] | None = N
 def read_runs(spark: SparkSession, table: str, schema: StructType, without: str | None = None) -> DataFrame:
     """All runs, ``run_id`` included; ``without`` leaves one run's directory unread."""
     whole = StructType([*schema.fields, StructField("run_id", StringType())])
-    try:
-        rows = spark.read.schema(whole).parquet(table)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not files.names(spark, table):
         return schemas.empty(spark, whole)
+    rows = spark.read.schema(whole).parquet(table)
     return rows if without is None else rows.where(F.col("run_id") != without)
 
 
