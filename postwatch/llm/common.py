@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,6 +63,23 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are over: its cleaner follows the driver's garbage collector, in a thread
+    of its own, and what holds a plan together becomes free in a second round only."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = frame.sparkSession
+    for name in {path.rsplit("/", 1)[0] for path in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

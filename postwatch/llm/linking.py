@@ -34,7 +34,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = common.staged(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), name)
+        before, now = now, common.staged(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), name)
+        common.discard(before)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -9,8 +9,8 @@ picked by the shingle's hash. Texts that agree in all samples of a band are cand
 verified with the weights themselves, ``THRESHOLD`` or more (:mod:`postwatch.llm.linking`).
 
 Counting: documents are dealt into groups of about ``GROUP`` bytes; a group sends each of its shingles once, packed by ranges of
-hashes, to the task of the range, which sends back those that more than one document has. So a shingle of all documents is
-no more than one entry per group, and no table is larger than a range's or a group's share.
+hashes as small differences, to the task of the range, which sends the totals back in the same order and without the hashes. So a
+shingle of all documents is no more than one entry per group, and no table is larger than a range's or a group's share.
 
 Copies of a text are one member. The similarity 0.8 is missed by all ``BANDS`` bands with a probability of 0.0003.
 
@@ -31,8 +31,7 @@ from postwatch.llm import anchors, common, linking, minhash
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-DF_BITS = 20  # of a table of hashed places, for small inputs: see weights()
-GROUP, RANGE = 1 << 20, 16 << 20
+GROUP, RANGE = 4 << 20, 16 << 20
 _TABLE = 1 << 14
 _WORDLESS = -1  # the band of texts without words
 
@@ -70,98 +69,117 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[first], values[first], np.diff(np.append(first, len(values)))
 
 
-def _place(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes of the values, then all second ones: the high ones of small numbers are 0 and compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(body: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as the planes of their differences."""
+    return planes((np.diff(values, prepend=np.uint64(0)) if len(values) else values).astype("<u8"))
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(body, "<u8"), dtype=np.uint64)
+
+
+def _parts(values: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges in which any of the ascending values lie, and where each one's begin (one more than ranges)."""
+    part = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+    some, first = np.unique(part, return_index=True)
+    return some, np.append(first, len(values))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, the first column: all rows of a group at once, about GROUP bytes of text."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        group = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for at, upto in zip(cuts, cuts[1:]):
+            if upto == at:
+                continue
+            if held and group[at] != last:
+                yield pa.concat_batches(held)
+                held = []
+            last = group[at]
+            held.append(batch.slice(at, upto - at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _hashes(ranges: int):
     """Per group of documents and range of hashes: the distinct shingles in ascending order, and how many of its documents have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-            for at, upto in zip(cuts, cuts[1:]):
-                for _, texts in common.chunks([batch.slice(at, upto - at)] if upto > at else []):
-                    values, n = np.unique(counted(texts)[1], return_counts=True)
-                    n = n.astype(np.uint32)
-                    part = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-                    some, first = np.unique(part, return_index=True)
-                    ends = np.append(first, len(values))
-                    packed = [[pa.array([c[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())] for c in (values, n)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array(np.full(len(some), group[at]), pa.int64()), packed[0][0], packed[1][0]], ["part", "g", "h", "n"]
-                    )
+        for rows in _groups(batches):
+            values, n = np.unique(counted(common.utf8(rows.column(1)))[1], return_counts=True)
+            some, ends = _parts(values, ranges)
+            cuts, group = list(zip(ends, ends[1:])), pa.array(np.full(len(some), rows.column(0)[0].as_py()), pa.int64())
+            bodies = [pa.array([packed(values[a:b]) for a, b in cuts], pa.binary()), pa.array([planes(n[a:b].astype("<u4")) for a, b in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), group, *bodies], ["part", "g", "h", "n"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range; per group: its shingles that more than one document has, and how many have each."""
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range; per group: in how many documents each of its shingles is, in the order in which it sent them."""
 
-    def frequent(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        values, at = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held]), len(values)).astype(np.uint32)
+    def added(part: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        lists = [unpacked(h) for _, h, _ in held]
+        values, at = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(at, np.concatenate([from_planes(c, "<u4") for _, _, c in held]), len(values)).astype("<u4")
         end = 0
-        for g, h, _ in held:
-            own = at[end : (end := end + len(h) // 8)]
-            own = own[n[own] > 1]
-            if len(own):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g], pa.int64()), pa.array([values[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["g", "h", "n"]
-                )
+        for (g, _, _), own in zip(held, lists):
+            total = n[at[end : (end := end + len(own))]]
+            body = planes(total) if (total > 1).any() else b""  # nothing: all are 1
+            columns = [pa.array([g], pa.int64()), pa.array([part], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([body], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "part", "k", "n"])
 
     last, held = None, []
     for batch in batches:
         for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if part != last and held:
-                yield from frequent(held)
+                yield from added(last, held)
                 held = []
             last = part
             held.append(row)
     if held:
-        yield from frequent(held)
+        yield from added(last, held)
 
 
 _WITH_DF = "id long, x long, cls binary, df binary, bands array<long>"
 
 
 def _with_frequencies(n_docs: int):
-    """Rows sorted by group, shared shingles first: each document's df of its distinct shingles, and its bands."""
+    """Rows sorted by group and part, the totals of its shingles first: each document's df of its distinct shingles, and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, known = None, [], None
-        for batch in batches:
-            group, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(group)]
-            for at, upto in zip(cuts, cuts[1:]):
-                if upto == at:
-                    continue
-                if group[at] != last:
-                    last, held, known = group[at], [], None
-                if not own[at]:
-                    held += zip(*(batch.column(k).slice(at, upto - at).to_pylist() for k in (6, 7)))
-                    continue
-                if known is None:
-                    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(a, np.uint64) for a, _ in held)])
-                    n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for _, b in held)])
-                    h, first = np.unique(h, return_index=True)
-                    known, held = (h, n[first]), []
-                for part, texts in common.chunks([batch.slice(at, upto - at)]):
-                    doc, values, tf = counted(texts)
-                    df = np.ones(len(values), np.uint32)
-                    if len(known[0]):
-                        place = np.minimum(np.searchsorted(known[0], values), len(known[0]) - 1)
-                        df = np.where(known[0][place] == values, known[1][place], df).astype(np.uint32)
-                    has, keys = drawn(doc, values, weighted(tf, idf_table(df, n_docs)))
-                    listed = np.ones(len(texts), np.int64)
-                    listed[has] = BANDS
-                    flat = np.full(listed.sum(), _WORDLESS, np.int64)
-                    flat[np.repeat(listed == BANDS, listed)] = keys.ravel().view(np.int64)
-                    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-                    packed = pa.array([df[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-                    bands_ = common.lists(pa.array(flat), listed)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (2, 3, 4)), packed, bands_], ["id", "x", "cls", "df", "bands"])
+        for rows in _groups(batches):
+            own = rows.column(1).is_null().to_numpy(zero_copy_only=False)
+            told, docs = rows.filter(pa.array(~own)), rows.filter(pa.array(own))
+            totals = [from_planes(n, "<u4") if n else np.ones(k, np.uint32) for k, n in zip(*(told.column(c).to_pylist() for c in (6, 7)))]
+            total = np.concatenate([np.zeros(0, np.uint32), *totals])
+            doc, values, tf = counted(common.utf8(docs.column(5)))
+            df = total[np.unique(values, return_inverse=True)[1]]
+            ends = np.searchsorted(doc, np.arange(len(docs) + 1))
+            for at in range(0, len(docs), common.BATCH_ROWS):
+                upto = min(at + common.BATCH_ROWS, len(docs))
+                some = slice(ends[at], ends[upto])
+                has, keys = drawn(doc[some] - at, values[some], weighted(tf[some], idf_table(df[some], n_docs)))
+                listed = np.ones(upto - at, np.int64)
+                listed[has] = BANDS
+                flat = np.full(listed.sum(), _WORDLESS, np.int64)
+                flat[np.repeat(listed == BANDS, listed)] = keys.ravel().view(np.int64)
+                bodies = pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(ends[at:upto], ends[at + 1 : upto + 1])], pa.binary())
+                columns = [*(docs.column(k).slice(at, upto - at) for k in (2, 3, 4)), bodies, common.lists(pa.array(flat), listed)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "x", "cls", "df", "bands"])
 
     return run
 
@@ -172,12 +190,14 @@ def with_frequencies(docs: DataFrame, n_docs: int, n_bytes: int) -> DataFrame:
     ranges = n_bytes // RANGE + 1
     dealt = docs.select(g, "text").repartition("g").sortWithinPartitions("g")
     hashes = dealt.mapInArrow(_hashes(ranges), "part int, g long, h binary, n binary")
-    shared = hashes.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "g long, h binary, n binary")
-    nothing = F.lit(None).cast("binary")
-    own = docs.select(g, F.lit(1).alias("own"), "id", "x", "cls", "text", nothing.alias("h"), nothing.alias("n"))
-    null = F.lit(None)
-    others = shared.select("g", F.lit(0).alias("own"), null.cast("long").alias("id"), null.cast("long").alias("x"), nothing.alias("cls"), null.cast("string").alias("text"), "h", "n")
-    return own.unionByName(others).repartition("g").sortWithinPartitions("g", "own").mapInArrow(_with_frequencies(n_docs), _WITH_DF)
+    totals = common.staged(hashes.repartition("part").sortWithinPartitions("part").mapInArrow(_totals, "g long, part int, k int, n binary"), "near")
+    common.release(docs.sparkSession)  # the texts and hashes that were moved to count; texts are moved once more
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own = docs.select(g, nothing("int", "part"), "id", "x", "cls", "text", nothing("int", "k"), nothing("binary", "n"))
+    told = totals.select("g", "part", nothing("long", "id"), nothing("long", "x"), nothing("binary", "cls"), nothing("string", "text"), "k", "n")
+    # a document's part is null and comes last
+    both = own.unionByName(told).repartition("g").sortWithinPartitions("g", F.col("part").asc_nulls_last())
+    return both.mapInArrow(_with_frequencies(n_docs), _WITH_DF)
 
 
 def idf_table(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
@@ -190,17 +210,6 @@ def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return ((1 + np.log(tf)).astype(np.float32) * idf).astype(np.float32)
 
 
-def weights(values: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """With the IDF in a table of hashed places."""
-    return weighted(tf, idf[_place(values)])
-
-
-def bands(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`drawn` of the texts, with the IDF in a table of hashed places."""
-    doc, values, tf = counted(texts)
-    return drawn(doc, values, weights(values, tf, idf))
-
-
 def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts that have shingles, and a row of BANDS keys for each."""
     has, first = np.unique(doc, return_index=True)
@@ -225,7 +234,7 @@ def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return has, keys.T
 
 
-def _unpacked(body: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def _carried(body: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles and weights of a text that comes with its packed df, see :func:`classes`."""
     n = int.from_bytes(body[:4], "big")
     _, values, tf = counted(pa.array([body[4 + n :]], pa.large_binary()))
@@ -236,7 +245,7 @@ def _bands_of(n_docs: int):
     def of(bodies: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
         for body in bodies:
-            values, weight = _unpacked(body, n_docs)
+            values, weight = _carried(body, n_docs)
             keys = drawn(np.zeros(len(values), np.int64), values, weight)[1].ravel().view(np.int64).tolist()
             out.append(keys or [_WORDLESS])
         return out
@@ -259,7 +268,7 @@ def _measure(n_docs: int, threshold: float):
 
         def unpacked(k: int) -> tuple[np.ndarray, np.ndarray]:
             if k not in known:
-                known[k] = _unpacked(bodies[k], n_docs)
+                known[k] = _carried(bodies[k], n_docs)
             return known[k]
 
         return lambda a, b: similarity(unpacked(a), unpacked(b)) >= threshold
@@ -272,6 +281,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, group_bytes: int
     docs = anchors.keyed(documents)
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     summary = common.staged(with_frequencies(docs, n_docs, n_bytes), "near")
+    common.release(docs.sparkSession)
     # a text goes to its comparisons together with its df
     df = summary.select("id", "x", "df").dropDuplicates(["id", "x"])
     size = F.unhex(F.lpad(F.hex(F.octet_length("df").cast("long")), 8, "0"))

@@ -48,13 +48,10 @@ def families(rng):
 
 def plain_groups(pairs):
     texts = [t or "" for _, t in pairs]
-    frequencies, parts = np.zeros(1 << near_dedup.DF_BITS, np.int64), []
-    for t in texts:
-        _, values, tf = near_dedup.counted(common.utf8(pa.array([t])))
-        parts.append((values, tf))
-        frequencies += np.bincount(near_dedup._place(values), minlength=len(frequencies))
-    idf = near_dedup.idf_table(frequencies, len(texts))
-    weighted = [(v, near_dedup.weights(v, tf, idf)) for v, tf in parts]
+    parts = [near_dedup.counted(common.utf8(pa.array([t])))[1:] for t in texts]
+    total = Counter(v for values, _ in parts for v in values.tolist())
+    df = [np.array([total[v] for v in values.tolist()], np.uint32) for values, _ in parts]
+    weighted = [(v, near_dedup.weighted(tf, near_dedup.idf_table(n, len(texts)))) for (v, tf), n in zip(parts, df)]
     up = list(range(len(texts)))
 
     def root(k):
@@ -62,10 +59,13 @@ def plain_groups(pairs):
             k = up[k]
         return k
 
-    for a in range(len(texts)):
-        for b in range(a):
-            if texts[a] == texts[b] or near_dedup.similarity(weighted[a], weighted[b]) >= near_dedup.THRESHOLD:
-                up[max(root(a), root(b))] = min(root(a), root(b))
+    holders = {}
+    for k, (values, _) in enumerate(parts):
+        for v in values.tolist() or [None]:
+            holders.setdefault(v, []).append(k)
+    for a, b in {(a, b) for held in holders.values() for a in held for b in held if b < a}:
+        if near_dedup.similarity(weighted[a], weighted[b]) >= near_dedup.THRESHOLD:
+            up[max(root(a), root(b))] = min(root(a), root(b))
     ranked = [-(1 << 63) if k is None else k for k, _ in pairs]
     least = {}
     for k in range(len(texts)):
@@ -76,16 +76,16 @@ def plain_groups(pairs):
 def test_sampling_estimates_weighted_jaccard():
     rng = random.Random(3)
     words = prose(rng, 300).split()
-    idf = near_dedup.idf_table(np.ones(1 << near_dedup.DF_BITS), 1000)
     hits, wanted = 0, 0.0
     for trial in range(40):
         own = prose(random.Random(trial), 300).split()
         cut = 20 + 7 * trial
         texts = common.utf8(pa.array([" ".join(own), " ".join(own[:cut] + words[cut:])]))
-        _, keys = near_dedup.bands(texts, idf)
+        doc, values, tf = near_dedup.counted(texts)
+        weight = near_dedup.weighted(tf, near_dedup.idf_table(np.ones(len(values)), 1000))
+        _, keys = near_dedup.drawn(doc, values, weight)
         hits += (keys[0] == keys[1]).sum()
-        each = [near_dedup.counted(texts.slice(k, 1))[1:] for k in (0, 1)]
-        s = near_dedup.similarity(*[(v, near_dedup.weights(v, tf, idf)) for v, tf in each])
+        s = near_dedup.similarity(*[(values[doc == k], weight[doc == k]) for k in (0, 1)])
         wanted += near_dedup.BANDS * s**near_dedup.ROWS
     assert abs(hits - wanted) < 0.2 * wanted
 
@@ -98,6 +98,19 @@ def test_groups(frame, rows, group_bytes):
     assert found.where("kept").count() == len({c for _, c in plain_groups(pairs)})
 
 
+def test_groups_of_a_given_table(spark, rows):
+    """All pairs that share a shingle, with exact df, against the operator, over 1,000 documents."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in documents.collect()]
+    assert rows(near_dedup.groups(documents), "doc_id", "class_id") == sorted(plain_groups(pairs), key=repr)
+
+
+def test_packed_hashes():
+    values = np.unique(common.random_bits(5, 1000))
+    assert near_dedup.unpacked(near_dedup.packed(values)).tolist() == values.tolist()
+    assert near_dedup.unpacked(near_dedup.packed(values[:0])).tolist() == []
+
+
 def test_odd_rows_and_one_of_each(frame, rows, odd):
     want = plain_groups(odd)
     assert rows(near_dedup.groups(frame(odd)), "doc_id", "class_id") == sorted(want, key=repr)
