@@ -43,8 +43,9 @@ class Draws:
         unit = (common.random_bits(21, 5 * SAMPLES * _TABLE) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 1e-16
         u = unit.reshape(5, SAMPLES, _TABLE)
         self.r = -np.log(u[0] * u[1]).astype(np.float32) + np.float32(1e-6)
-        self.log_c = np.log(-np.log(u[2] * u[3])).astype(np.float32)
+        self.per_r = 1 / self.r
         self.beta = u[4].astype(np.float32)
+        self.rest = (np.log(-np.log(u[2] * u[3])) + self.r * (self.beta - 1)).astype(np.float32)  # ln c - r (1 - beta)
         self.turn = common.random_bits(22, SAMPLES) | np.uint64(1)
 
 
@@ -71,7 +72,7 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def planes(values: np.ndarray) -> bytes:
     """All first bytes of the values, then all second ones: the high ones of small numbers are 0 and compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
 def from_planes(body: bytes, dtype: str) -> np.ndarray:
@@ -220,10 +221,9 @@ def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.n
     own, out = draws(), np.empty((SAMPLES, len(has)), np.uint64)
     shift = np.uint64(64 - _TABLE.bit_length() + 1)
     for k in range(SAMPLES):
-        at = ((values * own.turn[k]) >> shift).astype(np.int64)
-        r, beta = own.r[k][at], own.beta[k][at]
-        t = np.floor(level / r + beta)
-        a = own.log_c[k][at] - r * (t - beta + 1)
+        at = ((values * own.turn[k]) >> shift).view(np.int64)
+        t = np.floor(level * own.per_r[k][at] + own.beta[k][at])
+        a = own.rest[k][at] - own.r[k][at] * t  # ln c - r (t - beta + 1)
         hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), sizes))
         chosen = hit[np.searchsorted(hit, first)]  # of equal values that of the smallest shingle hash
         out[k] = values[chosen] ^ common.mixed(t[chosen].astype(np.int64).astype(np.uint64))
@@ -235,22 +235,14 @@ def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def _carried(body: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and weights of a text that comes with its packed df, see :func:`classes`."""
-    n = int.from_bytes(body[:4], "big")
-    _, values, tf = counted(pa.array([body[4 + n :]], pa.large_binary()))
-    return values, weighted(tf, idf_table(np.frombuffer(body, np.uint32, n // 4, 4), n_docs))
+    """Shingles and weights of a text that comes with its bands and df, see :func:`classes`."""
+    n_bands, n_df = (int.from_bytes(body[k : k + 4], "big") for k in (0, 4))
+    _, values, tf = counted(pa.array([body[8 + n_bands + n_df :]], pa.large_binary()))
+    return values, weighted(tf, idf_table(np.frombuffer(body, np.uint32, n_df // 4, 8 + n_bands), n_docs))
 
 
-def _bands_of(n_docs: int):
-    def of(bodies: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for body in bodies:
-            values, weight = _carried(body, n_docs)
-            keys = drawn(np.zeros(len(values), np.int64), values, weight)[1].ravel().view(np.int64).tolist()
-            out.append(keys or [_WORDLESS])
-        return out
-
-    return of
+def _bands_of(bodies: list[bytes]) -> list[list[int]]:
+    return [np.frombuffer(body, ">i8", int.from_bytes(body[:4], "big") // 8, 8).tolist() for body in bodies]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -282,11 +274,13 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, group_bytes: int
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     summary = common.staged(with_frequencies(docs, n_docs, n_bytes), "near")
     common.release(docs.sparkSession)
-    # a text goes to its comparisons together with its df
-    df = summary.select("id", "x", "df").dropDuplicates(["id", "x"])
-    size = F.unhex(F.lpad(F.hex(F.octet_length("df").cast("long")), 8, "0"))
-    body = F.concat(size, "df", F.encode("text", "utf-8")).alias("text")
-    return linking.classes(docs, summary, _bands_of(n_docs), _measure(n_docs, threshold), "near", group_bytes, lambda rows: rows.join(df.hint("merge"), ["id", "x"]).withColumn("text", body).drop("df"))
+    # a text goes to its comparisons together with its bands and df, so nothing is drawn again there
+    keys = F.unhex(F.array_join(F.transform("bands", lambda b: F.lpad(F.hex(b), 16, "0")), ""))
+    known = summary.select("id", "x", "df", keys.alias("keys")).dropDuplicates(["id", "x"])
+    size = lambda c: F.unhex(F.lpad(F.hex(F.octet_length(c).cast("long")), 8, "0"))
+    body = F.concat(size("keys"), size("df"), "keys", "df", F.encode("text", "utf-8")).alias("text")
+    carrying = lambda rows: rows.join(known.hint("merge"), ["id", "x"]).withColumn("text", body).drop("df", "keys")
+    return linking.classes(docs, summary, _bands_of, _measure(n_docs, threshold), "near", group_bytes, carrying)
 
 
 def groups(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
