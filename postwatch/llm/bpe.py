@@ -5,6 +5,9 @@ their symbols lie in one flat array, a round looks every neighbouring pair up in
 takes each word's pair of lowest rank, and merges it wherever the word has it; words without a pair leave. A task keeps
 words it has encoded, up to ``CACHE_WORDS``, so a common word costs its rounds once.
 
+Words of more than ``LONG`` bytes (text without spaces) would take very many rounds over the whole array. Theirs lie in an array
+of their own whose places are linked; a round takes the places of one rank from an index, and looks up only the pairs it changed.
+
 Decoding joins the vocabulary's entries of the ids, as the file names no decoder, by one space.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; texts are taken whole; rows are independent.
@@ -12,9 +15,10 @@ Defined cases: a null or empty text has no ids and decodes to the empty text; te
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +30,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from postwatch.llm import common
 
 CACHE_WORDS = 150_000
+LONG = 256
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Fixed values of the tokenizer's rules: contractions, letters, single digits, other marks.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^\p{{White_Space}}{L}{N}]+"
@@ -33,18 +38,25 @@ WORD = regex.compile(RULE.format(L=r"\p{L}", N=r"\p{N}"))
 _MAY_BE_NEW = regex.compile("[\u0558-\U0010ffff]")
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """The characters, in ascending order, as ranges of a set of a pattern."""
+    codes = np.array([ord(c) for c in chars] or [0])
+    first = np.append(True, np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[first].tolist(), codes[np.append(first[1:], True)].tolist()))
+
+
 @lru_cache(maxsize=1)
 def _newer() -> tuple[regex.Pattern, regex.Pattern, normalizers.Normalizer]:
     """For texts with characters that ``unicodedata`` lacks: what finds them, the word rule, and the normalizer.
 
     Python, ``regex`` and the tokenizers library follow different editions of Unicode; the library's counts.
     """
-    lacking = [chr(c) for c in range(0x558, 0x110000) if unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}\p{M}]", chr(c))]
+    unassigned = (chr(c) for c in range(0x558, 0x110000) if unicodedata.category(chr(c)) == "Cn")
+    lacking = regex.findall(r"[\p{L}\p{N}\p{M}]", "".join(unassigned))
     known = {c for kind in (r"\p{L}", r"\p{N}") for c, _ in pre_tokenizers.Split(Regex(kind), "removed", invert=True).pre_tokenize_str(" ".join(lacking))}
-    listed = lambda chars: "".join(f"\\U{ord(c):08x}" for c in chars) or "\\0"
-    unknown = listed(c for c in lacking if c not in known)
+    unknown = _ranges(c for c in lacking if c not in known)
     rule = RULE.format(L=rf"[\p{{L}}--[{unknown}]]", N=rf"[\p{{N}}--[{unknown}]]")
-    return regex.compile(f"[{listed(lacking)}]"), regex.compile(rule, regex.V1), normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return regex.compile(f"[{_ranges(lacking)}]"), regex.compile(rule, regex.V1), normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
 def default_path() -> str:
@@ -111,6 +123,12 @@ class Tokenizer:
         symbols = self.symbols[closes, raw]
         word = np.repeat(np.arange(len(words)), np.diff(offsets))
         done_symbols, done_words = [], []
+        is_long = (np.diff(offsets) > LONG)[word]
+        if is_long.any():
+            alive, merged = self._linked(symbols[is_long], word[is_long])
+            done_symbols.append(merged[alive])
+            done_words.append(word[is_long][alive])
+            symbols, word = symbols[~is_long], word[~is_long]
         while len(symbols):
             key = symbols[:-1] << np.uint64(32) | symbols[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -141,6 +159,62 @@ class Tokenizer:
         order = np.argsort(word, kind="stable")
         return symbols[order].astype(np.uint32), np.append(0, np.cumsum(np.bincount(word, minlength=len(words))))
 
+    def _linked(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which places are left of the given words, and the symbols after all merges; ranks in ascending order over all words."""
+        n = len(symbols)
+        symbols = np.append(symbols, np.uint64(0))
+        inside = word[1:] == word[:-1]
+        after = np.append(np.where(np.append(inside, False), np.arange(1, n + 1), n), n)  # place n: no neighbour
+        before = np.append(np.where(np.append(False, inside), np.arange(-1, n - 1), n), n)
+
+        def ranked(places: np.ndarray) -> np.ndarray:
+            key = symbols[places] << np.uint64(32) | symbols[after[places]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where((self.keys[at] == key) & (after[places] < n), self.ranks[at], self.never)
+
+        heap: list[int] = []
+        index: dict[int, list[np.ndarray]] = {}
+
+        def listed(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            order = order[: np.count_nonzero(ranks < self.never)]
+            places, ranks = places[order], ranks[order]
+            begins = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ranks
+            ends = np.append(begins[1:], len(ranks)).tolist()
+            for r, a, b in zip(ranks[begins].tolist(), begins.tolist(), ends):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    heapq.heappush(heap, r)
+
+        rank = np.append(ranked(np.arange(n)), self.never)
+        listed(np.arange(n), rank[:n])
+        alive = np.ones(n, bool)
+        while heap:
+            least = heapq.heappop(heap)
+            found = index.pop(least)
+            places = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            places = places[rank[places] == least]
+            if not len(places):
+                continue
+            if len(places) > 1:  # of neighbouring hits every second one counts
+                nth = np.arange(len(places))
+                nth -= np.maximum.accumulate(np.where(np.append(True, after[places[:-1]] != places[1:]), nth, 0))
+                places = places[nth % 2 == 0]
+            gone = after[places]
+            alive[gone] = False
+            rank[gone] = self.never
+            symbols[places] = self.merged[least]
+            beyond = after[gone]
+            after[places] = beyond
+            before[beyond] = places
+            left = before[places]
+            changed = np.unique(np.concatenate([places, left[left < n]]))
+            rank[changed] = fresh = ranked(changed)
+            listed(changed, fresh)
+        return alive, symbols[:n]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > CACHE_WORDS:

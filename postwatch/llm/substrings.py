@@ -4,8 +4,10 @@ Texts are UTF-8 bytes; matches stay inside one text, both places count (also two
 
 1. Each text gives the anchors of its 400-byte windows (:mod:`postwatch.llm.anchors`, grams of 64 bytes). An anchor that
    occurs once in all texts is done with.
-2. Around the others the texts are cut into pieces of consecutive windows with one anchor; equal windows lie in pieces of
-   one anchor. Equal pieces are counted and kept once: a piece that stands in several places repeats as a whole.
+2. Around the others the texts are cut into pieces of up to 400 consecutive windows with one anchor; equal windows lie in
+   pieces of one anchor. Anchors are told apart by value, not by place: text of a short period is one stretch, though its
+   anchor moves along, and such a piece may repeat in itself (``inner``). Equal pieces are counted and kept once: a piece that
+   stands in several places repeats as a whole.
 3. Distinct pieces are dealt by anchor. A task takes anchors in turn until it holds ``SHARD_BYTES`` of pieces. It sorts their
    suffixes, takes the Burrows-Wheeler transform, and derives common prefixes by increasing value: breadth-first backward
    extension of intervals, level by level, stopping at 400. Boundaries that are still open then join suffixes with 400
@@ -17,7 +19,7 @@ Texts are UTF-8 bytes; matches stay inside one text, both places count (also two
 A text that occurs in several rows needs no search itself: it goes whole if it has a window.
 
 Defined cases: a null text is empty; a null doc_id is an id like others; rows are judged one by one, so a repeated row is a
-second place of everything in it.
+second place of everything in it. A long text of a short period takes about twice its bytes in pieces, most of them equal.
 """
 
 from __future__ import annotations
@@ -35,9 +37,10 @@ GRAM = 64
 HOT = 2000
 LEVELS = (256, 384, 400)
 SHARD_BYTES = 1 << 20
+BATCH_BYTES = 32 << 20
 
 _SUMMARY = "id long, x long, cls binary, n_bytes long, whole string, anchors array<struct<m: long, x: long>>"
-_PIECES = "id long, x long, m long, start long, body binary"
+_PIECES = "id long, x long, m long, start long, inner boolean, body binary"
 _RANGES = "m long, b long, starts array<long>, ends array<long>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -169,7 +172,8 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in common.chunks(batches):
         data, marks = common.separated(texts)
         grams, anchor, valid, doc = _windows(data, marks)
-        first, last = anchors.runs(anchor, valid, doc, LENGTH)
+        first, last = anchors.runs(grams[anchor], valid, doc, LENGTH)
+        first = np.append(first, first[anchor[first] != anchor[last - 1]])  # may repeat in itself: counts as two places
         value, text = grams[anchor[first]].view(np.int64), doc[first]
         order = np.lexsort((value, text))
         value, text = value[order], text[order]
@@ -196,21 +200,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, marks = common.separated(texts)
         grams, anchor, valid, doc = _windows(data, marks)
         known, _ = anchors.wanted(batch.column(batch.schema.get_field_index("marks")))
-        first, last = anchors.runs(anchor, valid, doc, LENGTH)
-        value = grams[anchor[first]]
-        _, here = anchors.among(known, value, doc[first])
-        first, last, value = first[here], last[here], value[here]
-        text, body = doc[first], data.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array(text)),
-                batch.column(1).take(pa.array(text)),
-                pa.array(value.view(np.int64)),
-                pa.array(first - marks[text] - 1),
-                pa.array([body[a : b + LENGTH - 1] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
-            ],
-            ["id", "x", "m", "start", "body"],
-        )
+        first, last = anchors.runs(grams[anchor], valid, doc, LENGTH)
+        _, here = anchors.among(known, grams[anchor[first]], doc[first])
+        body, n_bytes = data.tobytes(), np.cumsum(last[here] - first[here] + LENGTH - 1)
+        cuts = np.searchsorted(n_bytes, np.arange(BATCH_BYTES, n_bytes[-1] if len(n_bytes) else 0, BATCH_BYTES))
+        for start, end in zip(np.split(first[here], cuts), np.split(last[here], cuts)):
+            text = doc[start]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(text)),
+                    batch.column(1).take(pa.array(text)),
+                    pa.array(grams[anchor[start]].view(np.int64)),
+                    pa.array(start - marks[text] - 1),
+                    pa.array(anchor[start] != anchor[end - 1]),
+                    pa.array([body[a : b + LENGTH - 1] for a, b in zip(start.tolist(), end.tolist())], pa.binary()),
+                ],
+                ["id", "x", "m", "start", "inner", "body"],
+            )
 
 
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -219,14 +225,18 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _finer(gram: int):
-    """m, b, n, and for stretches of windows with one anchor of longer grams: its hash joined with m, first byte, length."""
+    """m, b, and for stretches of windows with one anchor of longer grams: its hash joined with m, first byte, length, inner.
+
+    Where a gram is the window each one is a stretch, so that all pieces of an anchor are equal.
+    """
+    longest = 1 if gram == LENGTH else LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(3).cast(pa.large_binary())
             data, marks = common.separated(bodies)
             grams, anchor, valid, doc = _windows(data, marks, gram)
-            first, last = anchors.runs(anchor, valid, doc, LENGTH)
+            first, last = anchors.runs(grams[anchor], valid, doc, longest)
             text = doc[first]
             above = batch.column(0).to_numpy().view(np.uint64)[text]
             finer = common.mixed(grams[anchor[first]] + common.mixed(above.copy()))
@@ -236,8 +246,9 @@ def _finer(gram: int):
                     pa.array(finer.view(np.int64)),
                     pa.array(first - marks[text] - 1),
                     pa.array(last - first + LENGTH - 1),
+                    pa.array(anchor[first] != anchor[last - 1]),
                 ],
-                ["m", "b", "finer", "at", "size"],
+                ["m", "b", "finer", "at", "size", "inner"],
             )
 
     return run
@@ -291,9 +302,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(pieces: DataFrame, hot: int, levels: tuple[int, ...]) -> DataFrame:
-    """m, b, starts, ends: the ranges to remove of distinct pieces (m, b: a hash of the body, n: places, body)."""
-    kinds = pieces.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    kinds = common.staged(kinds, "substrings")
+    """m, b, starts, ends: the ranges to remove of distinct pieces (m, b: a hash of the body, n: places, inner, body)."""
+    kinds = pieces.groupBy("m").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner")).where("kinds > 1 or inner")
+    kinds = common.staged(kinds.select("m", "kinds"), "substrings")
     whole = pieces.where("n > 1").select(
         "m", "b", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.octet_length("body").cast("long")).alias("ends")
     )
@@ -302,12 +313,12 @@ def _repeats(pieces: DataFrame, hot: int, levels: tuple[int, ...]) -> DataFrame:
     if kinds.where(F.col("kinds") > hot).isEmpty():
         return ranges
     many = pieces.join(kinds.where(F.col("kinds") > hot), "m", "left_semi").select("m", "b", "n", "body")
-    finer = common.staged(many.mapInArrow(_finer(levels[0]), "m long, b long, finer long, at long, size long"), "substrings")
-    shared = finer.groupBy("finer").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("finer")
+    finer = common.staged(many.mapInArrow(_finer(levels[0]), "m long, b long, finer long, at long, size long, inner boolean"), "substrings")
+    shared = finer.groupBy("finer").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("finer")
     parts = finer.join(shared, "finer").join(many.drop("n"), ["m", "b"])
     body = F.substring("body", F.col("at").cast("int") + 1, F.col("size").cast("int"))
-    parts = common.staged(parts.select("m", "b", "finer", "at", body.alias("body")), "substrings")
-    below = _repeats(_distinct(parts.select(F.col("finer").alias("m"), "body")), hot, levels[1:])
+    parts = common.staged(parts.select("m", "b", "finer", "at", "inner", body.alias("body")), "substrings")
+    below = _repeats(_distinct(parts.select(F.col("finer").alias("m"), "inner", "body")), hot, levels[1:])
     places = parts.select("m", "b", "finer", "at", F.xxhash64("body").alias("part"))
     found = places.join(below.select(F.col("m").alias("finer"), F.col("b").alias("part"), "starts", "ends"), ["finer", "part"])
     moved = [F.transform(c, lambda v: v + F.col("at")).alias(c) for c in ("starts", "ends")]
@@ -315,9 +326,9 @@ def _repeats(pieces: DataFrame, hot: int, levels: tuple[int, ...]) -> DataFrame:
 
 
 def _distinct(pieces: DataFrame) -> DataFrame:
-    """m, b, n, body of the distinct pieces (m, body)."""
-    counted = pieces.groupBy("m", "body").agg(F.count("*").alias("n"))
-    return common.staged(counted.select("m", F.xxhash64("body").alias("b"), "n", "body"), "substrings")
+    """m, b, n, inner, body of the distinct pieces (m, inner, body); inner follows from the body."""
+    counted = pieces.groupBy("m", "body").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
+    return common.staged(counted.select("m", F.xxhash64("body").alias("b"), "n", "inner", "body"), "substrings")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +363,7 @@ def remove_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     found = common.staged(anchors.recurring(summary), "substrings")
     marked = docs.drop("cls").join(anchors.candidates(summary, found, firsts, hot), ["id", "x"])
     pieces = common.staged(marked.mapInArrow(_cut, _PIECES), "substrings")
-    ranges = common.staged(_repeats(_distinct(pieces.select("m", "body")), hot, LEVELS), "substrings")
+    ranges = common.staged(_repeats(_distinct(pieces.select("m", "inner", "body")), hot, LEVELS), "substrings")
     places = pieces.select("id", "x", "m", "start", F.xxhash64("body").alias("b"))
     moved = [F.transform(c, lambda v: v + F.col("start")).alias(c) for c in ("starts", "ends")]
     hits = common.staged(places.join(ranges, ["m", "b"]).select("id", "x", *moved), "substrings")

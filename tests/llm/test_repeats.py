@@ -79,6 +79,25 @@ def test_odd_rows(frame, rows, odd):
     assert rows(phrases.remove_repeats(frame(odd)).drop("kept")) == plain_phrases(odd)
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_substrings_of_periodic_text(frame, rows, hot):
+    """Text that repeats in itself only, by periods below and above a window's grams, alone and beside other text."""
+    rng = random.Random(4)
+    pairs = [(k, "".join(rng.choice("abcdé") for _ in range(period)) * (2500 // period)) for k, period in enumerate((1, 2, 3, 7, 60, 300, 336, 350, 399))]
+    pairs += [(20, prose(rng, 60) + "q" * 401 + prose(rng, 60)), (21, "z" * 401), (22, "z." * 200), (23, "-" * 2000 + "=" * 2000 + "-" * 700)]
+    assert rows(substrings.remove_repeats(frame(pairs), hot=hot).drop("kept")) == plain_substrings(pairs)
+
+
+@pytest.mark.parametrize("period", ["e", "ab", "abcdefg"])
+def test_substrings_of_megabytes_of_one_period(frame, rows, period):
+    rng = random.Random(6)
+    ends = prose(rng, 20), prose(rng, 20)
+    n = 6_000_000 // len(period) * len(period)
+    (row,) = rows(substrings.remove_repeats(frame([(1, ends[0] + "|" + period * (n // len(period)) + "|" + ends[1])])).drop("kept"))
+    kept = (ends[0] + "||" + ends[1]).encode()
+    assert row == (1, n + len(kept), n, 1, hashlib.sha256(kept).hexdigest())
+
+
 def test_empty_table(frame):
     assert substrings.remove_repeats(frame([])).count() == 0
     assert phrases.remove_repeats(frame([])).count() == 0
