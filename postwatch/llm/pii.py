@@ -3,14 +3,17 @@
 Base spans are those of the patterns; they always stay. The tagger is a bidirectional LSTM with a CRF, trained in numpy when
 the operator is called, from labelled spans: the base spans of a sample of the documents, and the same kinds of data spelled
 in ways the patterns do not cover (``name [at] host [dot] org``, ``(286) 555-5136``, card groups with dots), put into
-windows of the documents' own text. It reads texts in windows of ``WINDOW`` characters that overlap by half. Each character
-takes its label from the window in whose middle half it lies, so a span may run through any number of windows. A tagged
+windows of the documents' own text. It reads texts in windows of ``WINDOW`` characters that overlap by half. A character's label
+scores are the mean of those of the windows that hold it, by its distance to their ends, and the labels are decided for the
+text as one sequence: the best path of the CRF through all cells (the ``STRIDE`` characters in the middle of a window). A tagged
 span is added if it touches no base span and holds a value of its kind (digits and check sum, or a name and a host).
 
 Every value of the four kinds has a digit, an @, or an "at" in brackets; a window without any of these has label 0
-throughout and is not run.
+throughout and is not run: its neighbours are decided with a label 0 beside them.
 
-Learned from: documents of an id hash that gives about ``SAMPLE_ROWS`` rows, of these at most ``FIT_WINDOWS`` windows.
+Learned from: documents of an id hash that gives about ``SAMPLE_ROWS`` rows, of these at most ``2 * FIT_WINDOWS`` cuts around base
+spans, around every fourth other trigger and of plain text, by hash. Training has ``FIT_WINDOWS`` windows: up to a third around
+base spans, up to a sixth around other triggers, the rest plain text with values put in.
 
 Defined cases: a null text is empty and has no spans; positions are code points; texts are read whole; rows are independent.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ SAMPLE_ROWS = 20_000
 FIT_WINDOWS = 4000
 FIT_STEPS, FIT_BATCH = 220, 64
 RUN_WINDOWS = 2048
+HELD_RUNS = 4  # beyond, label scores are made a second time instead of kept
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 Span = tuple[int, str, int]  # start, kind, end
@@ -107,7 +112,7 @@ def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if end - low <= FIT_LENGTH:
                     rows.append((kind, start - low, end - low, text[low : low + FIT_LENGTH]))
             taken = [(s, e) for s, _, e in spans]
-            for m in list(_TRIGGER.finditer(text))[:40:4]:
+            for m in islice(_TRIGGER.finditer(text), 0, None, 4):
                 low = max(0, m.start() - FIT_LENGTH // 2)
                 if all(e <= low or s >= low + FIT_LENGTH for s, e in taken):
                     rows.append(("trigger", 0, 0, text[low : low + FIT_LENGTH]))
@@ -236,6 +241,41 @@ def _tagged(text: str, labels: np.ndarray) -> Iterator[Span]:
                 yield int(low), KINDS[kind[start] - 1], int(high)
 
 
+def _settled(p: tagger.Parameters, cells: list[tuple[int, int]], spelled_out: dict[int, np.ndarray]):
+    """First and last label of each cell on the best path of its text, and the function that gives label scores of cells."""
+    reach = (WINDOW - STRIDE) // 2
+    own = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW))[reach : reach + STRIDE].astype(np.float32) / (STRIDE + 1)
+    own = own[:, None, None]  # how much a cell's own window counts where a neighbour's holds the place as well
+    text, window = np.array(cells).T
+    left = np.array([len(spelled_out[k]) - w * STRIDE for k, w in cells])
+    fresh = np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1))
+
+    def made(at: int, upto: int) -> np.ndarray:
+        low, high = max(0, at - 1), min(len(cells), upto + 1)
+        x = np.zeros((high - low, WINDOW), np.int64)
+        for row, (k, w) in enumerate(cells[low:high]):
+            begin = w * STRIDE - reach
+            piece = spelled_out[k][max(0, begin) : begin + WINDOW]
+            x[row, max(0, -begin) : max(0, -begin) + len(piece)] = piece
+        whole = tagger.emissions(p, x)[0]
+        out = whole[reach : reach + STRIDE].copy()
+        here = np.flatnonzero(~fresh[low + 1 : high])
+        out[-reach:, here] = out[-reach:, here] * own[-reach:] + whole[:reach, here + 1] * (1 - own[-reach:])
+        out[:reach, here + 1] = out[:reach, here + 1] * own[:reach] + whole[-reach:, here] * (1 - own[:reach])
+        beyond = np.arange(STRIDE)[:, None] >= left[low:high]
+        out[beyond] = np.where(np.arange(tagger.LABELS) == 0, np.float32(0), np.float32(-1e4))
+        return out[:, at - low : upto - low]
+
+    runs = [(at, min(at + RUN_WINDOWS, len(cells))) for at in range(0, len(cells), RUN_WINDOWS)]
+    held = {run: made(*run) for run in runs} if len(runs) <= HELD_RUNS else {}
+
+    def scores(at: int, upto: int) -> np.ndarray:
+        return held[at, upto] if held else made(at, upto)
+
+    moved = np.concatenate([tagger.transfers(p, scores(*run)) for run in runs])
+    return *tagger.joined(p, moved, fresh, window == 0, left <= STRIDE), scores
+
+
 def added_spans(p: tagger.Parameters, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """For each text the spans that the tagger adds to the base spans."""
     cells = []  # text, window: those with a trigger
@@ -248,17 +288,13 @@ def added_spans(p: tagger.Parameters, texts: list[str], base: list[list[Span]])
         cells.extend((k, w) for w in sorted(own) if w * STRIDE < len(text))
     spelled_out = {k: tagger.symbols(texts[k]) for k in {k for k, _ in cells}}
     labels = {k: np.zeros(len(s), np.int64) for k, s in spelled_out.items()}
-    reach = (WINDOW - STRIDE) // 2
-    for at in range(0, len(cells), RUN_WINDOWS):
-        part = cells[at : at + RUN_WINDOWS]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (k, w) in enumerate(part):
-            low = w * STRIDE - reach
-            piece = spelled_out[k][max(0, low) : low + WINDOW]
-            x[row, max(0, -low) : max(0, -low) + len(piece)] = piece
-        for (k, w), found in zip(part, tagger.decode(p, x)):
-            own = labels[k][w * STRIDE : (w + 1) * STRIDE]
-            own[:] = found[reach : reach + len(own)]
+    if cells:
+        first, last, scores = _settled(p, cells, spelled_out)
+        for at in range(0, len(cells), RUN_WINDOWS):
+            upto = min(at + RUN_WINDOWS, len(cells))
+            for (k, w), found in zip(cells[at:upto], tagger.traced(p, scores(at, upto), first[at:upto], last[at:upto])):
+                own = labels[k][w * STRIDE : (w + 1) * STRIDE]
+                own[:] = found[: len(own)]
     out: list[list[Span]] = [[] for _ in texts]
     for k, sequence in labels.items():
         if sequence.any():

@@ -1,4 +1,9 @@
-"""Character tagger in numpy: a bidirectional LSTM with CRF transitions, its training, and decoding of windows."""
+"""Character tagger in numpy: a bidirectional LSTM with CRF transitions, its training, and decoding of windows and chains of them.
+
+A chain is one sequence whose label scores come in cells of equal length. Its best labels are found over the whole chain, not
+cell by cell: ``transfers`` gives for each cell the best score from each label of its first place to each of its last,
+``joined`` runs along these matrices and settles the first and last label of every cell, ``traced`` fills in between.
+"""
 
 from __future__ import annotations
 
@@ -184,6 +189,67 @@ def train(x: np.ndarray, y: np.ndarray, steps: int, batch: int, seed: int = 1, r
     return p
 
 
+def transfers(p: Parameters, scores: np.ndarray) -> np.ndarray:
+    """For each cell of scores (time, cells, labels): best path score by label of the first place and of the last."""
+    moves = _moves(p)
+    best = np.where(np.eye(LABELS, dtype=bool), scores[0][:, None, :], np.float32(-1e6))
+    for now in scores[1:]:
+        way = best[:, :, :1] + moves[0]
+        for b in range(1, LABELS):
+            np.maximum(way, best[:, :, b : b + 1] + moves[b], out=way)
+        best = way + now[:, None, :]
+    return best
+
+
+def joined(p: Parameters, cells: np.ndarray, fresh: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last label of each cell on the best path of its chain.
+
+    ``cells``: their transfers; ``fresh``: a chain begins here; ``opens``: so does the text, else label 0 stands before the chain;
+    ``closes``: the text ends with this cell, else label 0 stands after the chain.
+    """
+    moves = _moves(p).astype(np.float64)
+    n, labels = len(cells), np.arange(LABELS)
+    before, enters = np.zeros((n, LABELS), np.int8), np.zeros((n, LABELS), np.int8)
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out, at = np.zeros(LABELS), 0
+    for k in range(n):
+        if fresh[k]:
+            into, at = (p.first.astype(np.float64) if opens[k] else moves[0]), k
+        else:
+            ways = out[:, None] + moves
+            before[k] = ways.argmax(0)
+            into = ways[before[k], labels]
+        ways = into[:, None] + cells[k]
+        enters[k] = ways.argmax(0)
+        out = ways[enters[k], labels]
+        out -= out.max()
+        if k + 1 == n or fresh[k + 1]:
+            label = int((out if closes[k] else out + moves[:, 0]).argmax())
+            for back in range(k, at - 1, -1):
+                last[back], first[back] = label, enters[back, label]
+                label = before[back, first[back]]
+    return first, last
+
+
+def traced(p: Parameters, scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The best labels (cells, time) of each cell between its given first and last label."""
+    moves = _moves(p)
+    steps, n, _ = scores.shape
+    rows = np.arange(n)
+    best = np.full((n, LABELS), np.float32(-1e6))
+    best[rows, first] = scores[0, rows, first]
+    came = np.empty((steps, n, LABELS), np.int8)
+    for t in range(1, steps):
+        ways = best[:, :, None] + moves
+        came[t] = ways.argmax(1)
+        best = ways.max(1) + scores[t]
+    out = np.empty((n, steps), np.int64)
+    out[:, -1] = last
+    for t in range(steps - 1, 0, -1):
+        out[:, t - 1] = came[t, rows, out[:, t]]
+    return out
+
+
 def decode(p: Parameters, x: np.ndarray) -> np.ndarray:
     """The best label sequence of each window (windows, time)."""
     scores = emissions(p, x)[0]

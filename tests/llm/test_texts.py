@@ -84,6 +84,15 @@ def test_bpe_equals_library(frame, odd):
     assert bpe.digests(frame([])).count() == 0
 
 
+def test_bpe_long_words_equal_library():
+    """Words on both sides of the length from which places are linked, many to a call, of few and of many different pairs."""
+    library, own, rng = Tokenizer.from_file(bpe.default_path()), bpe.Tokenizer(bpe.default_path()), random.Random(8)
+    texts = ["a" * 9001, "ab" * 700, "日本語中文字符测试漢" * 90, "=-" * 300 + "x" * 257, "thethere" * 64]
+    for letters in ("ab", "aab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éaß日"):
+        texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.choice([2, 9, 255, 256, 257, 400, 1500]))) for _ in range(4)) for _ in range(12)]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_round_trip(frame):
     library = Tokenizer.from_file(bpe.default_path())
     pairs = [(1, "Some words, some more."), (2, None)]
@@ -161,6 +170,45 @@ def fitted():
     return tagger.train(x, y, 160, 48), rows
 
 
+def test_chains_are_decoded_as_one_sequence():
+    """Cells joined by their transfers give the labels of one pass over the whole chain, with label 0 beside it inside a text."""
+    p, rng = tagger.initial(4), np.random.default_rng(5)
+    for array in p.arrays():
+        array += rng.normal(0, 1, array.shape).astype(np.float32)
+    moves = tagger._moves(p).astype(np.float64)
+    for trial in range(30):
+        sizes = rng.integers(1, 6, 4)
+        steps, n = int(rng.integers(1, 7)), int(sizes.sum())
+        scores = rng.normal(0, 2, (steps, n, tagger.LABELS)).astype(np.float32)
+        fresh = np.zeros(n, bool)
+        fresh[np.cumsum(sizes) - sizes] = True
+        opens, closes = rng.random(n) < 0.5, rng.random(n) < 0.5
+        first, last = tagger.joined(p, tagger.transfers(p, scores), fresh, opens, closes)
+        found = tagger.traced(p, scores, first, last)
+        for at, size in zip(np.cumsum(sizes) - sizes, sizes):
+            line = scores[:, at : at + size].transpose(1, 0, 2).reshape(-1, tagger.LABELS).astype(np.float64)
+            best, came = (p.first if opens[at] else moves[0]) + line[0], []
+            for now in line[1:]:
+                came.append((best[:, None] + moves).argmax(0))
+                best = (best[:, None] + moves).max(0) + now
+            path = [int((best if closes[at + size - 1] else best + moves[:, 0]).argmax())]
+            for back in came[::-1]:
+                path.append(int(back[path[-1]]))
+            assert found[at : at + size].ravel().tolist() == path[::-1]
+
+
+def test_long_texts_are_scored_in_runs(fitted, monkeypatch):
+    """A text of many windows has the same spans whether its scores are kept or made twice, in large runs or small ones."""
+    p, _ = fitted
+    rng = random.Random(12)
+    texts = ["".join(rng.choice([" (286) 555-5136 ", " abc [at] host [dot] org ", "7 8 9", "plain words here ", "9" * 90]) for _ in range(300)), "", "no digits"]
+    base = [pii.base_spans(t) for t in texts]
+    whole = pii.added_spans(p, texts, base)
+    assert whole[0] and not whole[1] and not whole[2]
+    monkeypatch.setattr(pii, "RUN_WINDOWS", 7)
+    assert pii.added_spans(p, texts, base) == whole
+
+
 def test_tagger_learns(fitted):
     p, rows = fitted
     x, y = pii.labelled_windows(rows, 300, seed=77)  # other values in other places
