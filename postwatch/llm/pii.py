@@ -6,7 +6,8 @@ in ways the patterns do not cover (``name [at] host [dot] org``, ``(286) 555-513
 windows of the documents' own text. It reads texts in windows of ``WINDOW`` characters that overlap by half. A character's label
 scores are the mean of those of the windows that hold it, by its distance to their ends, and the labels are decided for the
 text as one sequence: the best path of the CRF through all cells (the ``STRIDE`` characters in the middle of a window). A tagged
-span is added if it touches no base span and holds a value of its kind (digits and check sum, or a name and a host).
+span grows to whole words and numbers and is added if it touches no base span and holds a value of its kind (digits and check
+sum, or a name and a host).
 
 Every value of the four kinds has a digit, an @, or an "at" in brackets; a window without any of these has label 0
 throughout and is not run: its neighbours are decided with a label 0 beside them.
@@ -38,6 +39,7 @@ SAMPLE_ROWS = 20_000
 FIT_WINDOWS = 4000
 FIT_STEPS, FIT_BATCH = 220, 64
 RUN_WINDOWS = 2048
+LONGEST = 320  # no value has more characters: the bound of an address, and far above that of a number
 HELD_RUNS = 4  # beyond, label scores are made a second time instead of kept
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -217,15 +219,39 @@ def fit(documents: DataFrame, steps: int = FIT_STEPS) -> tagger.Parameters:
 # --- decoding ----------------------------------------------------------------------------------------------------------
 
 
+_AT, _DOT = r" ?(?:@|[\[({<] ?at ?[\])}>]) ?", r" ?(?:\.|[\[({<] ?dot ?[\])}>]) ?"
+_VALUES = {
+    "email": re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE),
+    "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
+    "card": re.compile(r"[0-9][0-9 ._-]+[0-9]"),
+    "phone": re.compile(r"[+(]?[0-9][0-9 ().-]+[0-9]"),
+}
+#: A tagged span grows over these, so that it ends where a word or number does.
+_GROWS = {"email": _LOCAL_CHARS, "ip": frozenset("0123456789."), "card": frozenset("0123456789"), "phone": frozenset("0123456789+(")}
+
+
 def _is_value(kind: str, text: str) -> bool:
-    digits = digits_of(text)
-    if kind == "email":
-        return re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({<] ?at ?[\])}>]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({<] ?dot ?[\])}>]) ?[A-Za-z0-9-]+)+", text, re.I) is not None
-    if kind == "ip":
-        return re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", text) is not None and is_ip(text)
-    if kind == "card":
-        return re.fullmatch(r"[0-9][0-9 ._-]+[0-9]", text) is not None and is_card(text)
-    return re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", text) is not None and 10 <= len(digits) <= 15 and len(text) > len(digits)
+    if not _VALUES[kind].fullmatch(text):
+        return False
+    if kind == "phone":
+        return 10 <= len(digits_of(text)) <= 15 and len(text) > len(digits_of(text))
+    return kind == "email" or (is_ip(text) if kind == "ip" else is_card(text))
+
+
+def _bounds(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The value that a tagged span stands for: grown to whole words or numbers, cut to what the kind's values look like."""
+    grows, least, most = _GROWS[kind], start - LONGEST, end + LONGEST
+    while start and start >= least and text[start - 1] in grows:
+        start -= 1
+    while end < len(text) and end <= most and text[end] in grows and text[end] not in "+(":
+        end += 1
+    if start < least or end > most or end - start > 3 * LONGEST:
+        return None
+    found = _VALUES[kind].search(text, start, end)
+    if not found:
+        return None
+    end = found.end() - (found[0][-1] == "-" and kind == "email")
+    return (found.start(), end) if _is_value(kind, text[found.start() : end]) else None
 
 
 def _tagged(text: str, labels: np.ndarray) -> Iterator[Span]:
@@ -300,8 +326,10 @@ def added_spans(p: tagger.Parameters, texts: list[str], base: list[list[Span]])
         if sequence.any():
             text, taken = texts[k], base[k]
             for start, kind, end in _tagged(text, sequence):
-                if _is_value(kind, text[start:end]) and all(e <= start or s >= end for s, _, e in taken):
-                    out[k].append((start, kind, end))
+                held = _bounds(kind, text, start, end)
+                if held and all(e <= held[0] or s >= held[1] for s, _, e in taken):
+                    out[k].append((held[0], kind, held[1]))
+            out[k] = sorted(set(out[k]))
     return out
 
 

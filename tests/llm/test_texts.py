@@ -197,6 +197,16 @@ def test_chains_are_decoded_as_one_sequence():
             assert found[at : at + size].ravel().tolist() == path[::-1]
 
 
+def test_tagged_spans_end_with_words():
+    text = "write to jane.doe [at] mail [dot] org or (286) 555-5136, not 5555555555555555 " + "7" * 5000
+    email, phone = text.index("jane"), text.index("(286")
+    want = (email, email + len("jane.doe [at] mail [dot] org"))
+    assert pii._bounds("email", text, email + 3, want[1] - 1) == pii._bounds("email", text, email - 3, want[1]) == want
+    assert pii._bounds("phone", text, phone + 1, phone + 12) == (phone, phone + 14)
+    assert pii._bounds("card", text, text.index("5555555"), text.index("5555555") + 9) is None
+    assert pii._bounds("card", text, len(text) - 2500, len(text) - 2480) is None
+
+
 def test_long_texts_are_scored_in_runs(fitted, monkeypatch):
     """A text of many windows has the same spans whether its scores are kept or made twice, in large runs or small ones."""
     p, _ = fitted
