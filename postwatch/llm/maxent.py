@@ -20,15 +20,15 @@ often each row of a table was used.
 Second step: all tokens are dealt by context into shards of about ``SHARD`` tokens, as packed arrays. A shard holds every
 learning token of its contexts, so the gradient of their weights is exact there; they move until they settle (ridge
 ``CLASS_RIDGE``, ``WORD_RIDGE``) and give the score of each token of the shard, held out or not. Sums for each text go
-back, packed as well. A context of two words that both occur more than ``HOT`` times is dealt by text into as many
-parts as that count holds, each with weights of its own, so that no shard outgrows its task.
+back, packed as well. A context that the learning rows hold at least ``HOT`` times is dealt by text into as many parts as that
+count holds, so that no shard outgrows its task. The learning rows' counts of its tokens are summed beforehand and go to each
+of its parts, so all parts settle at the same weights: those that it would have in one piece.
 
 Counts of frequent words go to all tasks (at most ``FREQUENT`` rows). Rare words are joined with the table of all counts: each
 text sends a row for each of its distinct rare words. So no count is ever cut.
 
 Defined cases: a null text has the end only; a null doc_id reads as empty text in the split into learning and held-out rows;
-without learning rows N and V are 0 and every token is unknown; repeated rows repeat (and count twice), and their scores may
-differ a little where a context is dealt into parts.
+without learning rows N and V are 0 and every token is unknown; repeated rows repeat (and count twice).
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ _TOKENS = 1 << 15
 _CONTEXTS = 1 << 13
 _STEPS, _SETTLED = 16, 0.02
 _FLUSH = 1 << 22
+_HELD = 1 << 17  # distinct words or tokens that a task counts before it sends them
 _WORD_BITS = 17  # of a packed token: the rank of a frequent word, or a rare class at the upper end
 _RARE_WORD = (1 << _WORD_BITS) - RARE_CLASSES
 _EXTRA = 64 - _WORD_BITS - 2 * BITS
@@ -72,6 +73,16 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words, worked out for about ``CHUNK_BYTES`` at once: they need 40 bytes for each byte of text."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + common.CHUNK_BYTES, "right")))
+        out[a:b] = common.span_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
+        a = b
+    return out
+
+
 def tokens(texts: pa.Array):
     """Lower-cased bytes, word starts and ends, and for all tokens: hash, text, and the word (-1: an end)."""
     data, starts, ends, before = phrases.split(texts)
@@ -83,7 +94,7 @@ def tokens(texts: pa.Array):
     hashes = np.empty(len(doc), np.uint64)
     inside = np.ones(len(doc), bool)
     inside[last] = False
-    hashes[inside] = common.span_hashes(data, starts, ends)
+    hashes[inside] = _word_hashes(data, starts, ends)
     hashes[last] = _END
     word[last] = -1
     return data, starts, ends, hashes, doc, word
@@ -119,6 +130,7 @@ class Model:
     rank: np.ndarray  # by frequency, of the frequent words
     n_ends: int
     rare_most: int  # the largest count of a rare word
+    hot: tuple[np.ndarray, np.ndarray] | None = None  # contexts to be dealt by text, ascending, and into how many parts
     weights: np.ndarray = field(default_factory=lambda: np.zeros((2 << BITS, CLASSES), np.float32))
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +151,34 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a task with their counts, added up over its texts; ``_HELD`` distinct words or a few more at once."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.binary()).cast(pa.string()), pa.array(known[np.argsort(slot)].view(np.int64)), pa.array(total)], ["word", "h", "c"]
+        )
+
+    def nothing():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    known, slot, total, names = nothing()  # hashes ascending, where their counts and names stand
     for _, texts in common.chunks(batches):
         data, starts, ends, hashes, _, word = tokens(texts)
         found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        body, places = data.tobytes(), word[first]
-        names = [body[starts[k] : ends[k]] if k >= 0 else b"" for k in places.tolist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()).cast(pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["word", "h", "c"]
-        )
+        at = np.searchsorted(known, found)
+        old = np.zeros(len(found), bool)
+        old[at < len(known)] = known[at[at < len(known)]] == found[at < len(known)]
+        total[slot[at[old]]] += n[old]
+        body = data.tobytes()
+        names += [body[starts[k] : ends[k]] if k >= 0 else b"" for k in word[first[~old]].tolist()]
+        known = np.insert(known, at[~old], found[~old])
+        slot = np.insert(slot, at[~old], len(total) + np.arange(np.count_nonzero(~old)))
+        total = np.append(total, n[~old])
+        if len(total) >= _HELD:
+            yield rows()
+            known, slot, total, names = nothing()
+    if names:
+        yield rows()
 
 
 def count_words(learning: DataFrame) -> DataFrame:
@@ -277,8 +309,8 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Arra
         yield pa.Table.from_batches(rows), pa.concat_arrays(texts)
 
 
-def packs(model: Model, n_shards: int, group: int, one, two, at, kinds, doc, held_out):
-    """Shards, and for each the packed distinct (token, text) with how often they occur."""
+def _packed(model: Model, one, two, at, kinds) -> tuple[np.ndarray, np.ndarray]:
+    """Packed tokens, and how often the learning rows can hold the context of each at most."""
     rows = features(one, two).astype(np.uint64)
     rows[1] -= np.uint64(1 << BITS)
     extra = common.mixed(one * np.uint64(0xC2B2AE3D27D4EB4F) + two) >> np.uint64(64 - _EXTRA)
@@ -289,10 +321,94 @@ def packs(model: Model, n_shards: int, group: int, one, two, at, kinds, doc, hel
     first, second = np.full(len(at), model.n_ends), np.full(len(at), model.n_ends)
     first[1:] = np.where(one[1:] == _START, model.n_ends, count[:-1])
     second[2:] = np.where(two[2:] == _START, model.n_ends, count[:-2])
-    parts = (np.minimum(first, second) // HOT + 1).astype(np.uint64)
+    return (key << np.uint64(_WORD_BITS)) | word.astype(np.uint64), np.minimum(first, second)
+
+
+def _shards(key: np.ndarray, part: np.ndarray, n_shards: int) -> np.ndarray:
+    return (common.mixed(key * np.uint64(0x9E3779B97F4A7C15) + part) % np.uint64(n_shards)).astype(np.int32)
+
+
+def _parts(model: Model, key: np.ndarray) -> np.ndarray:
+    """Into how many parts each context is dealt, as the counted contexts say."""
+    keys, parts = model.hot
+    out = np.ones(len(key), np.uint64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        out[keys[at] == key] = parts[at[keys[at] == key]]
+    return out
+
+
+def _hot_tokens(model: Model):
+    """Tokens after two words that both occur at least ``HOT`` times, counted over a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, texts in common.chunks(batches):
+            _, _, _, hashes, doc, _ = tokens(texts)
+            found, most = _packed(model, *before(hashes, doc), *model.look_up(hashes))
+            found = found[most >= HOT]
+            token, place = np.unique(np.append(token, found), return_inverse=True)
+            n = np.bincount(place, np.append(n, np.ones(len(found))), len(token)).astype(np.int64)
+            if len(token) >= _HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+                token, n = token[:0], n[:0]
+        if len(token):
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    return run
+
+
+def hot_contexts(learning: DataFrame, model: Model) -> DataFrame | None:
+    """Counts of the tokens that may stand in a context to be dealt, and the list of those contexts into the model: one for
+    ``HOT`` tokens at most. None where no two words are frequent enough."""
+    if max([model.n_ends, model.rare_most, *model.counts.tolist()]) < HOT:
+        return None
+    rows = learning.select("text").mapInArrow(_hot_tokens(model), "token long, n long")
+    counted = common.staged(rows.groupBy("token").agg(F.sum("n").alias("n")), "maxent")
+    found = counted.groupBy(F.shiftrightunsigned("token", _WORD_BITS).alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).collect()
+    found.sort()
+    model.hot = np.array([r.key for r in found], np.uint64), np.array([r.n // HOT + 1 for r in found], np.uint64)
+    return counted
+
+
+def _deal_counts(model: Model, n_shards: int):
+    """Counts of the tokens of dealt contexts, packed for each shard that holds a part; their group is -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            key = token >> np.uint64(_WORD_BITS)
+            parts = _parts(model, key).astype(np.int64)
+            parts[parts == 1] = 0
+            row = np.repeat(np.arange(len(token)), parts)
+            if not len(row):
+                continue
+            part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            shard = _shards(key[row], part.astype(np.uint64), n_shards)
+            order = np.lexsort((token[row], shard))
+            row, shard = row[order], shard[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]))  # two parts may share a shard
+            row, shard = row[new], shard[new]
+            edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            bodies = [
+                _planes(np.diff(token[row[a:b]], prepend=np.uint64(0)), np.ones(b - a, np.uint32), n[row[a:b]].astype(np.uint32))
+                for a, b in zip(edge.tolist(), np.append(edge[1:], len(row)).tolist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(edge), -1), pa.int64()), pa.array(shard[edge]), pa.array(np.zeros(len(edge), bool)), pa.array(bodies, pa.binary())],
+                ["group", "shard", "texts", "body"],
+            )
+
+    return run
+
+
+def packs(model: Model, n_shards: int, group: int, one, two, at, kinds, doc, held_out):
+    """Shards, and for each the packed distinct (token, text) with how often they occur."""
+    token, most = _packed(model, one, two, at, kinds)
+    key = token >> np.uint64(_WORD_BITS)
+    parts = (most // HOT + 1).astype(np.uint64) if model.hot is None else _parts(model, key)
     own = common.mixed((np.arange(len(held_out)) + (group << 20)).astype(np.uint64))[doc]
-    shard = (common.mixed(key * np.uint64(0x9E3779B97F4A7C15) + own % parts) % np.uint64(n_shards)).astype(np.int32)
-    token = (key << np.uint64(_WORD_BITS)) | word.astype(np.uint64)
+    shard = _shards(key, own % parts, n_shards)
     order = np.argsort(token, kind="stable")  # texts stay in order
     order = order[np.argsort(shard[order].astype(np.uint16) if n_shards <= 1 << 16 else shard[order], kind="stable")]
     token, doc, shard = token[order], doc[order], shard[order]
@@ -449,18 +565,28 @@ def _fit(model: Model):
         order = np.argsort(token)
         ranked = token[order]
         edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        learnt = np.add.reduceat(np.where(flags & 1, n, 0)[order].astype(np.int64), edge)
+        seen = np.where(flags & 1, n, 0).astype(np.int64)
+        summed = np.repeat(np.array(groups) < 0, lengths)
+        if summed.any():  # of a dealt context the counts of all its parts are here
+            dealt = np.unique(token[summed] >> np.uint64(_WORD_BITS))
+            seen[~summed & np.isin(token >> np.uint64(_WORD_BITS), dealt)] = 0
+        learnt = np.add.reduceat(seen[order], edge)
+        del seen, summed
         values = np.empty(len(token))
         values[order] = np.repeat(token_scores(model, ranked[edge], learnt), np.diff(np.append(edge, len(token))))
         values *= n
         del order, ranked, token
         at, replies = 0, []
-        for k in lengths:
+        for group, k in zip(groups, lengths):
+            if group < 0:
+                at += k
+                continue
             doc = (flags[at : at + k] >> 1).astype(np.int64)
             sums = np.bincount(doc, values[at : at + k])
             some = np.flatnonzero(np.bincount(doc))
             replies.append(_planes(np.diff(some, prepend=0).astype(np.uint32), sums[some].astype(np.float32)))
             at += k
+        groups = [group for group in groups if group >= 0]
         for a in range(0, len(groups), 4096):
             m = len(groups[a : a + 4096])
             yield pa.RecordBatch.from_arrays(
@@ -508,11 +634,14 @@ def scores(documents: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     learning = docs.where(remainder() != HELD_OUT)
     counts = count_words(learning)
     model = train(learning, prepare(counts, frequent))
+    counted = hot_contexts(learning, model)
     common.release(spark)
     n_shards = max(common.size_partitions(spark), -(-model.n * FOLDS // (FOLDS - 1) // SHARD))
     rows = docs.select("doc_id", (remainder() == HELD_OUT).alias("held_out"), "text")
-    packed = rows.mapInArrow(_pack(model, n_shards), _PACKED).repartitionById(n_shards, F.col("shard"))
-    replied = packed.mapInArrow(_fit(model), _REPLIED).repartition(n_shards, "group").sortWithinPartitions("group")
+    packed = rows.mapInArrow(_pack(model, n_shards), _PACKED)
+    if counted is not None:
+        packed = packed.unionByName(counted.mapInArrow(_deal_counts(model, n_shards), _PACKED))
+    replied = packed.repartitionById(n_shards, F.col("shard")).mapInArrow(_fit(model), _REPLIED).repartition(n_shards, "group").sortWithinPartitions("group")
     folded = replied.mapInArrow(_fold, _SUMMARY + ", model double")
     summary = common.staged(folded.withColumn("row", F.monotonically_increasing_id()), "maxent")  # the row numbers are fixed from here on
     common.release(spark)

@@ -417,6 +417,39 @@ def test_packed_tokens_keep_every_occurrence(spark, monkeypatch):
         assert 1 <= max(map(len, shards.values())) <= parts and (parts == 1 or max(map(len, shards.values())) > 1)
 
 
+def test_scores_do_not_depend_on_dealing(frame, monkeypatch):
+    """Contexts that are dealt into parts get the weights that they have in one piece; equal texts score alike."""
+    rng = random.Random(15)
+    words = ["of", "the", "a"] + [f"w{k}" for k in range(12)]
+    pairs = [(k, " ".join(rng.choices(words, [9, 9, 6] + [1] * 12, k=rng.randint(0, 60)))) for k in range(300)]
+    pairs += [(400 + k, pairs[k][1]) for k in range(40)]
+    found = []
+    for hot, parts in ((1 << 20, 1), (40, 2)):
+        monkeypatch.setattr(maxent, "HOT", hot)
+        dealt = []
+        monkeypatch.setattr(maxent, "_pack", lambda model, n, real=maxent._pack: dealt.append(model.hot) or real(model, n))
+        found.append({r.doc_id: r for r in maxent.scores(frame(pairs), frequent=8).collect()})
+        monkeypatch.undo()
+        assert (dealt[0] is None) == (parts == 1) and (parts == 1 or dealt[0][1].max() >= parts)
+    whole, cut = found
+    assert set(whole) == set(cut) == {k for k, _ in pairs}
+    for k in whole:
+        assert whole[k].base_score == pytest.approx(cut[k].base_score) and whole[k].score == pytest.approx(cut[k].score, abs=1e-4)
+    for k in range(40):
+        assert cut[k].score == pytest.approx(cut[400 + k].score, abs=1e-4)
+
+
+def test_words_counted_over_a_task(frame, monkeypatch):
+    """Counts are those of all texts, however often a task sends what it holds, and words longer than a chunk are whole."""
+    rng = random.Random(16)
+    pairs = [(k, " ".join(rng.choices("abcdefghij", k=20))) for k in range(60)] + [(70, "x" * 5000 + " a"), (71, None)]
+    want = Counter(w for _, text in pairs for w in [*(text or "").split(), ""])
+    for held, chunk in ((1 << 17, 1 << 20), (4, 64)):
+        monkeypatch.setattr(maxent, "_HELD", held)
+        monkeypatch.setattr(common, "CHUNK_BYTES", chunk)
+        assert {r.word: r.c for r in maxent.count_words(frame(pairs)).collect()} == want
+
+
 def test_held_out_gain_on_the_given_table(spark):
     """Over the documents of the smallest given table; texts whose copies were learned score far above the base."""
     found = maxent.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
