@@ -113,20 +113,35 @@ def scores_by_function(
 
     ``mapInPandas`` stays where it is put: a plain pandas UDF would be moved below the anti join and paid for
     postings already sent. Only rows with ``has_profile`` and ``has_text`` are scored. Rows whose score is missing
-    keep NULL. A posting is kept when it cannot be scored: where the function raises for a batch, its rows are scored
-    one by one, and those it raises for keep NULL.
+    keep NULL. A posting is kept when it cannot be scored: a batch that the function raises for is halved until the rows
+    it raises for are alone, and those keep NULL. Such a batch is first put in order by its numbers and texts, so that rows that
+    are alike, and likely to fail alike, are neighbours.
     """
     schema = StructType([*cands.schema.fields, StructField("score", DoubleType()), StructField("score_error", StringType())])
 
+    def scored(rows):
+        values = scorer(rows).astype("float64")
+        return values if values.index.sort_values().equals(rows.index.sort_values()) else values.set_axis(rows.index)
+
     def tried(rows):
         """Scores and errors of the rows."""
         try:
             return scorer(rows).astype("float64"), pd.Series(None, rows.index, "object")
-        except Exception as error:  # whatever the caller's function raises
-            if len(rows) == 1:
-                return pd.Series([None], rows.index, "float64"), pd.Series([f"{type(error).__name__}: {error}"], rows.index, "object")
-            parts = [tried(rows.iloc[k : k + 1]) for k in range(len(rows))]
-            return pd.concat([score for score, _ in parts]), pd.concat([raised for _, raised in parts])
+        except Exception:  # told from its parts
+            plain = [c for c in inputs if pd.api.types.is_numeric_dtype(rows[c]) or pd.api.types.infer_dtype(rows[c]) == "string"]
+            ranked = rows.sort_values(plain, kind="stable") if plain else rows
+        found, raised, waiting = [], {}, [(0, len(rows))]
+        while waiting:
+            a, b = waiting.pop()
+            try:
+                found.append(scored(ranked.iloc[a:b]))
+            except Exception as error:  # whatever the caller's function raises
+                if b - a > 1:
+                    waiting += [((a + b) // 2, b), (a, (a + b) // 2)]
+                else:
+                    raised[ranked.index[a]] = f"{type(error).__name__}: {error}"
+        scores = pd.concat(found) if found else pd.Series(dtype="float64")
+        return scores.reindex(rows.index), pd.Series([raised.get(k) for k in rows.index], rows.index, "object")
 
     def run(batches):
         for batch in batches:

@@ -220,3 +220,19 @@ def test_unsubscribe_url(spark):
     ).first()
     assert got[0] == "https://x.org/u?email=a%2Bb%40x.org&position=c%2Fc%2B%2B%20dev&location=K%C3%B6ln"
     assert got[1] == "https://x.org/u?email=a+b@x.org&position=c/c++ dev&location=Köln"
+
+
+def test_a_batch_that_raises_is_halved(spark):
+    """Rows that the function takes are scored together, whichever rows of the batch it raises for; those keep no score."""
+    rows = [(k, k % 100, True, True) for k in range(800)]
+    frame = spark.createDataFrame(rows, "k long, pos long, has_profile boolean, has_text boolean").coalesce(1)
+
+    def scorer(batch):
+        if (batch["pos"] % 10 == 3).any():
+            raise ValueError("no score")
+        return batch["pos"] * 0.0 + len(batch)
+
+    got = matching.scores_by_function(frame, scorer, ["pos"]).collect()
+    assert sorted(r.k for r in got) == list(range(800))
+    assert all((r.score is None) == (r.pos % 10 == 3) == (r.score_error is not None) for r in got)
+    assert sum(1 / r.score for r in got if r.score) < 200  # calls that gave scores; one row at a time they would be 720
