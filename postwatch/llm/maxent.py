@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,7 @@ _HELD = 1 << 17  # distinct words or tokens that a task counts before it sends t
 _WORD_BITS = 17  # of a packed token: the rank of a frequent word, or a rare class at the upper end
 _RARE_WORD = (1 << _WORD_BITS) - RARE_CLASSES
 _EXTRA = 64 - _WORD_BITS - 2 * BITS
+_LOOK_UP = 18
 _END = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0xD1B54A32D192ED03)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,12 +135,22 @@ class Model:
     hot: tuple[np.ndarray, np.ndarray] | None = None  # contexts to be dealt by text, ascending, and into how many parts
     weights: np.ndarray = field(default_factory=lambda: np.zeros((2 << BITS, CLASSES), np.float32))
 
+    @cached_property
+    def _starts(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The hashes with one above all, the place of the first one of each value of the upper ``_LOOK_UP`` bits, the most with one value."""
+        first = np.searchsorted(self.hashes, np.arange(1 << _LOOK_UP, dtype=np.uint64) << np.uint64(64 - _LOOK_UP))
+        return np.append(self.hashes, np.uint64((1 << 64) - 1)), first, int(np.diff(np.append(first, len(self.hashes))).max())
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the frequent words (-1: rare), and class, of each token."""
         if not len(self.hashes):
             at = np.full(len(hashes), -1, np.int64)
         else:
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known, first, most = self._starts
+            at = first[(hashes >> np.uint64(64 - _LOOK_UP)).astype(np.int64)]
+            for _ in range(most):
+                at += known[at] < hashes
+            at = np.minimum(at, len(self.hashes) - 1)
             at[self.hashes[at] != hashes] = -1
         rare = CLASSES - RARE_CLASSES + (hashes >> np.uint64(61)).astype(np.int64) % RARE_CLASSES
         return at, np.where(at >= 0, self.kinds[at] if len(self.kinds) else 0, rare)
@@ -245,7 +257,7 @@ def _gradient(model: Model):
                 np.negative(_softmax(model.logits(part)), out=g[:, :CLASSES])
                 g[np.arange(len(g)), kinds[at : at + _TOKENS]] += 1
                 g[:, CLASSES] = 1
-                for row in part:
+                for row in part.astype(np.uint16):  # rows below 2**16 are sorted by counting
                     order = np.argsort(row, kind="stable")
                     ranked = row[order]
                     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -309,19 +321,24 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Arra
         yield pa.Table.from_batches(rows), pa.concat_arrays(texts)
 
 
-def _packed(model: Model, one, two, at, kinds) -> tuple[np.ndarray, np.ndarray]:
-    """Packed tokens, and how often the learning rows can hold the context of each at most."""
+def _packed(model: Model, one, two, at, kinds) -> np.ndarray:
+    """Contexts and words as 64 bits."""
     rows = features(one, two).astype(np.uint64)
     rows[1] -= np.uint64(1 << BITS)
     extra = common.mixed(one * np.uint64(0xC2B2AE3D27D4EB4F) + two) >> np.uint64(64 - _EXTRA)
     key = (rows[0] << np.uint64(BITS + _EXTRA)) | (rows[1] << np.uint64(_EXTRA)) | extra
     word = np.where(at >= 0, model.rank[at] if len(model.rank) else 0, _RARE_WORD + kinds - (CLASSES - RARE_CLASSES))
+    return (key << np.uint64(_WORD_BITS)) | word.astype(np.uint64)
+
+
+def _most(model: Model, one, two, at) -> np.ndarray:
+    """How often the learning rows can hold the context of each token at most."""
     count = np.full(len(at), model.rare_most)
     count[at >= 0] = model.counts[at[at >= 0]]
     first, second = np.full(len(at), model.n_ends), np.full(len(at), model.n_ends)
     first[1:] = np.where(one[1:] == _START, model.n_ends, count[:-1])
     second[2:] = np.where(two[2:] == _START, model.n_ends, count[:-2])
-    return (key << np.uint64(_WORD_BITS)) | word.astype(np.uint64), np.minimum(first, second)
+    return np.minimum(first, second)
 
 
 def _shards(key: np.ndarray, part: np.ndarray, n_shards: int) -> np.ndarray:
@@ -340,13 +357,21 @@ def _parts(model: Model, key: np.ndarray) -> np.ndarray:
 
 def _hot_tokens(model: Model):
     """Tokens after two words that both occur at least ``HOT`` times, counted over a task's texts."""
+    some = np.append(model.hashes[model.counts >= HOT], _START if model.n_ends >= HOT else model.hashes[:0])
+    some = np.sort(some.astype(np.uint64))
+
+    def frequent(hashes: np.ndarray) -> np.ndarray:
+        if model.rare_most >= HOT or not len(some):
+            return np.full(len(hashes), model.rare_most >= HOT)
+        return some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, texts in common.chunks(batches):
             _, _, _, hashes, doc, _ = tokens(texts)
-            found, most = _packed(model, *before(hashes, doc), *model.look_up(hashes))
-            found = found[most >= HOT]
+            one, two = before(hashes, doc)
+            kept = np.flatnonzero(frequent(one) & frequent(two))
+            found = _packed(model, one[kept], two[kept], *model.look_up(hashes[kept]))
             token, place = np.unique(np.append(token, found), return_inverse=True)
             n = np.bincount(place, np.append(n, np.ones(len(found))), len(token)).astype(np.int64)
             if len(token) >= _HELD:
@@ -362,6 +387,7 @@ def hot_contexts(learning: DataFrame, model: Model) -> DataFrame | None:
     """Counts of the tokens that may stand in a context to be dealt, and the list of those contexts into the model: one for
     ``HOT`` tokens at most. None where no two words are frequent enough."""
     if max([model.n_ends, model.rare_most, *model.counts.tolist()]) < HOT:
+        model.hot = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         return None
     rows = learning.select("text").mapInArrow(_hot_tokens(model), "token long, n long")
     counted = common.staged(rows.groupBy("token").agg(F.sum("n").alias("n")), "maxent")
@@ -404,9 +430,9 @@ def _deal_counts(model: Model, n_shards: int):
 
 def packs(model: Model, n_shards: int, group: int, one, two, at, kinds, doc, held_out):
     """Shards, and for each the packed distinct (token, text) with how often they occur."""
-    token, most = _packed(model, one, two, at, kinds)
+    token = _packed(model, one, two, at, kinds)
     key = token >> np.uint64(_WORD_BITS)
-    parts = (most // HOT + 1).astype(np.uint64) if model.hot is None else _parts(model, key)
+    parts = (_most(model, one, two, at) // HOT + 1).astype(np.uint64) if model.hot is None else _parts(model, key)
     own = common.mixed((np.arange(len(held_out)) + (group << 20)).astype(np.uint64))[doc]
     shard = _shards(key, own % parts, n_shards)
     order = np.argsort(token, kind="stable")  # texts stay in order
