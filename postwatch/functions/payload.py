@@ -6,6 +6,8 @@ before values are taken.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 
@@ -56,16 +58,21 @@ def whole_number_ok(value: Column) -> Column:
     )
 
 
-def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+def members(doc: Column, name: str, fields: Sequence[str]) -> Column:
+    """Fields of the object at ``name`` as variants, in one pass over it; NULL when there is no object."""
+    return F.try_variant_get(doc, f"$.{name}", f"struct<{', '.join(f'{field}: variant' for field in fields)}>")
+
 
+def text_list_ok(value: Column, may_hold_null: Column) -> Column:
+    """Absent (the default is an empty list) or an array holding only strings.
 
-def text_list_ok(value: Column) -> Column:
-    """Absent (the default is an empty list) or an array holding only strings."""
+    The type of an array of texts does not tell whether it holds nulls too. Its elements are read for that, which costs more than
+    all the rest, only where ``may_hold_null``: False must mean that there is no null in it.
+    """
     kind = json_type(value)
-    texts = F.try_variant_get(value, "$", "array<string>")
-    full = (kind == "ARRAY<STRING>") & F.forall(texts, lambda item: item.isNotNull())
-    none = (kind == "ARRAY<VOID>") & (F.size(texts) == 0)
+    elements = F.try_variant_get(value, "$", "array<string>")
+    full = (kind == "ARRAY<STRING>") & (~may_hold_null | F.forall(elements, lambda item: item.isNotNull()))
+    none = (kind == "ARRAY<VOID>") & (F.size(elements) == 0)
     return F.when(value.isNull(), True).otherwise(F.coalesce(full | none, F.lit(False)))
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postwatch.functions import payload
 from postwatch.operators import postings
 from postwatch.sources import feeds
 
@@ -98,6 +99,33 @@ def test_score_rules(spark, document, score, reason):
     assert (one.score, one.reject_reason) == (score, reason)
 
 
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        ('{"jobRequirements": {"skills": ["annulled", "null"]}, "userProfile": {"skills": []}, "similarityScore": {"score": 1}}', None),
+        ('{"jobRequirements": {"skills": ["a"], "more": null}, "userProfile": {}, "similarityScore": {"score": 1}}', None),
+        ('{"jobRequirements": {}, "userProfile": {"qualifications": ["a", null, "b"]}, "similarityScore": {"score": 1}}', "invalid_score"),
+        ('{"jobRequirements": {}, "userProfile": {"skills": ["a", 1]}, "similarityScore": {"score": 1}}', "invalid_score"),
+        ('{"jobRequirements": {}, "userProfile": null, "similarityScore": {"score": 1}}', "invalid_score"),
+        ('{"jobRequirements": {"skills": [1], "skills": ["a"]}, "userProfile": {}, "similarityScore": {"score": 1}}', None),
+        ('{"jobRequirements": {"skills": ["a"]}, "userProfile": {}, "userProfile": {"skills": [null]}, "similarityScore": {"score": 1}}', "invalid_score"),
+    ],
+)
+def test_nulls_and_repeats_in_score_lists(spark, text, reason):
+    assert postings.parse_scores(spark.createDataFrame([(text,)], "body string")).first().reject_reason == reason
+
+
+def test_list_elements_are_read_only_for_nulls(spark):
+    rows = spark.createDataFrame([('["a", null]', True), ('["a", null]', False), ('["a"]', True), ('["a"]', False)], "body string, may boolean")
+    ok = payload.text_list_ok(F.try_parse_json("body"), F.col("may"))
+    assert [r.ok for r in rows.select(ok.alias("ok")).collect()] == [False, True, True, True]
+
+
+def test_sides_of_a_score_are_not_made_into_maps(spark):
+    parsed = postings.parse_scores(spark.createDataFrame([("{}",)], "body string"))
+    assert "map<" not in parsed._jdf.queryExecution().optimizedPlan().toString().lower().replace("maptype(", "map<")
+
+
 def test_requirement_lists(spark):
     text = json.dumps({"jobRequirements": {"skills": ["a", "b"]}, "userProfile": {}, "similarityScore": {"score": 1}})
     one = postings.scored_requirements(spark.createDataFrame([(text,)], "body string")).first()
