@@ -17,7 +17,7 @@ from postwatch import session
 from postwatch.operators import changes, digest, matching, postings as posting_ops, profiles, subscriptions
 from postwatch.plans import poll
 from postwatch.plans.daily import Scoring
-from postwatch.sinks import users
+from postwatch.sinks import runs, users
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SECRET = "fixture"
@@ -86,22 +86,23 @@ class Inputs:
         )
 
     def _bought(self) -> DataFrame:
-        """(o_custkey, o_orderpriority, l_orderkey, p_brand, p_type) for every line with its order and part."""
+        """(o_custkey, l_orderkey, p_brand, p_type) for every line with its order and part. Lines meet their orders first, while
+        they are but two numbers."""
         parts = self.given("part").select("p_partkey", "p_brand", "p_type")
         lines = self.given("lineitem").select("l_orderkey", "l_partkey")
-        return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-            self.given("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
-        )
+        orders = self.given("orders").select("o_orderkey", "o_custkey")
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
-    def skills(self) -> DataFrame:
-        rows = self._bought().select("o_custkey", "p_brand").distinct()
+    def skills(self, held: DataFrame | None = None) -> DataFrame:
+        """``held``: customers with their brands, each pair once, where they are worked out already."""
+        rows = self._bought().select("o_custkey", "p_brand").distinct() if held is None else held
         number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
         return rows.select(
             number.alias("id"), F.col("o_custkey").cast("string").alias("user_id"), F.col("p_brand").alias("skill")
         )
 
-    def experiences(self) -> DataFrame:
-        rows = self._bought().select("o_custkey", "p_type").distinct()
+    def experiences(self, held: DataFrame | None = None) -> DataFrame:
+        rows = self._bought().select("o_custkey", "p_type").distinct() if held is None else held
         return rows.select(
             F.length("p_type").alias("id"), F.col("o_custkey").cast("string").alias("user_id"),
             F.col("p_type").alias("experience"),
@@ -244,7 +245,8 @@ class Inputs:
     def feed(self) -> DataFrame:
         """(seq, kind, body): signups, errors and purchases as add, delete and confirm requests, other events under their own name."""
         people = self.users().select(F.col("id").alias("_id"), "email", F.col("position").alias("_p"), F.col("location").alias("_l"))
-        rows = self.given("events").join(people, F.col("user_id").cast("string") == F.col("_id"))
+        # merged: customers may lie in one file split, and with the events sent to them one task would make and parse all requests
+        rows = self.given("events").join(people.hint("merge"), F.col("user_id").cast("string") == F.col("_id"))
         no = F.col("event_id")
         segment = F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), (no % 5 + 1).cast("int"))
         nation = F.concat(F.lit("NATION_"), (no % 25).cast("string"))
@@ -310,8 +312,12 @@ class Inputs:
             return _polled[own]
         root = f"{session.shared_dir(self.spark)}/checks-{uuid.uuid4().hex[:12]}"
         users.write(self.users(), None, root, "0")
-        for name, table in zip(users.CHILDREN, (self.skills, self.experiences, self.educations)):
-            users.write_children(table(), root, name, "0")
+        # lines are read and joined once for both lists
+        lists = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("p_brand", "p_type")])
+        held = runs.staged(self._bought().select("o_custkey", F.inline(lists)).distinct(), f"{root}/held")
+        brands, types = (held.where(F.col("kind") == c).select("o_custkey", F.col("value").alias(c)) for c in ("p_brand", "p_type"))
+        for name, table in zip(users.CHILDREN, (self.skills(brands), self.experiences(types), self.educations())):
+            users.write_children(table, root, name, "0")
         settings = poll.PollSettings(root, SECRET, CONFIRM_BASE, UNSUBSCRIBE_BASE, lambda searches: self.postings(), buckets=8)
         poll.poll(self.spark, self.feed(), "1", DAY, settings)
         poll.compact(self.spark, root, before="1")

@@ -57,11 +57,12 @@ def live_adds(users: DataFrame, requests: DataFrame) -> DataFrame:
     return first.join(there, USER_KEY, "left").where("_there IS NULL OR last_delete IS NOT NULL").drop("last_delete", "_there")
 
 
-def replay(users: DataFrame, requests: DataFrame, token: Column, user_id: Column | None = None) -> DataFrame:
+def replay(users: DataFrame, requests: DataFrame, token: Column, user_id: Column | None = None, adds: DataFrame | None = None) -> DataFrame:
     """The user table after valid ``requests`` were served one by one in ``seq`` order.
 
     A token is made by the add itself and nobody can confirm before knowing it, so confirms need no order of their own.
+    ``adds``: the :func:`live_adds`, where the caller has them already.
     """
     kept = subscriptions.delete(users, of_kind(requests, "delete"))
-    added = subscriptions.users_of_adds(live_adds(users, requests), token, user_id)
+    added = subscriptions.users_of_adds(live_adds(users, requests) if adds is None else adds, token, user_id)
     return subscriptions.confirm(kept.unionByName(added), of_kind(requests, "confirm"))

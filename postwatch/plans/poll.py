@@ -49,6 +49,16 @@ def concerned(spark: SparkSession, root: str, keys: DataFrame, run_id: str) -> D
     return user_store.live(user_store.stored(spark, root, before=run_id, keys=keys))
 
 
+def differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of ``after`` that are new or not as they were, and those of ``before`` whose key is gone, with ``deleted``.
+
+    In both a key stands once and is whole: a poll finds users by their key, and an add without one is refused.
+    """
+    rows = [users.select(*USER_KEY, F.struct(*schemas.USERS.names).alias(name)) for users, name in ((before, "_was"), (after, "_now"))]
+    other = rows[0].join(rows[1], USER_KEY, "full").where(~F.equal_null("_was", "_now"))
+    return other.select(F.coalesce("_now", "_was").alias("_row"), F.col("_now").isNull().alias("deleted")).select("_row.*", "deleted")
+
+
 def to_send(spark: SparkSession, now: DataFrame, settings: PollSettings, run_id: str) -> DataFrame:
     """Ranked rows of the digests of the subscriptions ``now``, from the parts of the stores that they lie in."""
     root, ids = settings.root, now.select(F.col("id").alias("user_id"))
@@ -81,14 +91,14 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
     before = runs.staged(concerned(spark, root, wanted, run_id), f"{root}/polled_before/run_id={run_id}")
     seen = Observation()
     waiting = F.col("is_new") & (F.coalesce("confirmation_token", F.lit("")) != "")
-    after = changes.replay(before, requests, token, user_id).observe(
+    added = runs.staged(changes.live_adds(before, requests), f"{root}/polled_adds/run_id={run_id}") if counts["n_add"] else None
+    after = changes.replay(before, requests, token, user_id, added).observe(
         seen, F.count_if(F.col("is_new") & F.col("is_confirmed")).alias("n_notify"), F.count_if(waiting).alias("n_welcome")
     )
     after = runs.staged(after, f"{root}/polled_after/run_id={run_id}")
     counts |= runs.observed(seen, ["n_notify", "n_welcome"])
 
     if counts["n_add"]:
-        added = changes.live_adds(before, requests)
         for column, table, value in _CHILD_LISTS:
             rows = subscriptions.children_of_adds(added, column, value, user_id)
             user_store.write_children(rows.withColumnRenamed("item_no", "id"), root, table, run_id)
@@ -98,10 +108,8 @@ def poll(spark: SparkSession, feed: DataFrame, run_id: str, day: str, settings:
         ranked = to_send(spark, subscriptions.notify_now(after), settings, run_id)
         counts |= daily.write_delivery(ranked, root, run_id, settings.unsubscribe_base, day, settings.buckets)
 
-    changed = subscriptions.mark_seen(after, after).exceptAll(before)
-    gone = before.join(after.select(*USER_KEY), USER_KEY, "left_anti")
     ended = before.select("id").join(after.select("id"), "id", "left_anti")
-    user_store.write(changed, gone, root, run_id, ended)
+    user_store.write_changes(differences(before, after.withColumn("is_new", F.lit(False))), root, run_id, ended)
     return counts
 
 

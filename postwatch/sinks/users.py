@@ -83,8 +83,14 @@ def write(users: DataFrame, gone: DataFrame | None, root: str, run_id: str, ende
     if gone is not None:
         rows = rows.unionByName(gone.withColumn("deleted", F.lit(True)))
         ended = gone if ended is None else ended
+    write_changes(rows, root, run_id, ended)
+
+
+def write_changes(rows: DataFrame, root: str, run_id: str, ended: DataFrame | None = None) -> None:
+    """:func:`write` for rows that have ``deleted``. They are worked out once: the lookup is made of the users as written."""
     runs.write_run(rows.withColumn("part", _of_key()), f"{root}/users", run_id, ["part"])
-    runs.write_run(_lookup(users), f"{root}/lookup", run_id, ["kind", "part"])
+    written = rows.sparkSession.read.schema(STORED).parquet(f"{root}/users/run_id={run_id}")
+    runs.write_run(_lookup(written.where("NOT deleted")), f"{root}/lookup", run_id, ["kind", "part"])
     if ended is not None:
         ids = ended.select(F.col("id").alias("user_id"))
         runs.write_run(ids.withColumn("part", _of_id()), f"{root}/ended", run_id, ["part"])

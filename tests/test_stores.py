@@ -4,6 +4,7 @@ import json
 import os
 import pathlib
 import re
+import uuid
 
 import pandas as pd
 import pytest
@@ -160,6 +161,31 @@ def test_a_poll_writes_what_has_changed_and_leaves_out_the_rest(spark, root, set
     assert sum(counts.values()) == 0 and user_store.read(spark, root).count() == 19
 
 
+def test_users_and_their_lookup_come_from_rows_worked_out_once(spark, root):
+    drawn = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    user_store.write(spark.createDataFrame([user(k, new=k < 3) for k in range(9)], schemas.USERS).withColumn("confirmation_token", drawn()), None, root, "0")
+    looked = runs.read_runs(spark, f"{root}/lookup", user_store._LOOKUP).where("kind = 'token'").collect()
+    assert {(r.email, r.value) for r in looked} == {(r.email, r.confirmation_token) for r in user_store.read(spark, root).collect()} and len(looked) == 9
+
+
+def test_differences_are_what_a_poll_has_to_write(spark):
+    was = [user(1), user(2), user(3, token="t"), user(4, new=True)]
+    now = [user(1), ("x", *user(2)[1:]), user(3), user(5, new=True, token="n")]
+    before, after = (spark.createDataFrame(users, schemas.USERS) for users in (was, now))
+    got = sorted((tuple(r) for r in poll.differences(before, after).collect()), key=str)
+    want = [(*r, False) for r in after.exceptAll(before).collect()] + [(*r, True) for r in before.join(after, schemas.USER_KEY, "left_anti").select(*schemas.USERS.names).collect()]
+    assert got == sorted(want, key=str) and len(got) == 4
+    assert poll.differences(before, before).count() == 0
+
+
+def test_requests_are_made_in_more_than_one_task(spark):
+    """However few customers there are: they and the events are both dealt by their key."""
+    t = given.Inputs(session.configure(spark), "/root/testdata/sf0.1")
+    feed = t.feed()
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cast(user_id" in plan and feed.rdd.getNumPartitions() > 1
+
+
 def test_new_users_are_notified_from_the_postings_store(spark, root, settings):
     user_store.write(spark.createDataFrame([user(k, new=k < 2) for k in range(9)], schemas.USERS), None, root, "0")
     postings_store.write(landed(spark, ("dev", "town0", "1", response(12)), ("dev", "town1", "1", "{"), ("dev", "town3", "1", response(1))), root, "p1")
