@@ -56,7 +56,8 @@ STEP = 0.7
 CLASS_RIDGE, WORD_RIDGE = 1.0, 0.25
 SHARD = 3 << 19
 HOT = 1 << 20
-_TOKENS = 1 << 15
+_TOKENS = 1 << 14
+_PAIRS = 1 << 20
 _CONTEXTS = 1 << 13
 _STEPS, _SETTLED = 16, 0.02
 _FLUSH = 1 << 22
@@ -236,32 +237,69 @@ def prepare(counts: DataFrame, frequent: int = FREQUENT) -> Model:
     return Model(h[order], c[order], kinds[order], within[order], rare_total, prior.astype(np.float32), n, v, order, n_ends or 0, most)
 
 
+def _by_class(model: Model, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The logits of :meth:`Model.logits`, a row for each class; so are the weights. Sums over classes then run along whole arrays."""
+    out = weights.take(rows[0], axis=1)
+    out += weights.take(rows[1], axis=1)
+    out += model.prior[:, None]
+    return out
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    """In place; classes are rows."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= logits.sum(axis=0)
     return logits
 
 
+def _expected(model: Model, pairs: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+    """Adds the class probabilities of each pair of rows (one number) to ``total`` at both rows; equal pairs are worked out once."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    times = np.diff(np.append(first, len(pairs))).astype(np.float32)
+    pairs = pairs[first].astype(np.int64)
+    rows = np.stack([pairs >> BITS, (pairs & ((1 << BITS) - 1)) + (1 << BITS)])
+    for at in range(0, len(pairs), _TOKENS):
+        part = rows[:, at : at + _TOKENS]
+        p = _softmax(_by_class(model, part, weights))
+        p *= times[at : at + _TOKENS]
+        for k, row in enumerate(part):
+            if k:  # the first rows ascend as they are; rows below 2**16 are sorted by counting
+                order = np.argsort(row.astype(np.uint16), kind="stable")
+                p, row = p.take(order, axis=1), row[order]
+            edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            total[:, row[edge]] += np.add.reduceat(p, edge, axis=1)
+
+
 def _gradient(model: Model):
-    """A task's summed gradient with the number of uses of each row as last column, in blocks."""
+    """A task's summed gradient with the number of uses of each row as last column, in blocks.
+
+    It is the counts of the classes less what the model expects. Without weights yet that is the same for all tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 << BITS, CLASSES + 1), np.float32)
+        n_rows = 2 << BITS
+        counts, expected = np.zeros(n_rows * CLASSES, np.int64), np.zeros((CLASSES, n_rows))
+        weights, pairs, n = (np.ascontiguousarray(model.weights.T) if model.weights.any() else None), [], 0
         for _, texts in common.chunks(batches):
             _, _, _, hashes, doc, _ = tokens(texts)
             rows, kinds = features(*before(hashes, doc)), model.look_up(hashes)[1]
-            for at in range(0, len(hashes), _TOKENS):
-                part = rows[:, at : at + _TOKENS]
-                g = np.empty((part.shape[1], CLASSES + 1), np.float32)
-                np.negative(_softmax(model.logits(part)), out=g[:, :CLASSES])
-                g[np.arange(len(g)), kinds[at : at + _TOKENS]] += 1
-                g[:, CLASSES] = 1
-                for row in part.astype(np.uint16):  # rows below 2**16 are sorted by counting
-                    order = np.argsort(row, kind="stable")
-                    ranked = row[order]
-                    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-                    total[ranked[first]] += np.add.reduceat(g[order], first)
+            counts += np.bincount((rows * CLASSES + kinds).ravel(), minlength=len(counts))
+            if weights is None:
+                continue
+            pairs.append(((rows[0] << BITS) | (rows[1] - (1 << BITS))).astype(np.uint32))
+            n += len(hashes)
+            if n >= _PAIRS:
+                _expected(model, np.concatenate(pairs), weights, expected)
+                pairs, n = [], 0
+        if pairs:
+            _expected(model, np.concatenate(pairs), weights, expected)
+        counts = counts.reshape(n_rows, CLASSES)
+        uses = counts.sum(axis=1)
+        if weights is None:
+            expected = _softmax(model.prior.astype(float))[:, None] * uses
+        total = np.column_stack([counts - expected.T, uses]).astype(np.float32)
         yield from common.block_rows(total.reshape(-1, 64 * (CLASSES + 1)))
 
     return run
@@ -496,24 +534,27 @@ def _pack(model: Model, n_shards: int):
 
 
 def _class_scores(model: Model, keys: np.ndarray, context: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log P(class | context) of each (context, class); ``n``: how often it was seen, ``context`` ascending."""
+    """log P(class | context) of each (context, class); ``n``: how often it was seen, ``context`` ascending.
+
+    A context whose weights have settled leaves the steps with them.
+    """
     out = np.empty(len(kinds))
-    mask, table = np.uint64((1 << BITS) - 1), 1 << BITS
+    mask, table, by_class = np.uint64((1 << BITS) - 1), 1 << BITS, np.ascontiguousarray(model.weights.T)
     for a in range(0, len(keys), _CONTEXTS):
         part = keys[a : a + _CONTEXTS]
-        lo, hi = np.searchsorted(context, [a, a + len(part)])
+        lo, hi = np.searchsorted(context, np.array([a, a + len(part)], context.dtype))
         own, kind = context[lo:hi] - a, kinds[lo:hi]
         rows = np.stack([(part >> np.uint64(BITS + _EXTRA)), (part >> np.uint64(_EXTRA)) & mask]).astype(np.int64)
         rows[1] += table
-        logits = model.logits(rows)
-        seen = np.zeros((len(part), CLASSES), np.float32)
-        seen[own, kind] = n[lo:hi]
-        total = seen.sum(axis=1, keepdims=True)
-        some = np.flatnonzero(total[:, 0] > 0)
-        fixed, seen, total = logits[some], seen[some], total[some]
-        weights = np.zeros_like(fixed)
+        logits = _by_class(model, rows, by_class)
+        seen = np.zeros((CLASSES, len(part)), np.float32)
+        seen[kind, own] = n[lo:hi]
+        total = seen.sum(axis=0)
+        some = np.flatnonzero(total > 0)
+        now, seen, total = logits.take(some, axis=1), seen.take(some, axis=1), total[some]
+        weights = np.zeros_like(now)
         for _ in range(_STEPS):
-            p = _softmax(fixed + weights)
+            p = _softmax(now.copy())
             p *= total
             move = seen - p
             move -= CLASS_RIDGE * weights
@@ -521,13 +562,17 @@ def _class_scores(model: Model, keys: np.ndarray, context: np.ndarray, kinds: np
             move /= p
             np.clip(move, -2, 2, out=move)
             weights += move
-            logits[some] = fixed + weights
-            still = np.flatnonzero(np.maximum(move.max(axis=1), -move.min(axis=1)) >= _SETTLED)
+            now += move
+            moving = np.maximum(move.max(axis=0), -move.min(axis=0)) >= _SETTLED
+            settled, still = np.flatnonzero(~moving), np.flatnonzero(moving)
+            logits[:, some[settled]] = now.take(settled, axis=1)
+            if len(settled):
+                some, now, seen, total, weights = some[still], now.take(still, axis=1), seen.take(still, axis=1), total[still], weights.take(still, axis=1)
             if not len(still):
                 break
-            some, fixed, seen, total, weights = some[still], fixed[still], seen[still], total[still], weights[still]
-        logits -= logits.max(axis=1, keepdims=True)
-        out[lo:hi] = logits[own, kind] - np.log(np.exp(logits).sum(axis=1))[own]
+        logits[:, some] = now
+        logits -= logits.max(axis=0)
+        out[lo:hi] = logits[kind, own] - np.log(np.exp(logits).sum(axis=0))[own]
     return out
 
 

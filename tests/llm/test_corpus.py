@@ -439,6 +439,42 @@ def test_scores_do_not_depend_on_dealing(frame, monkeypatch):
         assert cut[k].score == pytest.approx(cut[400 + k].score, abs=1e-4)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_gradient_against_a_plain_one(spark, frame, monkeypatch, spread):
+    """Summed over tasks and portions it is that of each token alone; without weights, too."""
+    model = _packed_model(spark)[0]
+    model.weights = (np.random.default_rng(4).normal(0, 1, model.weights.shape) * spread).astype(np.float32)
+    monkeypatch.setattr(maxent, "_PAIRS", 50)
+    monkeypatch.setattr(maxent, "_TOKENS", 16)
+    rng = random.Random(17)
+    texts = [(k, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 9)))) for k in range(60)] + [(70, None)]
+    _, _, _, hashes, doc, _ = maxent.tokens(common.utf8(pa.array([text or "" for _, text in texts])))
+    rows, kinds = maxent.features(*maxent.before(hashes, doc)), model.look_up(hashes)[1]
+    p = np.exp(model.logits(rows).astype(float))
+    own = np.column_stack([np.eye(maxent.CLASSES)[kinds] - p / p.sum(axis=1, keepdims=True), np.ones(len(kinds))])
+    want = np.zeros((2 << maxent.BITS, maxent.CLASSES + 1))
+    for row in rows:
+        np.add.at(want, row, own)
+    found = np.zeros_like(want).reshape(-1, 64 * (maxent.CLASSES + 1))
+    for block, values in common.summed(frame(texts).select("text").mapInArrow(maxent._gradient(model), common.BLOCKS), "float32"):
+        found[block] = values
+    assert np.allclose(found.reshape(want.shape), want, atol=1e-4)
+
+
+def test_equal_pairs_of_rows_are_worked_out_once(spark, monkeypatch):
+    model = _packed_model(spark)[0]
+    done = []
+    monkeypatch.setattr(maxent, "_softmax", lambda logits, real=maxent._softmax: done.append(logits.shape[1]) or real(logits))
+    rng = np.random.default_rng(6)
+    pairs = rng.integers(0, 50, 4000).astype(np.uint32) << np.uint32(maxent.BITS) | rng.integers(0, 20, 4000).astype(np.uint32)
+    total = np.zeros((maxent.CLASSES, 2 << maxent.BITS))
+    maxent._expected(model, pairs, np.ascontiguousarray(model.weights.T), total)
+    assert sum(done) == len(np.unique(pairs)) <= 1000
+    half = 1 << maxent.BITS
+    assert np.allclose(total[:, :half].sum(axis=0), np.bincount(pairs >> maxent.BITS, minlength=half), rtol=1e-5)
+    assert np.allclose(total[:, half:].sum(axis=0), np.bincount(pairs & (half - 1), minlength=half), rtol=1e-5)
+
+
 def test_look_up_finds_the_place_of_each_word(spark):
     model = _packed_model(spark)[0]
     rng = np.random.default_rng(5)
