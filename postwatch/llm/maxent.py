@@ -56,7 +56,7 @@ STEP = 0.7
 CLASS_RIDGE, WORD_RIDGE = 1.0, 0.25
 SHARD = 3 << 19
 HOT = 1 << 20
-_TOKENS = 1 << 14
+_TOKENS = 1 << 15
 _PAIRS = 1 << 20
 _CONTEXTS = 1 << 13
 _STEPS, _SETTLED = 16, 0.02
