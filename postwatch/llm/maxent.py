@@ -59,6 +59,7 @@ HOT = 1 << 20
 _TOKENS = 1 << 15
 _PAIRS = 1 << 20
 _CONTEXTS = 1 << 13
+_PORTION = 1 << 18  # tokens of a shard whose contexts are trained at once, or those of one context
 _STEPS, _SETTLED = 16, 0.02
 _FLUSH = 1 << 22
 _HELD = 1 << 17  # distinct words or tokens that a task counts before it sends them
@@ -136,6 +137,10 @@ class Model:
     hot: tuple[np.ndarray, np.ndarray] | None = None  # contexts to be dealt by text, ascending, and into how many parts
     weights: np.ndarray = field(default_factory=lambda: np.zeros((2 << BITS, CLASSES), np.float32))
 
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        return np.argsort(self.rank)
+
     @cached_property
     def _starts(self) -> tuple[np.ndarray, np.ndarray, int]:
         """The hashes with one above all, the place of the first one of each value of the upper ``_LOOK_UP`` bits, the most with one value."""
@@ -326,8 +331,11 @@ _REPLIED = "group long, texts boolean, body binary"
 
 def _planes(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as compressed planes of their bytes."""
-    planes = [a[:, None].view(np.uint8).T for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(planes).tobytes())
+    planes, at = np.empty((sum(a.itemsize for a in arrays), len(arrays[0])), np.uint8), 0
+    for a in arrays:
+        planes[at : at + a.itemsize] = a[:, None].view(np.uint8).T
+        at += a.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _from_planes(body: bytes, *types: str) -> list[np.ndarray]:
@@ -489,46 +497,51 @@ def packs(model: Model, n_shards: int, group: int, one, two, at, kinds, doc, hel
 def _pack(model: Model, n_shards: int):
     """Each text's sums over what the task knows with its distinct rare words, and the packed tokens."""
 
+    def rows(known: pa.Table, texts: pa.Array, group: int, shard: int) -> pa.RecordBatch:
+        n = len(texts)
+        data, starts, ends, hashes, doc, word = tokens(texts)
+        at, kinds = model.look_up(hashes)
+        common_word = at >= 0
+        base = np.bincount(doc[common_word], np.log10(model.counts[at[common_word]] + 1.0), n).astype(float)
+        rare = np.flatnonzero(~common_word)  # the end, too, should it be rare
+        order = rare[np.lexsort((hashes[rare], doc[rare]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+        first = np.flatnonzero(new)
+        body = data.tobytes()
+        names = [body[starts[w] : ends[w]] if w >= 0 else b"" for w in word[order[first]].tolist()]
+        listed = pa.StructArray.from_arrays(
+            [pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.diff(np.append(first, len(order))), pa.int64())], ["word", "n"]
+        )
+        lists = common.lists(listed, np.bincount(doc[order[first]], minlength=n))
+        held_out = known.column("held_out").combine_chunks()
+        found = [(shard, _table_bytes(
+            [
+                known.column("doc_id").combine_chunks(),
+                held_out,
+                pa.array(np.bincount(doc, minlength=n), pa.int64()),
+                pa.array(np.bincount(doc[common_word], minlength=n), pa.int64()),
+                pa.array(base),
+                lists,
+            ]
+        ))]
+        del data, starts, ends, word, common_word, rare, order, new, first, body, names, listed, lists  # not for packing
+        found += packs(model, n_shards, group, *before(hashes, doc), at, kinds, doc, held_out.to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(found), group), pa.int64()),
+                pa.array([k for k, _ in found], pa.int32()),
+                pa.array(np.arange(len(found)) == 0),
+                pa.array([b for _, b in found], pa.binary()),
+            ],
+            ["group", "shard", "texts", "body"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for serial, (known, texts) in enumerate(_held(batches)):
-            group, n = (task << 24) + serial, len(texts)
-            data, starts, ends, hashes, doc, word = tokens(texts)
-            at, kinds = model.look_up(hashes)
-            common_word = at >= 0
-            base = np.bincount(doc[common_word], np.log10(model.counts[at[common_word]] + 1.0), n).astype(float)
-            rare = np.flatnonzero(~common_word)  # the end, too, should it be rare
-            order = rare[np.lexsort((hashes[rare], doc[rare]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-            first = np.flatnonzero(new)
-            body = data.tobytes()
-            names = [body[starts[w] : ends[w]] if w >= 0 else b"" for w in word[order[first]].tolist()]
-            listed = pa.StructArray.from_arrays(
-                [pa.array(names, pa.binary()).cast(pa.string()), pa.array(np.diff(np.append(first, len(order))), pa.int64())], ["word", "n"]
-            )
-            lists = common.lists(listed, np.bincount(doc[order[first]], minlength=n))
-            held_out = known.column("held_out").combine_chunks()
-            found = [((group + task) % n_shards, _table_bytes(
-                [
-                    known.column("doc_id").combine_chunks(),
-                    held_out,
-                    pa.array(np.bincount(doc, minlength=n), pa.int64()),
-                    pa.array(np.bincount(doc[common_word], minlength=n), pa.int64()),
-                    pa.array(base),
-                    lists,
-                ]
-            ))]
-            found += packs(model, n_shards, group, *before(hashes, doc), at, kinds, doc, held_out.to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(found), group), pa.int64()),
-                    pa.array([k for k, _ in found], pa.int32()),
-                    pa.array(np.arange(len(found)) == 0),
-                    pa.array([b for _, b in found], pa.binary()),
-                ],
-                ["group", "shard", "texts", "body"],
-            )
+            group = (task << 24) + serial
+            yield rows(known, texts, group, (group + task) % n_shards)
 
     return run
 
@@ -580,12 +593,11 @@ def token_scores(model: Model, token: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 P of each distinct packed token of a shard (ascending; a rare word without its count); ``n``: how often the
     learning rows hold it."""
     key, word = token >> np.uint64(_WORD_BITS), (token & np.uint64((1 << _WORD_BITS) - 1)).astype(np.int64)
-    by_rank = np.argsort(model.rank)
     plain = word < _RARE_WORD
     kinds = CLASSES - RARE_CLASSES + word - _RARE_WORD
     share = np.empty(len(word))
-    kinds[plain] = model.kinds[by_rank[word[plain]]]
-    share[plain] = model.within[by_rank[word[plain]]] * np.log(10)
+    kinds[plain] = model.kinds[model.by_rank[word[plain]]]
+    share[plain] = model.within[model.by_rank[word[plain]]] * np.log(10)
     share[~plain] = -np.log(model.rare_total[word[~plain] - _RARE_WORD])
     new = np.append(True, key[1:] != key[:-1])
     context = np.cumsum(new, dtype=np.int32) - 1
@@ -616,6 +628,33 @@ def token_scores(model: Model, token: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out / np.log(10)
 
 
+def _occurrence_scores(model: Model, token: np.ndarray, flags: np.ndarray, n: np.ndarray, summed: np.ndarray) -> np.ndarray:
+    """log10 P of each packed token of a shard, as they come; ``summed``: counts of a dealt context.
+
+    A context needs its own tokens only, so about ``_PORTION`` of them are trained at once.
+    """
+    order = np.argsort(token).astype(np.uint32)
+    ranked = token[order]
+    out = np.empty(len(token))
+    a = 0
+    while a < len(ranked):
+        b = len(ranked)
+        if a + _PORTION < b:  # up to the end of a context
+            b = int(np.searchsorted(ranked, ((ranked[a + _PORTION] >> np.uint64(_WORD_BITS)) + np.uint64(1)) << np.uint64(_WORD_BITS)))
+            b = len(ranked) if b <= a else b  # no context above the last
+        part, here = ranked[a:b], order[a:b]
+        edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        seen = np.where(flags[here] & 1, n[here], 0).astype(np.int64)
+        own = summed[here]
+        if own.any():  # of a dealt context the counts of all its parts are here
+            dealt = np.unique(part[own] >> np.uint64(_WORD_BITS))
+            seen[~own & np.isin(part >> np.uint64(_WORD_BITS), dealt)] = 0
+        learnt = np.add.reduceat(seen, edge)
+        out[here] = np.repeat(token_scores(model, part[edge], learnt), np.diff(np.append(edge, len(part))))
+        a = b
+    return out
+
+
 def _fit(model: Model):
     """Trains the weights of a shard's contexts and replies each group's sums by text; rows of texts pass through."""
 
@@ -626,27 +665,19 @@ def _fit(model: Model):
             rows = batch.filter(pc.invert(texts))
             groups += rows.column("group").to_pylist()
             parts += [_from_planes(body.as_py(), "uint64", "uint32", "uint32") for body in rows.column("body")]
-            yield batch.filter(texts).select(["group", "texts", "body"])
+            passed = batch.filter(texts).select(["group", "texts", "body"])
+            del batch, texts, rows
+            yield passed
+            del passed
         if not parts:
             return
         lengths = [len(p[0]) for p in parts]
         token = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         flags, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
         del parts
-        order = np.argsort(token)
-        ranked = token[order]
-        edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        seen = np.where(flags & 1, n, 0).astype(np.int64)
-        summed = np.repeat(np.array(groups) < 0, lengths)
-        if summed.any():  # of a dealt context the counts of all its parts are here
-            dealt = np.unique(token[summed] >> np.uint64(_WORD_BITS))
-            seen[~summed & np.isin(token >> np.uint64(_WORD_BITS), dealt)] = 0
-        learnt = np.add.reduceat(seen[order], edge)
-        del seen, summed
-        values = np.empty(len(token))
-        values[order] = np.repeat(token_scores(model, ranked[edge], learnt), np.diff(np.append(edge, len(token))))
+        values = _occurrence_scores(model, token, flags, n, np.repeat(np.array(groups) < 0, lengths))
         values *= n
-        del order, ranked, token
+        del token, n
         at, replies = 0, []
         for group, k in zip(groups, lengths):
             if group < 0:

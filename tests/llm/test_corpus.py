@@ -5,8 +5,10 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -417,6 +419,72 @@ def test_packed_tokens_keep_every_occurrence(spark, monkeypatch):
         assert 1 <= max(map(len, shards.values())) <= parts and (parts == 1 or max(map(len, shards.values())) > 1)
 
 
+def _shard_rows(model, rng, n_contexts):
+    """Rows of a shard as they come to a task: three groups of texts, and counts of two contexts that are dealt (group -1)."""
+    words = np.append(np.arange(len(model.hashes)), maxent._RARE_WORD + np.arange(maxent.RARE_CLASSES)).astype(np.uint64)
+    keys = np.sort(rng.choice(1 << 47, n_contexts, replace=False)).astype(np.uint64)
+    bodies, groups = [], [7, 3, 9, -1]
+    for group in groups:
+        key = rng.choice(keys, 20 * n_contexts) if group >= 0 else np.repeat(keys[[0, n_contexts // 2]], len(words))
+        token = np.sort((key << np.uint64(maxent._WORD_BITS)) + (rng.choice(words, len(key)) if group >= 0 else np.tile(words, 2)))
+        flags = rng.integers(0, 80, len(token)) if group >= 0 else np.ones(len(token))
+        n = rng.integers(1, 4 if group >= 0 else 90, len(token))
+        bodies.append(maxent._planes(np.diff(token, prepend=np.uint64(0)), flags.astype(np.uint32), n.astype(np.uint32)))
+    rows = [pa.array(groups), pa.array([0] * 4, pa.int32()), pa.array([False] * 4), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(rows, ["group", "shard", "texts", "body"])
+
+
+def test_a_shard_is_trained_in_portions(spark, monkeypatch):
+    """Contexts of a shard are trained a portion at a time, with the replies that all at once give."""
+    model, rows = _packed_model(spark)[0], _shard_rows(_packed_model(spark)[0], np.random.default_rng(21), 150)
+    replies, sizes = [], []
+    real = maxent.token_scores
+    monkeypatch.setattr(maxent, "token_scores", lambda model, token, n: sizes[-1].append(token) or real(model, token, n))
+    for portion in (1 << 30, 500, 1):
+        monkeypatch.setattr(maxent, "_PORTION", portion, raising=False)
+        sizes.append([])
+        found = pa.Table.from_batches(maxent._fit(model)(iter([rows])))
+        assert found.column("group").to_pylist() == [7, 3, 9]
+        replies.append([maxent._from_planes(body.as_py(), "uint32", "float32") for body in found.column("body")])
+    for other in replies[1:]:
+        for (text, score), (text_, score_) in zip(replies[0], other):
+            assert np.array_equal(text, text_) and np.allclose(score, score_, rtol=1e-5)
+    contexts = [[set((token >> np.uint64(maxent._WORD_BITS)).tolist()) for token in part] for part in sizes]
+    assert len(contexts[0]) == 1 and len(contexts[1]) > 9 and len(contexts[2]) == 150 and max(map(len, contexts[2])) == 1
+    for part in contexts:
+        assert sum(map(len, part)) == len(set().union(*part)) == 150  # a context is never cut
+
+
+def test_memory_of_a_shard_and_of_packing(spark, monkeypatch):
+    """A task holds less than 70 bytes for each token of a shard, and of a packed group little when it reads the next one."""
+    model = _packed_model(spark)[0]
+    rows = _shard_rows(model, np.random.default_rng(22), 10_000)
+    monkeypatch.setattr(maxent, "_PORTION", 1 << 15, raising=False)
+    tracemalloc.start()
+    try:
+        for _ in maxent._fit(model)(iter([rows])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 70 * 600_000
+
+        rng, held = random.Random(23), []
+        texts = [prose(rng, 40_000) for _ in range(3)]
+        maxent.tokens(common.utf8(pa.array(texts[:1])))  # tables that are made once
+        monkeypatch.setattr(maxent, "_FLUSH", 1 << 16)
+        monkeypatch.setattr(maxent, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+        model.hot = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+        def batches():
+            for k, text in enumerate(texts):
+                held.append(tracemalloc.get_traced_memory()[0])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([False]), pa.array([text])], ["doc_id", "held_out", "text"])
+
+        for row in maxent._pack(model, 4)(batches()):
+            del row
+        assert max(held) - held[0] < 110 * 40_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_do_not_depend_on_dealing(frame, monkeypatch):
     """Contexts that are dealt into parts get the weights that they have in one piece; equal texts score alike."""
     rng = random.Random(15)
