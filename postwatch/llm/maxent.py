@@ -19,10 +19,11 @@ often each row of a table was used.
 
 Second step: all tokens are dealt by context into shards of about ``SHARD`` tokens, as packed arrays. A shard holds every
 learning token of its contexts, so the gradient of their weights is exact there; they move until they settle (ridge
-``CLASS_RIDGE``, ``WORD_RIDGE``) and give the score of each token of the shard, held out or not. Sums for each text go
-back, packed as well. A context that the learning rows hold at least ``HOT`` times is dealt by text into as many parts as that
-count holds, so that no shard outgrows its task. The learning rows' counts of its tokens are summed beforehand and go to each
-of its parts, so all parts settle at the same weights: those that it would have in one piece.
+``CLASS_RIDGE``, ``WORD_RIDGE``) and give the score of each token of the shard, held out or not; about ``_PORTION`` tokens at
+a time, whole contexts, so a task never holds all that a shard's training needs. Sums for each text go back, packed as well.
+A context that the learning rows hold at least ``HOT`` times is dealt by text into as many parts as that count holds, so that
+no shard outgrows its task. The learning rows' counts of its tokens are summed beforehand and go to each of its parts, so all
+parts settle at the same weights: those that it would have in one piece.
 
 Counts of frequent words go to all tasks (at most ``FREQUENT`` rows). Rare words are joined with the table of all counts: each
 text sends a row for each of its distinct rare words. So no count is ever cut.
