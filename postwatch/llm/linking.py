@@ -3,7 +3,9 @@
 Texts that share a bucket are candidates. They are joined to their bucket's least member, which keeps the table linear in
 the buckets and connects the same texts as all pairs would; the components of that table hold every pair of candidates. The
 texts of a component go to one task, which compares each text with the ones it shares a bucket with until all that are
-alike are connected: once two texts are in one group, no further pair between their groups is looked at.
+alike are connected: once two texts are in one group, no further pair between their groups is looked at. An operator may
+give each text keys of which two that are alike share one at least; where that leaves fewer pairs, a text is compared with
+those that share a key as well as a bucket.
 
 A component of more than ``group_bytes`` of text does not go to one task. It is dealt into parts; their groups are found,
 then those of the parts' first members, and in the end every text outside the component's largest group is compared with
@@ -66,43 +68,77 @@ class _Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def linked(members: list[tuple[int, int, list[int]]], alike: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
-    """Links (x, x) that connect all members that are alike and share a bucket; members: x, the group it is known to be in, its bands."""
+class _Shelf:
+    """Places of members by the values that they list, for each value by group."""
+
+    def __init__(self, groups: _Groups):
+        self.groups = groups
+        self.held: dict[int, dict[int, list[int]]] = {}
+        self.sizes: dict[int, int] = {}
+
+    def size(self, listed: list[int]) -> int:
+        return sum(self.sizes.get(value, 0) for value in listed)
+
+    def others(self, k: int, value: int) -> Iterator[list[int]]:
+        """The members of each group but that of k that list the value."""
+        by_root = self.held.get(value, {})
+        for root in list(by_root):
+            if (now := self.groups.root(root)) != root:  # groups that have become one since
+                by_root.setdefault(now, []).extend(by_root.pop(root))
+        for root in list(by_root):
+            if self.groups.root(root) != self.groups.root(k):
+                yield by_root[root]
+
+    def put(self, k: int, listed: list[int]) -> None:
+        root = self.groups.root(k)
+        for value in listed:
+            self.held.setdefault(value, {}).setdefault(root, []).append(k)
+            self.sizes[value] = self.sizes.get(value, 0) + 1
+
+
+_DEARER = 8  # a comparison of two texts, counted in looks at a pair
+
+
+def linked(
+    members: list[tuple[int, int, list[int]]], alike: Callable[[int, int], bool], keys: list[list[int]] | None = None
+) -> Iterator[tuple[int, int]]:
+    """Links (x, x) that connect all members that are alike and share a bucket; members: x, the group it is known to be in, its bands.
+
+    ``keys``, if given: for each member values of which two that are alike share one at least.
+    """
     groups = _Groups()
     for k, (_, root, _) in enumerate(members):
         groups.up[k] = k
     first: dict[int, int] = {}
     for k, (_, root, _) in enumerate(members):
         groups.join(k, first.setdefault(root, k))
-    buckets: dict[int, dict[int, list[int]]] = {}
+    by_band, by_key = _Shelf(groups), _Shelf(groups)
     for k, (x, _, bands) in enumerate(members):
-        failed: set[int] = set()
-        for band in bands:
-            bucket = buckets.setdefault(band, {})
-            for root in list(bucket):
-                if (now := groups.root(root)) != root:  # groups that have become one since
-                    bucket.setdefault(now, []).extend(bucket.pop(root))
-            for root in list(bucket):
-                if groups.root(root) == groups.root(k):
-                    continue
-                for other in bucket[root]:
+        few = keys is not None and by_key.size(keys[k]) < _DEARER * by_band.size(bands)
+        shelf, listed = (by_key, keys[k]) if few else (by_band, bands)
+        own, failed = set(bands), set()
+        for value in listed:
+            for held in shelf.others(k, value):
+                for other in held:
                     if other in failed:
                         continue
-                    if alike(k, other):
+                    if (not few or not own.isdisjoint(members[other][2])) and alike(k, other):
                         yield x, members[other][0]
                         groups.join(k, other)
                         break
                     failed.add(other)
-            bucket.setdefault(groups.root(k), []).append(k)
+        by_band.put(k, bands)
+        if keys is not None:
+            by_key.put(k, keys[k])
 
 
 def _task(bands_of, measure):
-    """Rows sorted by group to links; ``bands_of`` gives each text's bands, ``measure`` makes the likeness test of a group's texts."""
+    """Rows sorted by group to links; ``bands_of`` gives each text's bands, ``measure`` the likeness test of a group's texts and their keys."""
 
     def links(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
         rows = list({x: (x, root, text) for x, root, text in sorted(rows)}.values())
         texts = [text for _, _, text in rows]
-        pairs = list(linked([(x, root, bands) for (x, root, _), bands in zip(rows, bands_of(texts))], measure(texts)))
+        pairs = list(linked([(x, root, bands) for (x, root, _), bands in zip(rows, bands_of(texts))], *measure(texts)))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +162,7 @@ def groups(
     """x, root of every text that is alike to another one.
 
     ``texts_of`` adds the text to rows of x; bands: x, band; ``bands_of(texts)`` and ``measure(texts)`` run in the tasks: the bands of
-    each text, and a function that tells whether two of the texts (by their places) are alike.
+    each text; a function that tells whether two of the texts (by their places) are alike, and their keys or None (:func:`linked`).
     """
     candidates = components(stars(bands), name)
     rows = common.staged(texts_of(candidates.select(F.col("node").alias("x"), F.col("root").alias("comp"))).select("comp", "x", "text"), name)

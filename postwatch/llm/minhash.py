@@ -66,13 +66,14 @@ def shingles(data: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends = common.words_of(data, ~_SPACE[data])
     before = np.searchsorted(starts, marks)
     n_words = np.diff(before)
-    grams = common.gram_hashes(common.span_hashes(data, starts, ends), SHINGLE)
+    words = common.span_hashes(data, starts, ends)
+    grams = common.gram_hashes(words, SHINGLE)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     n = len(grams)
     whole = doc[:n] == doc[len(doc) - n :] if n else np.zeros(0, bool)
     few = np.flatnonzero((n_words > 0) & (n_words < SHINGLE))
     if len(few):  # a short text: its words make one shingle
-        spelled = np.array([common.gram_hashes(common.span_hashes(data, starts[a:b], ends[a:b]), b - a)[0] for a, b in zip(before[few], before[few + 1])], np.uint64)
+        spelled = np.array([common.gram_hashes(words[a:b], b - a)[0] for a, b in zip(before[few], before[few + 1])], np.uint64)
         values = np.concatenate([grams[whole], spelled])
         text = np.concatenate([doc[:n][whole], few])
         closes = np.concatenate([ends[SHINGLE - 1 :][whole], ends[before[few + 1] - 1]])
@@ -123,7 +124,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _measure(threshold: float):
-    def of(texts: list[str]) -> Callable[[int, int], bool]:
+    def of(texts: list[str]) -> tuple[Callable[[int, int], bool], None]:
         known: dict[int, np.ndarray] = {}
 
         def distinct(k: int) -> np.ndarray:
@@ -131,7 +132,7 @@ def _measure(threshold: float):
                 known[k] = np.unique(shingles(*common.separated(common.utf8(pa.array([texts[k]], pa.string())), 32))[0])
             return known[k]
 
-        return lambda a, b: jaccard(distinct(a), distinct(b)) >= threshold
+        return lambda a, b: jaccard(distinct(a), distinct(b)) >= threshold, None
 
     return of
 

@@ -33,6 +33,10 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 GROUP, RANGE = 4 << 20, 16 << 20
 _TABLE = 1 << 14
+_TEXTS, _SHINGLES = 1 << 19, 1 << 15  # bytes of text and shingles worked on at once: what is made of them stays in a core's cache
+_LEVELS = 4  # tables of :meth:`Draws.of` that are kept, of 8 MB each
+_SOME = 16  # texts of a component from which their keys are worked out
+_MARGIN = 1e-6  # more than rounding makes of a bound
 _WORDLESS = -1  # the band of texts without words
 
 
@@ -47,6 +51,26 @@ class Draws:
         self.beta = u[4].astype(np.float32)
         self.rest = (np.log(-np.log(u[2] * u[3])) + self.r * (self.beta - 1)).astype(np.float32)  # ln c - r (1 - beta)
         self.turn = common.random_bits(22, SAMPLES) | np.uint64(1)
+        self._known: dict[float, np.ndarray] = {}
+
+    def values(self, k: int, at: np.ndarray, level: np.ndarray | np.float32) -> np.ndarray:
+        """Of sample k, what is least at the shingle that is drawn (ln c - r (t - beta + 1)); at: places in the tables."""
+        r = self.r[k][at]
+        return self.rest[k][at] - r * np.floor(level * self.per_r[k][at] + self.beta[k][at])
+
+    def of(self, level: np.float32) -> np.ndarray:
+        """For each sample, :meth:`values` at all places for one level, as :func:`ordered`; many shingles share a weight."""
+        if float(level) not in self._known:
+            if len(self._known) == _LEVELS:
+                del self._known[next(iter(self._known))]
+            self._known[float(level)] = np.stack([ordered(self.values(k, np.arange(_TABLE), level)) for k in range(SAMPLES)])
+        return self._known[float(level)]
+
+
+def ordered(values: np.ndarray) -> np.ndarray:
+    """The float32 values as numbers of 64 bits in the same order, of which the low 32 bits are 0."""
+    bits = (values + np.float32(0)).view(np.uint32)  # -0 as 0
+    return (bits ^ ((bits.view(np.int32) >> 31).view(np.uint32) | np.uint32(1 << 31))).astype(np.uint64) << np.uint64(32)
 
 
 _draws: list[Draws] = []
@@ -60,24 +84,40 @@ def draws() -> Draws:
 
 def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in ascending order: text, shingle hash, occurrences."""
-    values, counts, _, _ = minhash.shingles(*common.separated(texts, 32))
-    doc = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((values, doc))
-    values, doc = values[order], doc[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], values[first], np.diff(np.append(first, len(values)))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for at, upto in common.cuts(common.flat(texts)[1], _TEXTS):
+        values, counts, _, _ = minhash.shingles(*common.separated(texts[at:upto], 32))
+        ends = np.cumsum(counts)
+        for low, high in zip(ends - counts, ends):
+            values[low:high].sort()
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        new[ends[counts > 0] - counts[counts > 0]] = True
+        first = np.flatnonzero(new)
+        found.append((np.repeat(np.arange(at, upto), counts)[first], values[first], np.diff(np.append(first, len(values)))))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def planes(values: np.ndarray) -> bytes:
-    """All first bytes of the values, then all second ones: the high ones of small numbers are 0 and compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
+    """How many bytes the largest value takes; then all first bytes of the values, all second ones and so on: mostly zeros compress to nothing."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T[:width]).tobytes()
 
 
 def from_planes(body: bytes, dtype: str) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    kept = np.frombuffer(body, np.uint8, offset=1).reshape(body[0], -1)
+    whole = np.zeros((kept.shape[1], np.dtype(dtype).itemsize), np.uint8)
+    whole[:, : len(kept)] = kept.T
+    return whole.view(dtype).ravel()
+
+
+def counts(n: np.ndarray) -> bytes:
+    """Counts as planes; nothing if all are 1."""
+    return planes(n.astype("<u4")) if (n > 1).any() else b""
+
+
+def from_counts(body: bytes, k: int) -> np.ndarray:
+    return from_planes(body, "<u4") if body else np.ones(k, np.uint32)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -92,8 +132,8 @@ def unpacked(body: bytes) -> np.ndarray:
 def _parts(values: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The ranges in which any of the ascending values lie, and where each one's begin (one more than ranges)."""
     part = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-    some, first = np.unique(part, return_index=True)
-    return some, np.append(first, len(values))
+    first = np.flatnonzero(np.diff(part, prepend=np.int32(-1)))
+    return part[first], np.append(first, len(values))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +163,7 @@ def _hashes(ranges: int):
             values, n = np.unique(counted(common.utf8(rows.column(1)))[1], return_counts=True)
             some, ends = _parts(values, ranges)
             cuts, group = list(zip(ends, ends[1:])), pa.array(np.full(len(some), rows.column(0)[0].as_py()), pa.int64())
-            bodies = [pa.array([packed(values[a:b]) for a, b in cuts], pa.binary()), pa.array([planes(n[a:b].astype("<u4")) for a, b in cuts], pa.binary())]
+            bodies = [pa.array([packed(values[a:b]) for a, b in cuts], pa.binary()), pa.array([counts(n[a:b]) for a, b in cuts], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), group, *bodies], ["part", "g", "h", "n"])
 
     return run
@@ -134,14 +174,22 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def added(part: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         lists = [unpacked(h) for _, h, _ in held]
-        values, at = np.unique(np.concatenate(lists), return_inverse=True)
-        n = np.bincount(at, np.concatenate([from_planes(c, "<u4") for _, _, c in held]), len(values)).astype("<u4")
-        end = 0
-        for (g, _, _), own in zip(held, lists):
-            total = n[at[end : (end := end + len(own))]]
-            body = planes(total) if (total > 1).any() else b""  # nothing: all are 1
-            columns = [pa.array([g], pa.int64()), pa.array([part], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([body], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["g", "part", "k", "n"])
+        own = [from_counts(n, len(values)) for (_, _, n), values in zip(held, lists)]
+        every = np.sort(np.concatenate(lists))
+        again = every[1:][every[1:] == every[:-1]]  # of several groups
+        again = again[np.diff(again, prepend=again[:1] + np.uint64(1)) != 0]
+        del every
+        places = [np.searchsorted(again, values) for values in lists]
+        hits = [np.flatnonzero(again[np.minimum(at, len(again) - 1)] == values) if len(again) else at[:0] for at, values in zip(places, lists)]
+        places = [at[hit] for at, hit in zip(places, hits)]
+        n = np.bincount(np.concatenate(places), np.concatenate([c[hit] for c, hit in zip(own, hits)]), len(again)).astype("<u4")
+        for total, at, hit in zip(own, places, hits):
+            total[hit] = n[at]
+        for at in range(0, len(held), common.BATCH_ROWS):
+            told = own[at : at + common.BATCH_ROWS]
+            groups, parts = pa.array([g for g, _, _ in held[at : at + len(told)]], pa.int64()), pa.array([part] * len(told), pa.int32())
+            bodies = [pa.array([len(total) for total in told], pa.int32()), pa.array([counts(total) for total in told], pa.binary())]
+            yield pa.RecordBatch.from_arrays([groups, parts, *bodies], ["g", "part", "k", "n"])
 
     last, held = None, []
     for batch in batches:
@@ -165,19 +213,19 @@ def _with_frequencies(n_docs: int):
         for rows in _groups(batches):
             own = rows.column(1).is_null().to_numpy(zero_copy_only=False)
             told, docs = rows.filter(pa.array(~own)), rows.filter(pa.array(own))
-            totals = [from_planes(n, "<u4") if n else np.ones(k, np.uint32) for k, n in zip(*(told.column(c).to_pylist() for c in (6, 7)))]
+            totals = [from_counts(n, k) for k, n in zip(*(told.column(c).to_pylist() for c in (6, 7)))]
             total = np.concatenate([np.zeros(0, np.uint32), *totals])
             doc, values, tf = counted(common.utf8(docs.column(5)))
             df = total[np.unique(values, return_inverse=True)[1]]
             ends = np.searchsorted(doc, np.arange(len(docs) + 1))
+            has, keys = drawn(doc, values, weighted(tf, idf_table(df, n_docs)))
             for at in range(0, len(docs), common.BATCH_ROWS):
                 upto = min(at + common.BATCH_ROWS, len(docs))
-                some = slice(ends[at], ends[upto])
-                has, keys = drawn(doc[some] - at, values[some], weighted(tf[some], idf_table(df[some], n_docs)))
+                some = slice(*np.searchsorted(has, [at, upto]))
                 listed = np.ones(upto - at, np.int64)
-                listed[has] = BANDS
+                listed[has[some] - at] = BANDS
                 flat = np.full(listed.sum(), _WORDLESS, np.int64)
-                flat[np.repeat(listed == BANDS, listed)] = keys.ravel().view(np.int64)
+                flat[np.repeat(listed == BANDS, listed)] = keys[some].ravel().view(np.int64)
                 bodies = pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(ends[at:upto], ends[at + 1 : upto + 1])], pa.binary())
                 columns = [*(docs.column(k).slice(at, upto - at) for k in (2, 3, 4)), bodies, common.lists(pa.array(flat), listed)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "x", "cls", "df", "bands"])
@@ -211,22 +259,52 @@ def weighted(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return ((1 + np.log(tf)).astype(np.float32) * idf).astype(np.float32)
 
 
+def _least(least: np.ndarray, some: np.ndarray, text: np.ndarray, values: np.ndarray, table: np.ndarray | None, level: np.ndarray | None) -> None:
+    """Lower ``least`` (by sample and text: a value as :func:`ordered`, and the first place that has it) to that of the shingles at the
+    places ``some``, whose values come from the table of their level, or are worked out one by one."""
+    own, shift = draws(), np.uint64(64 - _TABLE.bit_length() + 1)
+    begins = np.append(np.flatnonzero(np.diff(text[some], prepend=-1)), len(some))
+    held, place, value, level = text[some[begins[:-1]]], some.astype(np.uint64), values[some], None if level is None else level[some]
+    stretches = [(slice(low, high), slice(begins[low], begins[high]), begins[low:high] - begins[low]) for low, high in common.cuts(begins, _SHINGLES)]
+    places, found = (np.empty(max((len(place[part]) for _, part, _ in stretches), default=0), np.uint64) for _ in range(2))
+    lowest = np.empty(len(held), np.uint64)
+    for k in range(SAMPLES):
+        for texts, part, starts in stretches:
+            at, key = places[: part.stop - part.start], found[: part.stop - part.start]
+            np.multiply(value[part], own.turn[k], out=at)
+            at >>= shift
+            if level is None:
+                np.take(table[k], at.view(np.int64), out=key, mode="clip")
+                key |= place[part]
+            else:
+                np.bitwise_or(ordered(own.values(k, at.view(np.int64), level[part])), place[part], out=key)
+            np.minimum.reduceat(key, starts, out=lowest[texts])
+        least[k, held] = np.minimum(least[k, held], lowest)
+
+
 def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts that have shingles, and a row of BANDS keys for each."""
-    has, first = np.unique(doc, return_index=True)
+    new = np.diff(doc, prepend=-1) != 0
+    has, text = doc[new], np.cumsum(new) - 1
     if not len(has):
         return has, np.zeros((0, BANDS), np.uint64)
-    sizes = np.diff(np.append(first, len(doc)))
     level = np.log(weight)
-    own, out = draws(), np.empty((SAMPLES, len(has)), np.uint64)
-    shift = np.uint64(64 - _TABLE.bit_length() + 1)
+    own, least = draws(), np.full((SAMPLES, len(has)), ~np.uint64(0))
+    levels, times = np.unique(level[:: -(-len(level) // _SHINGLES)], return_counts=True)
+    usual = levels[np.argsort(-times, kind="stable")[:_LEVELS]]
+    usual = usual[np.isin(usual, levels[8 * times >= times.sum()])]
+    rare = np.ones(len(level), bool)
+    for one in usual:
+        same = level == one
+        rare &= ~same
+        _least(least, np.flatnonzero(same), text, values, own.of(one), None)
+    _least(least, np.flatnonzero(rare), text, values, None, level)
+    out, shift = np.empty((SAMPLES, len(has)), np.uint64), np.uint64(64 - _TABLE.bit_length() + 1)
     for k in range(SAMPLES):
-        at = ((values * own.turn[k]) >> shift).view(np.int64)
-        t = np.floor(level * own.per_r[k][at] + own.beta[k][at])
-        a = own.rest[k][at] - own.r[k][at] * t  # ln c - r (t - beta + 1)
-        hit = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), sizes))
-        chosen = hit[np.searchsorted(hit, first)]  # of equal values that of the smallest shingle hash
-        out[k] = values[chosen] ^ common.mixed(t[chosen].astype(np.int64).astype(np.uint64))
+        chosen = (least[k] & np.uint64(0xFFFFFFFF)).view(np.int64)
+        at = ((values[chosen] * own.turn[k]) >> shift).view(np.int64)
+        t = np.floor(level[chosen] * own.per_r[k][at] + own.beta[k][at])
+        out[k] = values[chosen] ^ common.mixed(t.astype(np.int64).astype(np.uint64))
     keys = np.zeros((BANDS, len(has)), np.uint64)
     for k in range(SAMPLES):
         band = k // ROWS
@@ -234,11 +312,12 @@ def drawn(doc: np.ndarray, values: np.ndarray, weight: np.ndarray) -> tuple[np.n
     return has, keys.T
 
 
-def _carried(body: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and weights of a text that comes with its bands and df, see :func:`classes`."""
-    n_bands, n_df = (int.from_bytes(body[k : k + 4], "big") for k in (0, 4))
-    _, values, tf = counted(pa.array([body[8 + n_bands + n_df :]], pa.large_binary()))
-    return values, weighted(tf, idf_table(np.frombuffer(body, np.uint32, n_df // 4, 8 + n_bands), n_docs))
+def _carried(bodies: list[bytes], n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, shingle and weight of texts that come with their bands and df, see :func:`classes`."""
+    sizes = [[int.from_bytes(body[k : k + 4], "big") for k in (0, 4)] for body in bodies]
+    doc, values, tf = counted(pa.array([body[8 + a + b :] for body, (a, b) in zip(bodies, sizes)], pa.large_binary()))
+    df = np.concatenate([np.frombuffer(body, np.uint32, b // 4, 8 + a) for body, (a, b) in zip(bodies, sizes)])
+    return doc, values, weighted(tf, idf_table(df, n_docs))
 
 
 def _bands_of(bodies: list[bytes]) -> list[list[int]]:
@@ -254,16 +333,49 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / max(float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - low, 1e-9)
 
 
-def _measure(n_docs: int, threshold: float):
-    def of(bodies: list[bytes]) -> Callable[[int, int], bool]:
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _keys(doc: np.ndarray, places: np.ndarray, weight: np.ndarray, n_texts: int, threshold: float) -> list[list[int]]:
+    """Of each text the shingles (``places`` in a list of all) of which two texts that are alike share one at least.
+
+    All shingles are ordered, those of the fewest texts first. What two texts share has ``threshold`` of the weight of each, so not all of
+    it can come after the first of the two places behind which less than that is left: the shingles up to there are the keys.
+    """
+    times = np.bincount(places)
+    order = np.lexsort((places, times[places], doc))
+    places, weight = places[order], weight[order].astype(np.float64)
+    total = np.bincount(doc, weight, n_texts)
+    begins = np.searchsorted(doc, np.arange(n_texts))
+    before = np.append(0, np.cumsum(weight))
+    left = total[doc] - (before[:-1] - before[begins[doc]])
+    some = (left >= threshold * (1 - _MARGIN) * total[doc]) & (times[places] > 1)
+    keys = np.split(places[some], np.searchsorted(doc[some], np.arange(1, n_texts)))
+    return [own.tolist() if weight else [_WORDLESS] for own, weight in zip(keys, total.tolist())]
 
-        def unpacked(k: int) -> tuple[np.ndarray, np.ndarray]:
-            if k not in known:
-                known[k] = _carried(bodies[k], n_docs)
-            return known[k]
 
-        return lambda a, b: similarity(unpacked(a), unpacked(b)) >= threshold
+def _measure(n_docs: int, threshold: float):
+    def of(bodies: list[bytes]) -> tuple[Callable[[int, int], bool], list[list[int]] | None]:
+        doc, values, weight = _carried(bodies, n_docs)
+        every, places = np.unique(values, return_inverse=True)
+        total = np.bincount(doc, weight, len(bodies)).tolist()  # exact in any order, as weights are multiples of 2**-23
+        ends = np.searchsorted(doc, np.arange(1, len(bodies)))
+        held, weights = np.split(places, ends), np.split(weight, ends)
+        spread, at = np.zeros(len(every), np.float32), 0
+        spread[held[0]] = weights[0]
+
+        def alike(a: int, b: int) -> bool:
+            """As :func:`similarity`; the weights of a are spread over all shingles as long as a stays the same."""
+            nonlocal at
+            if a != at:
+                spread[held[at]] = 0
+                spread[held[a]] = weights[a]
+                at = a
+            if not total[a] and not total[b]:
+                return 1.0 >= threshold
+            if min(total[a], total[b]) < threshold * (1 - _MARGIN) * max(total[a], total[b]):
+                return False  # they can't share more than the lighter one has
+            low = float(np.minimum(spread[held[b]], weights[b]).sum(dtype=np.float64))
+            return low / max(total[a] + total[b] - low, 1e-9) >= threshold
+
+        return alike, _keys(doc, places, weight, len(bodies), threshold) if len(bodies) > _SOME and threshold > 0 else None
 
     return of
 

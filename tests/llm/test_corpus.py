@@ -175,6 +175,88 @@ def test_frequencies_are_exact(frame, odd, monkeypatch):
             assert np.frombuffer(r.df, np.uint32).tolist() == [total[v] for v in sets[hashed[r.x]]]
 
 
+def plain_draws(doc, values, weight):
+    """Bands by the formula of the sampling, one shingle after the other."""
+    own, keys = near_dedup.draws(), []
+    for d in sorted(set(doc.tolist())):
+        v, level = values[doc == d], np.log(weight[doc == d])
+        row = np.zeros((near_dedup.BANDS, 1), np.uint64)
+        for k in range(near_dedup.SAMPLES):
+            at = ((v * own.turn[k]) >> np.uint64(50)).astype(np.int64)
+            t = np.floor(level * own.per_r[k][at] + own.beta[k][at])
+            least = int(np.argmin(own.rest[k][at] - own.r[k][at] * t))
+            drawn = v[least : least + 1] ^ common.mixed(t[least : least + 1].astype(np.int64).astype(np.uint64))
+            band = k // near_dedup.ROWS
+            row[band] = common.mixed(row[band] * np.uint64(0xC2B2AE3D27D4EB4F) + drawn + np.uint64(band))
+        keys.append(row.ravel())
+    return np.array(keys)
+
+
+@pytest.mark.parametrize("block", [near_dedup._SHINGLES, 50])
+def test_draws_by_weight_are_those_of_the_formula(monkeypatch, block):
+    """Texts whose shingles have one weight, a few, and one each, and values that several shingles of a text share."""
+    monkeypatch.setattr(near_dedup, "_SHINGLES", block)
+    rng = np.random.default_rng(4)
+    sizes = [1, 400, 3, 900, 60, 2000, 1]
+    doc = np.repeat([0, 2, 3, 4, 7, 8, 9], sizes)
+    values = np.concatenate([np.unique(common.random_bits(int(rng.integers(99)), n)) for n in sizes])
+    few = np.array([1.0, 1.5, 1.75, 2.0, 2.5, 3.0, 3.5, 4.0])[rng.integers(8, size=len(doc))]
+    for weight in (np.full(len(doc), 2.0), few, 1 + rng.random(len(doc)), np.where(doc == 3, 1.25, few)):
+        has, keys = near_dedup.drawn(doc, values, weight.astype(np.float32))
+        assert has.tolist() == [0, 2, 3, 4, 7, 8, 9]
+        assert keys.tolist() == plain_draws(doc, values, weight.astype(np.float32)).tolist()
+
+
+def test_counted_in_portions(odd, monkeypatch):
+    texts = [t or "" for _, t in odd]
+    whole = near_dedup.counted(common.utf8(pa.array(texts)))
+    monkeypatch.setattr(near_dedup, "_TEXTS", 300)
+    for a, b in zip(whole, near_dedup.counted(common.utf8(pa.array(texts)))):
+        assert a.tolist() == b.tolist()
+    want = []
+    for k, t in enumerate(texts):
+        found = Counter(minhash.shingles(*common.separated(common.utf8(pa.array([t])), 32))[0].tolist())
+        want += [(k, v, n) for v, n in sorted(found.items())]
+    assert list(zip(*(c.tolist() for c in whole))) == want
+
+
+def carried(texts, n_docs):
+    """Bodies of texts as they come to their comparisons, with one band each that all share."""
+    parts = [near_dedup.counted(common.utf8(pa.array([t])))[1:] for t in texts]
+    total = Counter(v for values, _ in parts for v in values.tolist())
+    df = [np.array([total[v] for v in values.tolist()], np.uint32) for values, _ in parts]
+    weighted = [(v, near_dedup.weighted(tf, near_dedup.idf_table(n, n_docs))) for (v, tf), n in zip(parts, df)]
+    bodies = [(8).to_bytes(4, "big") + len(n.tobytes()).to_bytes(4, "big") + bytes(7) + b"\1" + n.tobytes() + t.encode() for t, n in zip(texts, df)]
+    return bodies, weighted
+
+
+def test_few_comparisons_in_a_component_of_unlike_texts():
+    """Texts with most words from one base and some of their own are candidates of each other, but few are compared; no link is lost."""
+    rng = random.Random(21)
+    base, texts = prose(rng, 300).split(), [prose(rng, 2), "", " "]
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), 1 if k % 5 == 0 else 12):
+            words[at] = prose(rng, 1)
+        texts.append(" ".join(words))
+    bodies, weighted = carried(texts, 1000)
+    alike, keys = near_dedup._measure(1000, near_dedup.THRESHOLD)(bodies)
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if near_dedup.similarity(weighted[a], weighted[b]) >= near_dedup.THRESHOLD}
+    assert {(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)} == want and 50 < len(want) < 1000
+    assert all(set(keys[a]) & set(keys[b]) for a, b in want)
+    tried = []
+    members = [(k, k, bands) for k, bands in enumerate(near_dedup._bands_of(bodies))]
+    links = list(linking.linked(members, lambda a, b: tried.append((a, b)) or alike(a, b), keys))
+    assert set(links) <= want and len(tried) < len(texts) ** 2 / 8
+    up = linking._Groups()
+    other = linking._Groups()
+    up.up, other.up = ({k: k for k in range(len(texts))} for _ in range(2))
+    for groups, found in ((up, links), (other, want)):
+        for a, b in found:
+            groups.join(a, b)
+    assert [up.root(k) for k in range(len(texts))] == [other.root(k) for k in range(len(texts))]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
